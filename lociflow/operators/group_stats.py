@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lociflow.functions import dist
 from lociflow.functions.distribution import distribution, mid_rank
+from lociflow.session import cut_lineage
 
 N, I, J = "n", "group_i", "group_j"
 
@@ -458,7 +459,8 @@ def compare_metrics(values: DataFrame, config: dict | None = None) -> tuple[Data
     """(omnibus, pairwise) rows of every metric: one decision per metric between
     parametric and rank tests, effect sizes, notes, corrections."""
     cfg = stat_config(config)
-    v, alpha = finite(values), cfg["alpha"]
+    # one row per recording and metric, read by every test below: computed once
+    v, alpha = cut_lineage(finite(values)), cfg["alpha"]
     strategy = cfg["parametric_strategy"]
     valid = group_moments(v).where("n >= 2")
     sizes = valid.groupBy("metric").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("min_n"))
@@ -586,7 +588,9 @@ def greenhouse_geisser(v: DataFrame) -> DataFrame:
     b_ = F.col("b")
     num = F.pow(b_ * (F.col("diag") - F.col("all")), F.lit(2))
     den = (b_ - 1) * (F.col("sq") - 2 * b_ * F.col("rr") + b_ * b_ * F.col("all") * F.col("all"))
-    return tot.join(rows, "metric").select("metric", F.least(F.try_divide(num, den), F.lit(1.0)).alias("eps"))
+    # with two time points there is one contrast, so ε is 1 whatever the data
+    eps = F.when(b_ == 2, 1.0).otherwise(F.least(F.try_divide(num, den), F.lit(1.0)))
+    return tot.join(rows, "metric").select("metric", eps.alias("eps"))
 
 
 def simple_effects(values: DataFrame, correction: str = "holm") -> DataFrame:

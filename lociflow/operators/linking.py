@@ -1,9 +1,22 @@
-"""Linking localisations into trajectories."""
+"""Linking localisations into trajectories.
+
+Localisations are ``(recording_id, loc_id, frame, x, y[, mass])`` with ``loc_id``
+unique. All linkers return them with a dense ``particle`` per recording.
+"""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
 
-from lociflow.schema import TRACK_KEY
+from lociflow.functions.distribution import quantiles
+from lociflow.operators.graph import chain_roots, connected_components
+from lociflow.operators.spatial import near_pairs, nearest_spacing
+from lociflow.operators.tracks import dense_ids, filter_track_length, valid_localisations
+from lociflow.schema import TRACK_KEY, require_columns
+from lociflow.session import cut_lineage
 
 
 def segment_ends(tracks: DataFrame) -> DataFrame:
@@ -14,3 +27,530 @@ def segment_ends(tracks: DataFrame) -> DataFrame:
         F.min_by(here, "frame").alias("a"), F.max_by(here, "frame").alias("b"))
         .select(*TRACK_KEY, "first_frame", "last_frame", F.col("a.x").alias("start_x"),
                 F.col("a.y").alias("start_y"), F.col("b.x").alias("end_x"), F.col("b.y").alias("end_y")))
+
+
+def feature_penalty(a: Column, b: Column) -> Column:
+    """Relative difference of two positive features, 0…1."""
+    return F.coalesce(F.try_divide(F.abs(a - b), a + b), F.lit(0.0))
+
+
+def link_candidates(locs: DataFrame, radius: float, max_gap: int = 1, w_disp: float = 1.0,
+                    sigma2: float = 1.0, gap_base: float = 0.0, gap_slope: float = 0.0,
+                    w_feat: float = 0.0, feature: str = "mass") -> DataFrame:
+    """``(recording_id, frame, i, j, gap, d2, cost)`` for every pair of spots
+    1…max_gap frames apart and within the radius."""
+    extra = [feature] if w_feat else []
+    left = locs.select("recording_id", F.col("frame").alias("from_frame"), F.col("loc_id").alias("i"),
+                       "x", "y", *extra,
+                       F.explode(F.sequence(F.lit(1), F.lit(max_gap))).alias("gap"))
+    left = left.withColumn("frame", F.col("from_frame") + F.col("gap"))
+    right = locs.select("recording_id", "frame", F.col("loc_id").alias("j"), F.col("x").alias("x2"),
+                        F.col("y").alias("y2"), *[F.col(c).alias("_f2") for c in extra])
+    pairs = near_pairs(left, right, radius, ["recording_id", "frame"])
+    cost = w_disp * F.col("d2") / sigma2 + gap_base + gap_slope * (F.col("gap") - 1)
+    if w_feat:
+        cost = cost + w_feat * feature_penalty(F.col(feature), F.col("_f2"))
+    return pairs.select("recording_id", F.col("from_frame").alias("frame"), "i", "j", "gap", "d2",
+                        cost.alias("cost"))
+
+
+# ---- choosing links -----------------------------------------------------------
+
+def mutual_best(edges: DataFrame) -> DataFrame:
+    """One round of greedy matching: edges that both their ends prefer, by
+    (d2, j, i)."""
+    rank = F.struct("d2", "j", "i")
+    by_i = edges.groupBy("i").agg(F.min(rank).alias("best")).select("best.*")
+    by_j = edges.groupBy("j").agg(F.min(rank).alias("best")).select("best.*")
+    return by_i.join(by_j, ["i", "j", "d2"])
+
+
+def greedy_links(edges: DataFrame) -> DataFrame:
+    """Greedy matching by ascending (d2, j, i) as rounds of mutual best edges;
+    ``(i, j)``. Ends already matched drop out between rounds."""
+    left = cut_lineage(edges.select("i", "j", "d2"))
+    taken: list[DataFrame] = []
+    while not left.isEmpty():
+        won = cut_lineage(mutual_best(left).select("i", "j"))
+        taken.append(won)
+        left = cut_lineage(left.join(won.select("i"), "i", "left_anti")
+                           .join(won.select("j"), "j", "left_anti"))
+    if not taken:
+        return edges.select("i", "j").limit(0)
+    out = taken[0]
+    for part in taken[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _best_assignment(gain: np.ndarray) -> np.ndarray:
+    """Column of each row in the matching of largest total gain, -1 where none.
+    Shortest augmenting paths over the rows; −inf marks a pair that may not match."""
+    n, m = gain.shape
+    cost = np.full((n, m + n), np.inf)
+    cost[:, :m] = -gain
+    cost[np.arange(n), m + np.arange(n)] = 0.0          # staying alone
+    width = m + n
+    u, v = np.zeros(n), np.zeros(width)                 # dual prices
+    row_of, col_of = np.full(width, -1), np.full(n, -1)
+    for new in range(n):
+        dist, via = np.full(width, np.inf), np.full(width, -1)
+        done = np.zeros(width, dtype=bool)
+        tree, i, reached = [], new, 0.0
+        while True:
+            tree.append(i)
+            through = reached + cost[i] - u[i] - v
+            closer = ~done & (through < dist)
+            dist[closer], via[closer] = through[closer], i
+            j = int(np.argmin(np.where(done, np.inf, dist)))
+            reached, done[j] = dist[j], True
+            if row_of[j] < 0:
+                break
+            i = int(row_of[j])
+        u[new] += reached
+        for i in tree[1:]:
+            u[i] += reached - dist[col_of[i]]
+        v[done] += dist[done] - reached
+        while True:                                     # flip the path back to the new row
+            i = int(via[j])
+            row_of[j], col_of[i], j = i, j, int(col_of[i])
+            if i == new:
+                break
+    return np.where(col_of < m, col_of, -1)
+
+
+def _solve(a: np.ndarray, b: np.ndarray, gain: np.ndarray) -> np.ndarray:
+    """Which edges of one component are in its best assignment."""
+    rows, ri = np.unique(a, return_inverse=True)
+    cols, ci = np.unique(b, return_inverse=True)
+    full = np.full((len(rows), len(cols)), -np.inf)
+    full[ri, ci] = gain
+    return _best_assignment(full)[ri] == ci
+
+
+def _groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
+    """Consecutive rows of equal key from sorted batches, one group at a time."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        if pdf.empty:
+            continue
+        cuts = np.flatnonzero(pdf[key].to_numpy()[1:] != pdf[key].to_numpy()[:-1]) + 1
+        for part in np.split(np.arange(len(pdf)), cuts):
+            rows = pdf.iloc[part]
+            if held and held[-1][key].iloc[0] != rows[key].iloc[0]:
+                yield pd.concat(held)
+                held = []
+            held.append(rows)
+    if held:
+        yield pd.concat(held)
+
+
+def assign(edges: DataFrame) -> DataFrame:
+    """Best assignment over ``(a, b, gain)``: each a and each b in at most one
+    chosen edge, total gain largest; ``(a, b)``.
+
+    The objective separates over connected components. An edge alone in its
+    component is taken as it is; the others go to the workers component by
+    component, in a partition sorted by component.
+    """
+    edges = cut_lineage(edges.where("gain > 0"))
+    deg_a = edges.groupBy("a").agg(F.count(F.lit(1)).alias("_na"))
+    deg_b = edges.groupBy("b").agg(F.count(F.lit(1)).alias("_nb"))
+    sized = cut_lineage(edges.join(deg_a, "a").join(deg_b, "b"))
+    alone = sized.where("_na = 1 AND _nb = 1").select("a", "b")
+    rest = sized.where("_na > 1 OR _nb > 1").select("a", "b", "gain")
+    if rest.isEmpty():
+        return alone
+    side = lambda n, c: F.struct(F.lit(n).alias("side"), F.col(c).alias("id"))
+    comp = connected_components(rest.select(side(0, "a").alias("a"), side(1, "b").alias("b")))
+    comp = comp.where("node.side = 0").select(F.col("node.id").alias("a"), F.xxhash64("component").alias("comp"))
+    grouped = rest.join(comp, "a").repartition("comp").sortWithinPartitions("comp", "a", "b")
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in _groups(batches, "comp"):
+            yield g.loc[_solve(g["a"].to_numpy(), g["b"].to_numpy(), g["gain"].to_numpy(float)), ["a", "b"]]
+    schema = ", ".join(f"{c} {rest.schema[c].dataType.simpleString()}" for c in ("a", "b"))
+    return alone.unionByName(grouped.mapInPandas(best, schema))
+
+
+# ---- from links to tracks -------------------------------------------------------
+
+def track_ids(locs: DataFrame, links: DataFrame) -> DataFrame:
+    """Give the chains formed by ``links(i, j)`` dense particle ids."""
+    roots = chain_roots(locs.select(F.col("loc_id").alias("id")),
+                        links.select(F.col("i").alias("pred"), F.col("j").alias("succ")))
+    rooted = locs.join(roots.withColumnRenamed("id", "loc_id"), "loc_id")
+    return dense_ids(rooted, ["recording_id"], "root", "particle").drop("root")
+
+
+def link_nn(locs: DataFrame, radius: float, max_gap: int = 1, min_len: int = 1) -> DataFrame:
+    """Greedy nearest neighbour. One-frame gaps are matched for all frames at
+    once; with longer gaps tracks coast and frames follow each other."""
+    locs = valid_localisations(locs)
+    if max_gap > 1:
+        return _link_online(locs, radius, max_gap, "greedy", min_len)
+    links = greedy_links(link_candidates(locs, radius, 1))
+    return filter_track_length(track_ids(locs, links), min_len)
+
+
+def link_subnet(locs: DataFrame, radius: float, memory: int = 0, min_len: int = 1) -> DataFrame:
+    """Least total squared displacement inside each connected subnet, a spot left
+    without successor costing radius². Lost tracks are kept for ``memory`` frames."""
+    locs = valid_localisations(locs)
+    if memory > 0:
+        return _link_online(locs, radius, memory + 1, "subnet", min_len)
+    edges = link_candidates(locs, radius, 1).select(
+        F.col("i").alias("a"), F.col("j").alias("b"), (radius ** 2 - F.col("d2")).alias("gain"))
+    links = assign(edges).select(F.col("a").alias("i"), F.col("b").alias("j"))
+    return filter_track_length(track_ids(locs, links), min_len)
+
+
+def _lap_gain(pairs: DataFrame, cost: str, default_alt: float, featured: bool) -> DataFrame:
+    """Gain of an edge over leaving both its ends open. With a feature penalty
+    the price of an open end is 1.05 times the dearest edge of the problem the
+    edge belongs to (``problem``)."""
+    if not featured:
+        return pairs.withColumn("gain", 2.0 * default_alt - F.col(cost))
+    worst = pairs.groupBy("problem").agg((1.05 * F.max(cost)).alias("_alt"))
+    return pairs.join(worst, "problem").withColumn("gain", 2.0 * F.col("_alt") - F.col(cost))
+
+
+def frame_segments(locs: DataFrame, radius: float, w_feat: float = 0.0, feature: str = "mass") -> DataFrame:
+    """Frame-to-frame assignment; ``(…, segment)`` = first loc_id of the segment."""
+    pairs = link_candidates(locs, radius, 1)
+    if w_feat:
+        one = locs.select(F.col("loc_id").alias("i"), F.col(feature).alias("_fi"))
+        two = locs.select(F.col("loc_id").alias("j"), F.col(feature).alias("_fj"))
+        p = 1 + w_feat * feature_penalty(F.col("_fi"), F.col("_fj"))
+        pairs = pairs.join(one, "i").join(two, "j").withColumn("cost", F.col("d2") * p * p)
+    else:
+        pairs = pairs.withColumn("cost", F.col("d2"))
+    edges = _lap_gain(pairs.withColumn("problem", F.struct("recording_id", "frame")), "cost", radius ** 2, bool(w_feat))
+    links = assign(edges.select(F.col("i").alias("a"), F.col("j").alias("b"), "gain"))
+    roots = chain_roots(locs.select(F.col("loc_id").alias("id")),
+                        links.select(F.col("a").alias("pred"), F.col("b").alias("succ")))
+    return locs.join(roots.select(F.col("id").alias("loc_id"), F.col("root").alias("segment")), "loc_id")
+
+
+def segment_table(segs: DataFrame, feature: str | None = None) -> DataFrame:
+    names = ["frame", "x", "y", "loc_id"] + ([feature] if feature else [])
+    here = F.struct(*names)
+    t = segs.groupBy("recording_id", "segment").agg(F.min_by(here, "frame").alias("s"), F.max_by(here, "frame").alias("e"))
+    return t.select("recording_id", "segment", *[F.col(f"s.{c}").alias(f"start_{c}") for c in names],
+                    *[F.col(f"e.{c}").alias(f"end_{c}") for c in names])
+
+
+def gap_candidates(segments: DataFrame, radius: float, max_gap: int, feature: str | None = None) -> DataFrame:
+    """Segment end → later segment start, 1…max_gap frames on and within the
+    radius: ``(recording_id, a, b, gap, d2)``."""
+    extra_a = [F.col(f"end_{feature}").alias("_fa")] if feature else []
+    extra_b = [F.col(f"start_{feature}").alias("_fb")] if feature else []
+    left = segments.select("recording_id", F.col("segment").alias("a"), F.col("end_x").alias("x"),
+                           F.col("end_y").alias("y"), F.col("end_frame").alias("_end"), *extra_a,
+                           F.explode(F.sequence(F.lit(1), F.lit(max_gap))).alias("gap"))
+    left = left.withColumn("frame", F.col("_end") + F.col("gap")).drop("_end")
+    right = segments.select("recording_id", F.col("segment").alias("b"), F.col("start_x").alias("x2"),
+                            F.col("start_y").alias("y2"), F.col("start_frame").alias("frame"), *extra_b)
+    return near_pairs(left, right, radius, ["recording_id", "frame"]).drop("x", "y", "x2", "y2", "frame")
+
+
+def branch_candidates(segs: DataFrame, segments: DataFrame, radius: float, kind: str,
+                      feature: str | None = None) -> DataFrame:
+    """``merge``: a segment's end → a segment ongoing one frame later.
+    ``split``: a segment ongoing one frame before → a segment's start. The other
+    segment must run on through that frame. ``(recording_id, a, b, d2)`` with a
+    the earlier segment."""
+    end = kind == "merge"
+    point, step = ("end", 1) if end else ("start", -1)
+    left = segments.select("recording_id", F.col("segment").alias("own"), F.col(f"{point}_x").alias("x"),
+                           F.col(f"{point}_y").alias("y"), (F.col(f"{point}_frame") + step).alias("frame"),
+                           *([F.col(f"{point}_{feature}").alias("_fa")] if feature else []))
+    span = segments.select("segment", "start_frame", "end_frame")
+    through = (F.col("frame") > F.col("start_frame")) if end else (F.col("frame") < F.col("end_frame"))
+    right = (segs.join(span, "segment").where(through).select(
+        "recording_id", "frame", F.col("segment").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"),
+        *([F.col(feature).alias("_fb")] if feature else [])))
+    near = near_pairs(left, right, radius, ["recording_id", "frame"]).where(F.col("own") != F.col("other"))
+    a, b = ("own", "other") if end else ("other", "own")
+    return near.select("recording_id", F.col(a).alias("a"), F.col(b).alias("b"), "d2",
+                       *(["_fa", "_fb"] if feature else []))
+
+
+def link_lap(locs: DataFrame, radius: float, max_gap: int = 12, min_len: int = 1) -> DataFrame:
+    """Frame-to-frame assignment, then one assignment over all gaps."""
+    return link_lap_full(locs, radius, max_gap, min_len)[0]
+
+
+def link_lap_full(locs: DataFrame, radius: float, max_gap: int = 12, min_len: int = 1,
+                  merging: bool = False, splitting: bool = False, w_feat: float = 0.0,
+                  feature: str = "mass", branch_factor: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """The two-step assignment with optional merges, splits and feature penalty.
+    Returns the linked localisations and the events ``(recording_id, kind, a, b)``;
+    segments joined by any event share a particle."""
+    locs = valid_localisations(locs)
+    feat = feature if w_feat else None
+    segs = cut_lineage(frame_segments(locs, radius, w_feat, feature))
+    segments = cut_lineage(segment_table(segs, feat))
+    parts = [gap_candidates(segments, radius, max_gap, feat).withColumns({
+        "kind": F.lit("gap_close"), "scale": F.lit(1.0)}).drop("gap")] if max_gap > 0 else []
+    for on, kind in ((merging, "merge"), (splitting, "split")):
+        if on:
+            parts.append(branch_candidates(segs, segments, radius, kind, feat).withColumns({
+                "kind": F.lit(kind), "scale": F.lit(float(branch_factor))}))
+    if not parts:
+        return _finish(segs.withColumnRenamed("segment", "root"), min_len), segments.select(
+            "recording_id", F.lit("").alias("kind"), F.col("segment").alias("a"), F.col("segment").alias("b")).limit(0)
+    pairs = parts[0]
+    for p in parts[1:]:
+        pairs = pairs.unionByName(p)
+    pen = 1 + w_feat * feature_penalty(F.col("_fa"), F.col("_fb")) if feat else F.lit(1.0)
+    # a merge takes a slot of the segment joined, a split one of the segment left
+    pairs = pairs.withColumn("cost", F.col("d2") * pen * pen * F.col("scale")).withColumns({
+        "ra": F.struct(F.when(F.col("kind") == "split", 1).otherwise(0).alias("slot"), "a"),
+        "cb": F.struct(F.when(F.col("kind") == "merge", 1).otherwise(0).alias("slot"), "b")})
+    open_price = bool(w_feat) or merging or splitting
+    # a pair can be offered once per kind and slot; keep its cheapest offer
+    pairs = pairs.groupBy("recording_id", "kind", "a", "b", "ra", "cb").agg(F.min("cost").alias("cost"))
+    edges = _lap_gain(pairs.withColumn("problem", F.col("recording_id")), "cost", radius ** 2, open_price)
+    chosen = assign(edges.select(
+        F.concat_ws(":", "ra.slot", "ra.a").alias("a"), F.concat_ws(":", "cb.slot", "cb.b").alias("b"), "gain"))
+    events = chosen.select(F.split("a", ":").alias("p"), F.split("b", ":").alias("q")).select(
+        F.col("p")[1].cast("long").alias("a"), F.col("q")[1].cast("long").alias("b"),
+        F.when(F.col("p")[0] == "1", "split").when(F.col("q")[0] == "1", "merge").otherwise("gap_close").alias("kind"))
+    events = cut_lineage(events.join(segments.select(F.col("segment").alias("a"), "recording_id"), "a")
+                         .select("recording_id", "kind", "a", "b"))
+    if events.isEmpty():
+        joined = segs.withColumn("root", F.col("segment"))
+    else:
+        comp = connected_components(events.select("a", "b")).withColumnRenamed("node", "segment")
+        joined = segs.join(comp, "segment", "left").withColumn("root", F.coalesce("component", "segment")).drop("component")
+    return _finish(joined.drop("segment"), min_len), events
+
+
+def _finish(rooted: DataFrame, min_len: int) -> DataFrame:
+    named = dense_ids(rooted, ["recording_id"], "root", "particle").drop("root")
+    return filter_track_length(named, min_len)
+
+
+# ---- frame-by-frame linkers -------------------------------------------------------
+
+class Tracks:
+    """Open tracks of one group while its frames pass by in order."""
+
+    def __init__(self, radius: float, max_gap: int, rule: str, q_vel: float = 0.05,
+                 r_meas: float = 0.25, p0_vel: float = 25.0):
+        self.radius, self.max_gap, self.rule = radius, max_gap, rule
+        self.q = np.array([1e-4, 1e-4, q_vel, q_vel])
+        self.r, self.p0 = r_meas, np.array([r_meas, r_meas, p0_vel, p0_vel])
+        self.root = np.empty(0, dtype=np.int64)      # first loc_id of each open track
+        self.last = np.empty(0, dtype=np.int64)      # frame of its last detection
+        self.at = np.empty(0, dtype=np.int64)        # frame its state stands for
+        self.state = np.empty((0, 4))                # x, y, vx, vy
+        self.cov = np.empty((0, 4, 4))
+
+    def _predict(self, frame: int) -> np.ndarray:
+        if self.rule != "kalman":
+            return self.state[:, :2]
+        dt = (frame - self.at).astype(float)
+        move = np.tile(np.eye(4), (len(dt), 1, 1))
+        move[:, 0, 2] = move[:, 1, 3] = dt
+        self.state = np.einsum("tij,tj->ti", move, self.state)
+        self.cov = move @ self.cov @ move.transpose(0, 2, 1) + dt[:, None, None] * np.diag(self.q)
+        self.at = np.full(len(dt), frame)
+        return self.state[:, :2]
+
+    def _pairs(self, pred: np.ndarray, xy: np.ndarray):
+        """Track–detection pairs within the radius, through a grid of the detections."""
+        size = self.radius
+        cells: dict[tuple[int, int], list[int]] = {}
+        for j, (cx, cy) in enumerate(np.floor(xy / size).astype(int).tolist()):
+            cells.setdefault((cx, cy), []).append(j)
+        k, j = [], []
+        for t, (cx, cy) in enumerate(np.floor(pred / size).astype(int).tolist()):
+            for dx in (-1, 0, 1):
+                for dy in (-1, 0, 1):
+                    hit = cells.get((cx + dx, cy + dy), ())
+                    k.extend([t] * len(hit))
+                    j.extend(hit)
+        k, j = np.array(k, dtype=int), np.array(j, dtype=int)
+        d2 = ((pred[k] - xy[j]) ** 2).sum(1) if len(k) else np.empty(0)
+        ok = d2 <= self.radius ** 2
+        return k[ok], j[ok], d2[ok]
+
+    def _match(self, k, j, d2) -> np.ndarray:
+        """Which of the pairs become links."""
+        chosen = np.zeros(len(k), dtype=bool)
+        if self.rule == "greedy":
+            used_k, used_j = set(), set()
+            for e in np.lexsort((k, j, d2)):
+                if k[e] not in used_k and j[e] not in used_j:
+                    chosen[e] = True
+                    used_k.add(k[e])
+                    used_j.add(j[e])
+            return chosen
+        price = self.radius ** 2 * (1 if self.rule == "subnet" else 2)
+        gain = price - d2
+        parent = {}
+
+        def find(n):
+            while parent.setdefault(n, n) != n:
+                parent[n] = parent[parent[n]]
+                n = parent[n]
+            return n
+        for a, b in zip(k.tolist(), j.tolist()):
+            parent[find((0, a))] = find((1, b))
+        groups: dict = {}
+        for e, a in enumerate(k.tolist()):
+            groups.setdefault(find((0, a)), []).append(e)
+        for edges in groups.values():
+            e = np.array(edges)
+            e = e[gain[e] > 0]
+            if len(e):
+                chosen[e] = _solve(k[e], j[e], gain[e])
+        return chosen
+
+    def frame(self, frame: int, ids: np.ndarray, xy: np.ndarray) -> np.ndarray:
+        """Take one frame's detections; return the root of the track of each."""
+        keep = (frame - self.last) <= self.max_gap
+        for name in ("root", "last", "at", "state", "cov"):
+            setattr(self, name, getattr(self, name)[keep])
+        roots = ids.copy()
+        pred = self._predict(frame)
+        k, j, d2 = self._pairs(pred, xy)
+        won = self._match(k, j, d2)
+        k, j = k[won], j[won]
+        if len(k):
+            roots[j] = self.root[k]
+            self.last[k] = frame
+            if self.rule == "kalman":
+                s = self.cov[k][:, :2, :2] + self.r * np.eye(2)
+                gain = self.cov[k][:, :, :2] @ np.linalg.inv(s)
+                self.state[k] += np.einsum("tij,tj->ti", gain, xy[j] - self.state[k][:, :2])
+                self.cov[k] = self.cov[k] - gain @ self.cov[k][:, :2, :]
+            else:
+                self.state[k, :2] = xy[j]
+        new = np.setdiff1d(np.arange(len(ids)), j)
+        self.root = np.concatenate([self.root, ids[new]])
+        self.last = np.concatenate([self.last, np.full(len(new), frame)])
+        self.at = np.concatenate([self.at, np.full(len(new), frame)])
+        self.state = np.vstack([self.state, np.column_stack([xy[new], np.zeros((len(new), 2))])])
+        self.cov = np.concatenate([self.cov, np.tile(np.diag(self.p0), (len(new), 1, 1))])
+        return roots
+
+
+def _roll(batches: Iterator[pd.DataFrame], make: Callable[[], Tracks]) -> Iterator[pd.DataFrame]:
+    """Feed frames to ``Tracks`` group after group; rows sorted by (group, frame)."""
+    group, tracks = None, None
+    keyed = (p.assign(_gf=p["_g"].astype(str) + ":" + p["frame"].astype(str)) for p in batches)
+    for pdf in _groups(keyed, "_gf"):
+        g = pdf["_g"].iloc[0]
+        if g != group:
+            group, tracks = g, make()
+        ids = pdf["loc_id"].to_numpy(np.int64)
+        roots = tracks.frame(int(pdf["frame"].iloc[0]), ids, pdf[["x", "y"]].to_numpy(float))
+        yield pd.DataFrame({"loc_id": ids, "root": roots})
+
+
+def _link_online(locs: DataFrame, radius: float, max_gap: int, rule: str, min_len: int) -> DataFrame:
+    """Run a frame-by-frame rule. Tracks can only interact through spots within
+    the radius and ``max_gap`` frames, so each connected component of such spots
+    is a group of its own; a Kalman prediction may leave that reach, so there the
+    group is the recording. A task holds open tracks, never a group's rows."""
+    require_columns(locs, "recording_id", "loc_id", "frame", "x", "y")
+    if rule == "kalman":
+        grouped = locs.select("loc_id", "frame", "x", "y", F.xxhash64("recording_id").alias("_g"))
+    else:
+        near = link_candidates(locs, radius, max_gap)
+        comp = connected_components(near.select(F.col("i").alias("a"), F.col("j").alias("b")))
+        comp = comp.select(F.col("node").alias("loc_id"), F.col("component").alias("_g"))
+        grouped = locs.select("loc_id", "frame", "x", "y").join(comp, "loc_id")
+    ordered = grouped.repartition("_g").sortWithinPartitions("_g", "frame", "loc_id")
+    rolled = ordered.mapInPandas(lambda it: _roll(it, lambda: Tracks(radius, max_gap, rule)),
+                                 "loc_id long, root long")
+    rooted = cut_lineage(locs.join(rolled, "loc_id", "left").withColumn("root", F.coalesce("root", "loc_id")))
+    return _finish(rooted, min_len)
+
+
+def link_kalman(locs: DataFrame, radius: float, max_gap: int = 12, min_len: int = 1) -> DataFrame:
+    """Constant-velocity filter per track: predict by the true number of frames,
+    assign within the gate, correct; tracks coast for up to ``max_gap`` frames."""
+    return _link_online(valid_localisations(locs), radius, max_gap, "kalman", min_len)
+
+
+def config_energy(candidates: DataFrame, links: DataFrame, locs: DataFrame, birth: float, death: float) -> DataFrame:
+    """Energy of a linking per recording: chosen costs, and births and deaths of
+    every spot without predecessor or successor."""
+    chosen = candidates.join(links.select("i", "j"), ["i", "j"])
+    spent = chosen.groupBy("recording_id").agg(F.sum("cost").alias("_cost"), F.count(F.lit(1)).alias("n_links"))
+    n = locs.groupBy("recording_id").agg(F.count(F.lit(1)).alias("n_locs"))
+    out = n.join(spent, "recording_id", "left").na.fill(0, ["_cost", "n_links"])
+    ends = F.col("n_locs") - F.col("n_links")
+    return out.select("recording_id", "n_locs", "n_links", (F.col("_cost") + ends * (birth + death)).alias("energy"))
+
+
+def estimate_search_range(locs: DataFrame, memory: int = 1, min_len: int = 4, frame_sample: int = 300,
+                          margin: float = 1.1, steps: int = 12) -> DataFrame:
+    """Search radius per recording: the smallest of a geometric series up to a
+    share of the spot spacing at which mean track length reaches 95 % of its
+    maximum, times a margin. ``memory`` 1 links consecutive frames."""
+    first = locs.groupBy("recording_id").agg(F.min("frame").alias("_f0"))
+    sub = cut_lineage(locs.join(first, "recording_id").where(F.col("frame") < F.col("_f0") + frame_sample).drop("_f0"))
+    spacing = quantiles(nearest_spacing(sub), ["recording_id"], "distance", {"spacing": 0.5})
+    cap = F.least(F.greatest(0.7 * F.coalesce("spacing", F.lit(20.0 / 0.7)), F.lit(3.0)), F.lit(30.0))
+    caps = cut_lineage(sub.select("recording_id").distinct().join(spacing, "recording_id", "left")
+                       .select("recording_id", cap.alias("cap")))
+    top = caps.agg(F.max("cap")).first()[0]
+    if top is None:
+        return caps.select("recording_id", F.lit(None).cast("double").alias("search_range")).limit(0)
+    # one candidate table for all radii: each step links the edges below its own radius
+    grid = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)),
+                       lambda k: F.round(F.pow(F.col("cap"), k / float(steps - 1)), 2))
+    swept = caps.select("recording_id", "cap", F.posexplode(grid).alias("step", "radius"))
+    near = cut_lineage(link_candidates(sub, float(top) + 0.01, max(memory, 1)))
+    many = near.join(swept.select("recording_id", "step", "radius"), "recording_id").where(
+        F.col("d2") <= F.col("radius") * F.col("radius"))
+    links = greedy_links(many.where("gap = 1").select(F.struct("step", "i").alias("i"), F.struct("step", "j").alias("j"), "d2"))
+    nodes = sub.join(swept.select("recording_id", "step"), "recording_id").select(
+        "recording_id", "step", F.struct("step", F.col("loc_id").alias("i")).alias("id"))
+    roots = chain_roots(nodes, links.select(F.col("i").alias("pred"), F.struct(
+        F.col("j.step").alias("step"), F.col("j.j").alias("i")).alias("succ")))
+    lengths = nodes.join(roots, "id").groupBy("recording_id", "step", "root").agg(F.count(F.lit(1)).alias("n"))
+    good = lengths.where(F.col("n") >= min_len).groupBy("recording_id", "step").agg(F.avg("n").alias("mean_len"))
+    table = swept.join(good, ["recording_id", "step"], "left").na.fill(0.0, ["mean_len"])
+    best = table.groupBy("recording_id").agg(F.max("mean_len").alias("_top"))
+    onset = (table.join(best, "recording_id").where((F.col("_top") > 1e-6) & (F.col("mean_len") >= 0.95 * F.col("_top")))
+             .groupBy("recording_id").agg(F.min("radius").alias("onset"), F.first("cap").alias("cap")))
+    return caps.select("recording_id").join(onset, "recording_id", "left").select(
+        "recording_id", F.coalesce(F.least(F.greatest(F.col("onset") * margin, F.lit(1.0)), F.col("cap")), F.lit(5.0))
+        .alias("search_range"), F.col("onset").alias("onset_search_range"), F.col("cap").alias("cap_px"))
+
+
+LINKERS: dict[str, Callable[..., DataFrame]] = {}
+ALIASES = {"trackpy": "subnet", "crocker-grier": "subnet", "lap": "simple_lap"}
+DEFAULT_LINKER = "subnet"
+
+
+def register_linker(name: str, fn: Callable[..., DataFrame]) -> None:
+    """``fn(locs, radius, memory, min_len, **params)`` → localisations with particle."""
+    LINKERS[name] = fn
+
+
+register_linker("subnet", lambda locs, radius, memory, min_len, **p: link_subnet(locs, radius, memory, min_len))
+register_linker("nn", lambda locs, radius, memory, min_len, **p: link_nn(locs, radius, 1, min_len))
+register_linker("simple_lap", lambda locs, radius, memory, min_len, **p: link_lap(locs, radius, memory, min_len))
+register_linker("full_lap", lambda locs, radius, memory, min_len, **p: link_lap_full(locs, radius, memory, min_len, **p)[0])
+register_linker("kalman", lambda locs, radius, memory, min_len, **p: link_kalman(locs, radius, memory, min_len))
+
+
+def link(locs: DataFrame, linker: str = DEFAULT_LINKER, radius: float = 5.0, memory: int = 3,
+         min_len: int = 5, max_len: int | None = None, **params) -> DataFrame:
+    """Link with a registered linker; an unknown name falls back to the default
+    with a warning. ``memory`` does not reach the nearest-neighbour linker."""
+    key = str(linker).strip().lower()
+    key = ALIASES.get(key, key)
+    if key not in LINKERS:
+        import warnings
+        warnings.warn(f"unknown linker {linker!r}, using {DEFAULT_LINKER!r}", stacklevel=2)
+        key = DEFAULT_LINKER
+    out = LINKERS[key](locs, radius, memory, min_len, **params)
+    return filter_track_length(out, 1, max_len) if max_len else out

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from lociflow.operators import circular as C, group_stats as G, summary as M
+from lociflow.session import cut_lineage
 
 CANONICAL_METRICS = (
     "auc_msd", "mob_immob_ratio", "mobile_fraction", "median_d", "median_alpha", "radius_of_gyration",
@@ -15,7 +16,7 @@ def compare(replicates: DataFrame, assignments: DataFrame, config: dict | None =
     """Everything the comparison reports: the replicate table with metrics of
     incompatible runs blanked, omnibus and pairwise tests, and for designs with
     time points the paired two-way analysis."""
-    rows = M.metric_contract(replicates).join(assignments, "recording_id")
+    rows = cut_lineage(M.metric_contract(replicates).join(assignments, "recording_id"))
     metrics = [m for m in (*CANONICAL_METRICS, *M.METRICS) if m in rows.columns]
     long = G.melt(rows, ["recording_id", "group", "timepoint", "cell"], metrics)
     omnibus, pairwise = G.compare_metrics(long, config)
@@ -28,7 +29,7 @@ def compare(replicates: DataFrame, assignments: DataFrame, config: dict | None =
 def circular_comparison(angles: DataFrame, assignments: DataFrame, config: dict | None = None) -> DataFrame:
     """Concentration, resultant length and mean direction compared with one value
     per recording; angles are never pooled across recordings."""
-    per = C.circular_stats(angles).where("n >= 2").join(assignments, "recording_id")
+    per = cut_lineage(C.circular_stats(angles).where("n >= 2").join(assignments, "recording_id"))
     long = G.melt(per, ["recording_id", "group"], ["concentration_kappa", "mean_resultant_length"])
     omnibus, _ = G.compare_metrics(long, config)
     ww = C.watson_williams(per.withColumn("_all", F.lit(0)), ["_all"], "group", "mean_direction_deg")
