@@ -207,7 +207,8 @@ def suggest_eps(points: DataFrame, min_samples: int = 8, low: float = 0.005, hig
         F.max(lo).alias("lo"), F.max(hi).alias("hi"))
     run = d.join(ends, "recording_id").where((last >= F.col("lo")) & (F.col("n_below") <= F.col("hi")))
     # equal distances occupy a run of places; only its ends can be extreme
-    at = run.withColumn("i", F.explode(F.array(F.greatest("n_below", "lo"), F.least(last, "hi"))) - F.col("lo"))
+    places = F.array(F.greatest("n_below", "lo"), F.least(last, F.col("hi")))
+    at = run.withColumn("i", F.explode(places)).withColumn("i", F.col("i") - F.col("lo"))
     span = F.col("hi") - F.col("lo")
     off = F.abs((F.col("y1") - F.col("y0")) * F.col("i") - span * F.col("value") + span * F.col("y0"))
     best = at.groupBy("recording_id").agg(

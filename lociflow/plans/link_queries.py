@@ -237,7 +237,7 @@ def density_map(spark, d):
 b AS (SELECT recording_id, min(x) AS x0, min(y) AS y0 FROM locs GROUP BY ALL),
 m AS (SELECT recording_id, CAST(floor((x-x0)/20.0) AS BIGINT) AS bx, CAST(floor((y-y0)/20.0) AS BIGINT) AS by, count(*) AS n FROM locs JOIN b USING (recording_id) GROUP BY ALL),
 k AS (SELECT o, exp(-0.5*o*o)/sum(exp(-0.5*o*o)) OVER () AS w FROM (SELECT unnest(range(-4, 5)) AS o))
-SELECT recording_id, bx + kx.o AS bx, by + ky.o AS by, {r('sum(n*kx.w*ky.w)')} AS v FROM m CROSS JOIN k kx CROSS JOIN k ky GROUP BY ALL""")
+SELECT recording_id, bx + kx.o AS bx, "by" + ky.o AS "by", {r('sum(n*kx.w*ky.w)')} AS v FROM m CROSS JOIN k kx CROSS JOIN k ky GROUP BY ALL""")
 def blur_map(spark, d):
     return rounded(U.blur_map(U.density_map(V.localisations(spark, d), PX, sr_nm=200.0), 1.0))
 
