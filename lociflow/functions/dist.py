@@ -281,11 +281,9 @@ def sample_size_col(d, power: float):
     return _column(lambda v: sample_size(v, power), d).cast("int")
 
 
-@F.pandas_udf("double")
-def _shapiro(values: pd.Series) -> pd.Series:
-    ps = [shapiro_p(v) for v in values]
-    return pd.Series([None if p != p else p for p in ps], dtype="object")
-
-
 def shapiro_col(values: Column) -> Column:
-    return _shapiro(values)
+    @F.pandas_udf("double")
+    def apply(arrays: pd.Series) -> pd.Series:
+        ps = [shapiro_p(v) for v in arrays]
+        return pd.Series([None if p != p else p for p in ps], dtype="object")
+    return apply(values)

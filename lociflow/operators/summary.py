@@ -256,3 +256,23 @@ def recording_days(recordings: DataFrame, acquired_at: str = "acquired_at") -> D
     order = dated.where(F.col("day").isNotNull()).select("day").distinct().withColumn(
         "day_no", F.dense_rank().over(W.orderBy("day")))
     return dated.join(order, "day", "left")
+
+
+def pool_runs(*tables: DataFrame) -> DataFrame:
+    """The rows of several runs; columns only some have are NULL in the others."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
+    return out
+
+
+def seeded_sample(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
+    """``n`` rows chosen by a hash of their key: the same ones every time."""
+    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+
+
+def track_attributes(diffusion: DataFrame, *parts: DataFrame) -> DataFrame:
+    """Per-track columns joined onto the per-track table."""
+    for part in parts:
+        diffusion = diffusion.join(part, TRACK_KEY, "left")
+    return diffusion

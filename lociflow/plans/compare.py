@@ -52,3 +52,16 @@ def common_levels(curves: DataFrame, assignments: DataFrame, level: str) -> Data
     n = have.groupBy("group").agg(F.count_distinct("recording_id").alias("_n"))
     return (have.groupBy("group", level).agg(F.count_distinct("recording_id").alias("_c"))
             .join(n, "group").where("_c = _n").select("group", level))
+
+
+def curve_drilldown(curves: DataFrame, assignments: DataFrame, level: str, value: str) -> DataFrame:
+    """Group × level analysis of curves at each time point (``metric`` names it),
+    over the levels every recording of every group has."""
+    rows = curves.where(F.col(value).isNotNull()).join(assignments, "recording_id")
+    n = rows.groupBy("timepoint").agg(F.count_distinct("recording_id").alias("_n"))
+    full = (rows.groupBy("timepoint", level).agg(F.count_distinct("recording_id").alias("_c"))
+            .join(n, "timepoint").where("_c = _n").select("timepoint", level))
+    long = rows.join(full, ["timepoint", level], "left_semi").select(
+        F.col("timepoint").cast("string").alias("metric"), "group", F.col(level).alias("timepoint"),
+        F.col("recording_id").alias("cell"), F.col(value).cast("double").alias("value"))
+    return G.mixed_anova(cut_lineage(long))

@@ -45,8 +45,8 @@ ranked AS (SELECT metric, "group", value, rank() OVER w + (count(*) OVER (PARTIT
 tie_of AS (SELECT metric, sum(t*t*t - t)::DOUBLE AS ties, sum(t) AS total FROM (
              SELECT metric, value, count(*) AS t FROM vals GROUP BY ALL) GROUP BY metric),
 rank_of AS (SELECT metric, "group", count(*) AS n, sum(rk) AS rank_sum FROM ranked GROUP BY ALL)"""
-WELCH_T = "(mean_i - mean_j) / sqrt(var_i/n_i + var_j/n_j)"
-WELCH_DF = "(var_i/n_i + var_j/n_j)**2 / ((var_i/n_i)**2/(n_i-1) + (var_j/n_j)**2/(n_j-1))"
+WELCH_T = "(mean_i - mean_j) / nullif(sqrt(var_i/n_i + var_j/n_j), 0)"
+WELCH_DF = "(var_i/n_i + var_j/n_j)**2 / nullif((var_i/n_i)**2/(n_i-1) + (var_j/n_j)**2/(n_j-1), 0)"
 
 
 @query("group_pairs", f"""WITH {VALUES} SELECT metric, group_i, group_j, n_i, n_j, {rs('mean_i', 'mean_j', 'var_i', 'var_j')}
@@ -551,3 +551,46 @@ def common_lags(spark, d):
     from lociflow.plans.compare import common_levels
     return common_levels(D.ensemble_msd(V.tracks(spark, d), PX).where("msd_um2 IS NOT NULL"),
                          V.assignments(spark, d), "lag_frame")
+
+
+@query("curve_drilldown", f"""WITH {PAIRS}, {SQL_ASSIGN},
+curve AS (SELECT recording_id, lag, avg(dx*dx+dy*dy) AS m FROM pairs WHERE lag <= 6 GROUP BY ALL),
+rows_ AS (SELECT a.timepoint AS tp, "group", lag, recording_id, m FROM curve JOIN assignments a USING (recording_id)),
+nn AS (SELECT tp, count(DISTINCT recording_id) AS n FROM rows_ GROUP BY ALL),
+ok AS (SELECT tp, lag FROM rows_ JOIN nn USING (tp) GROUP BY tp, lag, n HAVING count(DISTINCT recording_id) = n),
+complete AS (SELECT CAST(tp AS VARCHAR) AS metric, "group", lag AS timepoint, recording_id AS cell, m AS value FROM rows_ SEMI JOIN ok USING (tp, lag))
+{MIXED[len(PAIRED):]}
+SELECT metric, 'group' AS effect, {r('(ss_g/dg)/(ss_s/ds)')} AS F, dg::DOUBLE AS df1, ds::DOUBLE AS df2 FROM e
+UNION ALL SELECT metric, 'timepoint', {r('(ss_t/dt)/(ss_e/(ds*dt))')}, dt::DOUBLE, (ds*dt)::DOUBLE FROM e
+UNION ALL SELECT metric, 'interaction', {r('(ss_i/(dg*dt))/(ss_e/(ds*dt))')}, (dg*dt)::DOUBLE, (ds*dt)::DOUBLE FROM e""")
+def curve_drilldown(spark, d):
+    from lociflow.plans.compare import curve_drilldown as run
+    c = D.ensemble_msd(V.tracks(spark, d), PX, 6)
+    return rounded(run(c, V.assignments(spark, d), "lag_frame", "msd_um2").select("metric", "effect", "F", "df1", "df2"))
+
+
+@query("track_attributes", f"""WITH {FIT} SELECT f.recording_id, f.particle, fit_status, {r('avg(y/100)*0.01*1000')} AS loc_precision_nm FROM fit f
+JOIN tracks t USING (recording_id, particle) GROUP BY ALL""")
+def track_attributes(spark, d):
+    t = V.tracks(spark, d).withColumn("ep", F.col("y") / 100)
+    fits = D.fit_linear_d(D.track_msd(t, PX), DT).select("recording_id", "particle", "fit_status")
+    return rounded(M.track_attributes(fits, D.track_precision(t, PX)))
+
+
+@query("pool_runs", f"""WITH {SQL_TRACKS} SELECT recording_id, particle, frame, CASE WHEN recording_id % 2 = 0 THEN mass END AS mass FROM tracks""")
+def pool_runs(spark, d):
+    t = V.tracks(spark, d).select("recording_id", "particle", "frame", "mass")
+    return M.pool_runs(t.where("recording_id % 2 = 0"), t.where("recording_id % 2 = 1").drop("mass"))
+
+
+@query("seeded_sample")
+def seeded_sample(spark, d):
+    return M.seeded_sample(V.localisations(spark, d), 1000, "loc_id", 42).select("loc_id")
+
+
+@query("semi_and_anti", f"""WITH {FIT} SELECT recording_id, particle, frame, 'kept' AS side FROM tracks SEMI JOIN (SELECT * FROM fit WHERE D > 0.01) k USING (recording_id, particle)
+UNION ALL SELECT recording_id, particle, frame, 'dropped' FROM tracks ANTI JOIN (SELECT * FROM fit WHERE D > 0.01) k USING (recording_id, particle)""")
+def semi_and_anti(spark, d):
+    t = V.tracks(spark, d).select("recording_id", "particle", "frame")
+    keep = D.fit_linear_d(D.track_msd(V.tracks(spark, d), PX), DT).where("D > 0.01")
+    return K.keep_tracks(t, keep).withColumn("side", F.lit("kept")).unionByName(K.drop_tracks(t, keep).withColumn("side", F.lit("dropped")))
