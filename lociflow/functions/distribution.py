@@ -23,22 +23,24 @@ def distribution(df: DataFrame, by: Sequence[str], value: str = "value",
               .groupBy(*by, F.col(value).alias("value"))
               .agg(F.count(F.lit(1)).alias("n_equal")))
     cuts = [i / ranges for i in range(1, ranges)]
+    # both reads of ``counts`` and of ``ranked`` ask for the same columns, so each
+    # shuffle is done once and reused
     edges = counts.groupBy(*by).agg(
-        F.percentile_approx("value", cuts, ranges * 16).alias("_edges"))
+        F.percentile_approx("value", cuts, ranges * 16).alias("_edges"),
+        F.max("n_equal").alias("_most")).where("_most > 0").drop("_most")
     ranged = (counts.join(edges, by)
               .withColumn("_range", F.size(F.filter("_edges", lambda e: e < F.col("value"))))
               .drop("_edges"))
-    in_range = W.partitionBy(*by, "_range")
-    ranked = ranged.withColumn(
-        "_upto", F.sum("n_equal").over(in_range.orderBy("value")
-                                       .rowsBetween(W.unboundedPreceding, 0)))
-    per_range = ranged.groupBy(*by, "_range").agg(F.sum("n_equal").alias("_n"))
-    offsets = per_range.select(
+    in_range = W.partitionBy(*by, "_range").orderBy("value")
+    ranked = ranged.withColumns({
+        "_upto": F.sum("n_equal").over(in_range.rowsBetween(W.unboundedPreceding, 0)),
+        "_next": F.lead("n_equal").over(in_range)})
+    whole = W.partitionBy(*by)
+    offsets = ranked.where(F.col("_next").isNull()).select(
         *by, "_range",
-        F.coalesce(F.sum("_n").over(W.partitionBy(*by).orderBy("_range")
-                                    .rowsBetween(W.unboundedPreceding, -1)),
+        F.coalesce(F.sum("_upto").over(whole.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)),
                    F.lit(0)).alias("_offset"),
-        F.sum("_n").over(W.partitionBy(*by)).alias("n_total"))
+        F.sum("_upto").over(whole).alias("n_total"))
     return (ranked.join(offsets, [*by, "_range"])
             .select(*by, "value", "n_equal",
                     (F.col("_offset") + F.col("_upto") - F.col("n_equal")).alias("n_below"),

@@ -196,24 +196,25 @@ def track_geometry(tracks: DataFrame, pixel_size: float, frame_interval: float)
     """Spread, path and duration of each track; NULL where one observation
     cannot tell."""
     px, dt = require_positive("pixel_size", pixel_size), require_positive("frame_interval", frame_interval)
-    here = F.struct("x", "y")
+    # one min_by/max_by per coordinate keeps the aggregation hashed
     whole = tracks.groupBy(*TRACK_KEY).agg(
         F.count(F.lit(1)).alias("n_observations"), F.avg("x").alias("_cx"), F.avg("y").alias("_cy"),
         F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"),
-        F.min_by(here, "frame").alias("_a"), F.max_by(here, "frame").alias("_b"))
+        F.min_by("x", "frame").alias("_ax"), F.min_by("y", "frame").alias("_ay"),
+        F.max_by("x", "frame").alias("_bx"), F.max_by("y", "frame").alias("_by"),
+        (F.sqrt(F.var_pop("x") + F.var_pop("y")) * px).alias("radius_of_gyration_um"))
     d2 = (F.pow((F.col("x") - F.col("_cx")) * px, 2) + F.pow((F.col("y") - F.col("_cy")) * px, 2))
     spread = (tracks.join(whole.select(*TRACK_KEY, "_cx", "_cy"), TRACK_KEY)
               .groupBy(*TRACK_KEY)
-              .agg(F.avg(F.sqrt(d2)).alias("mean_radial_displacement_um"),
-                   F.sqrt(F.avg(d2)).alias("radius_of_gyration_um")))
+              .agg(F.avg(F.sqrt(d2)).alias("mean_radial_displacement_um")))
     size, unit = F.sqrt(squared()), F.col("gap") == 1
     path = adjacent_links(tracks, px).groupBy(*TRACK_KEY).agg(
         F.sum(size).alias("path_length_um"), F.avg(size).alias("mean_link_displacement_um"),
         F.avg(size / (F.col("gap") * dt)).alias("mean_link_speed_um_s"),
         F.avg(F.when(unit, size)).alias("mean_step_um"),
         F.count_if(unit).alias("_units"))
-    net = F.when(F.col("n_observations") >= 2, F.hypot((F.col("_b.x") - F.col("_a.x")) * px,
-                                                       (F.col("_b.y") - F.col("_a.y")) * px))
+    net = F.when(F.col("n_observations") >= 2, F.hypot((F.col("_bx") - F.col("_ax")) * px,
+                                                       (F.col("_by") - F.col("_ay")) * px))
     return (whole.join(spread, TRACK_KEY).join(path, TRACK_KEY, "left").select(
         *TRACK_KEY, "n_observations", "first_frame", "last_frame",
         "mean_radial_displacement_um", "radius_of_gyration_um", "path_length_um",

@@ -69,11 +69,11 @@ def adjacent_links(tracks: DataFrame, pixel_size: float = 1.0,
     inside = W.partitionBy(*TRACK_KEY, "_block").orderBy("frame")
     rows = placed.withColumn("_prev", F.lag(here).over(inside))
     ends = (placed.groupBy(*TRACK_KEY, "_block")
-            .agg(F.min_by(here, "frame").alias("_first"), F.max_by(here, "frame").alias("_last")))
-    across = (ends.withColumn("_prev", F.lag("_last").over(
-        W.partitionBy(*TRACK_KEY).orderBy("_block")))
-        .select(*TRACK_KEY, F.col("_first.frame").alias("frame"), F.col("_first.x").alias("x"),
-                F.col("_first.y").alias("y"), "_prev"))
+            .agg(F.min("frame").alias("frame"), F.min_by("x", "frame").alias("x"), F.min_by("y", "frame").alias("y"),
+                 F.max("frame").alias("_f"), F.max_by("x", "frame").alias("_x"), F.max_by("y", "frame").alias("_y")))
+    last = F.struct(F.col("_f").alias("frame"), F.col("_x").alias("x"), F.col("_y").alias("y"))
+    across = (ends.withColumn("_prev", F.lag(last).over(W.partitionBy(*TRACK_KEY).orderBy("_block")))
+              .select(*TRACK_KEY, "frame", "x", "y", "_prev"))
     px = float(pixel_size)
     return (rows.drop("_block").unionByName(across).where(F.col("_prev").isNotNull())
             .select(*TRACK_KEY, "frame",

@@ -21,12 +21,10 @@ from lociflow.session import cut_lineage
 
 def segment_ends(tracks: DataFrame) -> DataFrame:
     """First and last frame and position of every track."""
-    here = F.struct("x", "y")
-    return (tracks.groupBy(*TRACK_KEY).agg(
+    return tracks.groupBy(*TRACK_KEY).agg(
         F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"),
-        F.min_by(here, "frame").alias("a"), F.max_by(here, "frame").alias("b"))
-        .select(*TRACK_KEY, "first_frame", "last_frame", F.col("a.x").alias("start_x"),
-                F.col("a.y").alias("start_y"), F.col("b.x").alias("end_x"), F.col("b.y").alias("end_y")))
+        F.min_by("x", "frame").alias("start_x"), F.min_by("y", "frame").alias("start_y"),
+        F.max_by("x", "frame").alias("end_x"), F.max_by("y", "frame").alias("end_y"))
 
 
 def feature_penalty(a: Column, b: Column) -> Column:
@@ -234,10 +232,9 @@ def frame_segments(locs: DataFrame, radius: float, w_feat: float = 0.0, feature:
 
 def segment_table(segs: DataFrame, feature: str | None = None) -> DataFrame:
     names = ["frame", "x", "y", "loc_id"] + ([feature] if feature else [])
-    here = F.struct(*names)
-    t = segs.groupBy("recording_id", "segment").agg(F.min_by(here, "frame").alias("s"), F.max_by(here, "frame").alias("e"))
-    return t.select("recording_id", "segment", *[F.col(f"s.{c}").alias(f"start_{c}") for c in names],
-                    *[F.col(f"e.{c}").alias(f"end_{c}") for c in names])
+    return segs.groupBy("recording_id", "segment").agg(
+        *[F.min_by(c, "frame").alias(f"start_{c}") for c in names],
+        *[F.max_by(c, "frame").alias(f"end_{c}") for c in names])
 
 
 def gap_candidates(segments: DataFrame, radius: float, max_gap: int, feature: str | None = None) -> DataFrame:

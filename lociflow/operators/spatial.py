@@ -45,11 +45,12 @@ def eps_neighbours(points: DataFrame, eps: float) -> DataFrame:
 
 def _first_radius(places: DataFrame, k: int, crowd: int) -> float:
     """A radius at which no cell holds more than a small crowd of places."""
-    box = places.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count(F.lit(1))).first()
-    if not box[4]:
-        return 1.0
-    area = max((box[1] - box[0]) * (box[3] - box[2]), 1e-12)
-    radius = max((area * k / box[4]) ** 0.5, 1e-9)
+    one = places.groupBy("_group").agg(
+        F.count(F.lit(1)).alias("n"), ((F.max("x") - F.min("x")) * (F.max("y") - F.min("y"))).alias("a"))
+    mean = one.where("n > 1").agg(F.sum("a") / F.sum("n")).first()[0]
+    # area per place of an average group; about one place in twenty then waits for
+    # the second round
+    radius = max(((mean or 1.0) * k) ** 0.5, 1e-9)
     for _ in range(30):
         fullest = (places.groupBy(cell("x", 2 * radius), cell("y", 2 * radius), "_group")
                    .agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0])

@@ -7,6 +7,7 @@ from lociflow import recipes as V
 from lociflow.operators import circular as C, diffusion as D, group_stats as G, steps as S, summary as M
 from lociflow.operators import tracks as K
 from lociflow.plans.catalog import query, r, rounded, rs
+from lociflow.session import cut_lineage
 from lociflow.plans.sql_views import DIFFUSION, FIT, PAIRS, STEPS
 from lociflow.plans.track_queries import ANGLES, diffusion
 from lociflow.recipes import FRAME_INTERVAL as DT, PIXEL_SIZE as PX, SQL_ASSIGN, SQL_TRACKS
@@ -399,8 +400,8 @@ SELECT j.recording_id, any_value(n_locs) AS n_locs, any_value(frames) AS frames,
  count(*) FILTER (motion = 'Immobile') AS n_immobile, count(*) FILTER (fit_status = 'fit') AS n_fit
 FROM judged j JOIN o USING (recording_id) GROUP BY j.recording_id""")
 def summary_metrics(spark, d):
-    t = V.tracks(spark, d)
-    out = M.summary_metrics(t, diffusion(spark, d), V.observations(spark, d), DT)
+    t = V.stored_tracks(spark, d)
+    out = M.summary_metrics(t, cut_lineage(D.diffusion_table(t, PX, DT)), V.observations(spark, d), DT)
     out = out.select("recording_id", "n_locs", "frames", "n_tracks", "n_below_resolution", "mean_observed_time_s",
                      "mean_track_duration_s", "median_d", "median_alpha", "mobile_fraction",
                      F.coalesce(F.try_element_at("motion_counts", F.lit("Immobile")), F.lit(0)).alias("n_immobile"),
@@ -423,7 +424,8 @@ SELECT j.recording_id, count(*) AS n_tracks, sum(n_observations)::BIGINT AS n_lo
  {r('quantile_cont(track_duration_s, 0.5)')} AS track_duration, {r('avg(track_duration_s)')} AS mean_track_duration_s
 FROM judged j LEFT JOIN auc USING (recording_id) LEFT JOIN inten USING (recording_id) GROUP BY j.recording_id""")
 def replicate_table(spark, d):
-    out = M.replicate_table(V.tracks(spark, d), diffusion(spark, d), PX, DT)
+    t = V.stored_tracks(spark, d)
+    out = M.replicate_table(t, cut_lineage(D.diffusion_table(t, PX, DT)), PX, DT)
     return rounded(out.select("recording_id", "n_tracks", "n_localisations", "n_diffusion_eligible", "median_d", "auc_msd",
                               "spot_intensity", "radius_of_gyration", "net_displacement", "path_length", "step_distance",
                               "step_speed", "link_speed", "directionality", "track_duration", "mean_track_duration_s"))

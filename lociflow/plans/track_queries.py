@@ -11,7 +11,7 @@ from lociflow.recipes import FRAME_INTERVAL as DT, PIXEL_SIZE as PX, SQL_OBSERVA
 
 
 def diffusion(spark, d, **kw):
-    return D.diffusion_table(V.tracks(spark, d), PX, DT, **kw)
+    return D.diffusion_table(V.stored_tracks(spark, d), PX, DT, **kw)
 
 
 @query("ensemble_msd", f"""WITH {PAIRS}

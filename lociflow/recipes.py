@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lociflow.session import cut_lineage
+
 PIXEL_SIZE = 0.01
 FRAME_INTERVAL = 1.0
 
@@ -25,9 +27,13 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One observation per (particle, frame): the earliest event."""
-    first = F.min_by(F.struct("x", "y", "mass"), "event_id")
     return (observations(spark, sf_dir).groupBy("recording_id", "particle", "frame")
-            .agg(first.alias("o")).select("recording_id", "particle", "frame", "o.x", "o.y", "o.mass"))
+            .agg(*[F.min_by(c, "event_id").alias(c) for c in ("x", "y", "mass")]))
+
+
+def stored_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tracks written once, for plans that read them several times."""
+    return cut_lineage(tracks(spark, sf_dir))
 
 
 def localisations(spark: SparkSession, sf_dir: str) -> DataFrame:
