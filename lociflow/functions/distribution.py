@@ -18,6 +18,8 @@ RANGES = 64
 def distribution(df: DataFrame, by: Sequence[str], value: str = "value",
                  ranges: int = RANGES) -> DataFrame:
     """One row per distinct value: ``(by…, value, n_equal, n_below, n_total)``."""
+    if ranges & (ranges - 1):
+        raise ValueError("ranges must be a power of two")
     by = list(by)
     counts = (df.where(F.col(value).isNotNull())
               .groupBy(*by, F.col(value).alias("value"))
@@ -28,9 +30,13 @@ def distribution(df: DataFrame, by: Sequence[str], value: str = "value",
     edges = counts.groupBy(*by).agg(
         F.percentile_approx("value", cuts, ranges * 16).alias("_edges"),
         F.max("n_equal").alias("_most")).where("_most > 0").drop("_most")
-    ranged = (counts.join(edges, by)
-              .withColumn("_range", F.size(F.filter("_edges", lambda e: e < F.col("value"))))
-              .drop("_edges"))
+    ranged = counts.join(edges, by).withColumn("_range", F.lit(0))
+    step = ranges // 2
+    while step:                                  # binary search for the number of edges below
+        ahead = F.get("_edges", F.col("_range") + (step - 1))
+        ranged = ranged.withColumn("_range", F.col("_range") + F.when(ahead < F.col("value"), step).otherwise(0))
+        step //= 2
+    ranged = ranged.drop("_edges")
     in_range = W.partitionBy(*by, "_range").orderBy("value")
     ranked = ranged.withColumns({
         "_upto": F.sum("n_equal").over(in_range.rowsBetween(W.unboundedPreceding, 0)),
