@@ -161,7 +161,7 @@ def kruskal(values: DataFrame) -> DataFrame:
     n = F.col("total")
     raw = 12 / (n * (n + 1)) * F.col("q") - 3 * (n + 1)
     h = h.withColumn("H", F.try_divide(raw, 1 - F.col("ties") / (F.pow(n, 3) - n)))
-    eps = F.when(n > F.col("k"), F.least(F.greatest((F.col("H") - F.col("k") + 1) / (n - F.col("k")), F.lit(0.0)), F.lit(1.0)))
+    eps = F.when((n > F.col("k")) & F.col("H").isNotNull(), F.least(F.greatest((F.col("H") - F.col("k") + 1) / (n - F.col("k")), F.lit(0.0)), F.lit(1.0)))
     return h.select("metric", "k", "total", "H", eps.alias("epsilon_sq"),
                     dist.chi2_sf_col(F.col("H"), F.col("k") - 1).alias("p"))
 

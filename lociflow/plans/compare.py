@@ -39,11 +39,11 @@ def circular_comparison(angles: DataFrame, assignments: DataFrame, config: dict
 
 
 def missing_cells(assignments: DataFrame) -> DataFrame:
-    """(group, time point, cell) combinations of the design without a recording."""
-    keys = [assignments.select(c).distinct() for c in ("group", "timepoint", "cell")]
-    # the design grid: levels of three factors, not rows
-    grid = keys[0].join(keys[1], how="cross").join(keys[2], how="cross")
-    return grid.exceptAll(assignments.select("group", "timepoint", "cell").distinct())
+    """Time points at which a cell of a group has no recording."""
+    key = ["group", "timepoint", "cell"]
+    points = assignments.agg(F.array_sort(F.collect_set("timepoint"))).scalar()     # a handful of levels
+    wanted = assignments.select("group", "cell").distinct().withColumn("timepoint", F.explode(points)).select(*key)
+    return wanted.join(assignments.select(*key).distinct(), key, "left_anti")
 
 
 def common_levels(curves: DataFrame, assignments: DataFrame, level: str) -> DataFrame:

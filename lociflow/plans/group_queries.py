@@ -95,12 +95,12 @@ def mann_whitney_pvalues(spark, d):
 
 
 KRUSKAL = """
-h AS (SELECT metric, count(*) AS k, total, ties, (12.0/(total*(total+1))*sum(rank_sum**2/n) - 3*(total+1)) / (1 - ties/(total**3-total)) AS H
+h AS (SELECT metric, count(*) AS k, total, ties, (12.0/(total*(total+1))*sum(rank_sum**2/n) - 3*(total+1)) / nullif(1 - ties/(total**3-total), 0) AS H
       FROM rank_of JOIN tie_of USING (metric) GROUP BY metric, total, ties)"""
 
 
 @query("kruskal", f"""WITH {VALUES}, {KRUSKAL} SELECT metric, k, total::BIGINT AS total, {rs('H')},
-{r('least(greatest((H - k + 1)/(total - k), 0), 1)')} AS epsilon_sq FROM h""")
+{r('CASE WHEN H IS NOT NULL THEN least(greatest((H - k + 1)/(total - k), 0), 1) END')} AS epsilon_sq FROM h""")
 def kruskal(spark, d):
     return rounded(G.kruskal(scalars(spark, d)).drop("p"))
 
@@ -537,8 +537,8 @@ def recording_days(spark, d):
 
 
 @query("unpaired_subjects", f"""WITH {SQL_ASSIGN},
-grid AS (SELECT g."group", t.timepoint, c.cell FROM (SELECT DISTINCT "group" FROM assignments) g
-         CROSS JOIN (SELECT DISTINCT timepoint FROM assignments) t CROSS JOIN (SELECT DISTINCT cell FROM assignments) c)
+grid AS (SELECT g."group", t.timepoint, g.cell FROM (SELECT DISTINCT "group", cell FROM assignments) g
+         CROSS JOIN (SELECT DISTINCT timepoint FROM assignments) t)
 SELECT "group", timepoint, cell FROM grid EXCEPT SELECT "group", timepoint, cell FROM assignments""")
 def unpaired_subjects(spark, d):
     from lociflow.plans.compare import missing_cells
