@@ -33,7 +33,7 @@ vals AS (SELECT recording_id, a."group", a.timepoint, a.cell, m AS metric,
 moments AS (SELECT metric, "group", count(*) AS n, avg(value) AS mean, var_samp(value) AS var FROM vals GROUP BY ALL),
 pairs_of AS (SELECT a.metric, a."group" AS group_i, b."group" AS group_j, a.n AS n_i, b.n AS n_j,
                a.mean AS mean_i, b.mean AS mean_j, a.var AS var_i, b.var AS var_j,
-               sqrt(((a.n-1)*a.var + (b.n-1)*b.var) / (a.n+b.n-2)) AS sp
+               nullif(sqrt(((a.n-1)*a.var + (b.n-1)*b.var) / (a.n+b.n-2)), 0) AS sp
              FROM moments a JOIN moments b ON a.metric = b.metric AND a."group" < b."group" WHERE a.n >= 2 AND b.n >= 2),
 both_of AS (SELECT p.metric, p.group_i, p.group_j, p.n_i, p.n_j, v."group" AS g, v.value FROM pairs_of p JOIN vals v
               ON v.metric = p.metric AND v."group" IN (p.group_i, p.group_j)),
@@ -149,7 +149,7 @@ def needed_sample_size(spark, d):
 
 @query("tost", f"""WITH {VALUES} SELECT metric, group_i, group_j, {r(WELCH_DF)} AS df,
 {r('(mean_i - mean_j + 0.5*sp)/sqrt(var_i/n_i + var_j/n_j)')} AS t_lower,
-{r('(mean_i - mean_j - 0.5*sp)/sqrt(var_i/n_i + var_j/n_j)')} AS t_upper FROM pairs_of""")
+{r('(mean_i - mean_j - 0.5*sp)/sqrt(var_i/n_i + var_j/n_j)')} AS t_upper FROM pairs_of WHERE sp IS NOT NULL""")
 def tost(spark, d):
     return rounded(G.tost(scalars(spark, d)).drop("p", "equivalent"))
 
@@ -157,11 +157,11 @@ def tost(spark, d):
 @query("posthoc", f"""WITH {VALUES},
 fam AS (SELECT metric, sum(n) - count(*) AS dfw, sum((n-1)*var)/(sum(n)-count(*)) AS msw FROM moments GROUP BY ALL),
 dn AS (SELECT a.metric, a."group" AS group_i, b."group" AS group_j,
-        (a.rank_sum/a.n - b.rank_sum/b.n)/sqrt((total*(total+1)/12.0 - ties/(12.0*(total-1)))*(1.0/a.n + 1.0/b.n)) AS z
+        (a.rank_sum/a.n - b.rank_sum/b.n)/nullif(sqrt((total*(total+1)/12.0 - ties/(12.0*(total-1)))*(1.0/a.n + 1.0/b.n)), 0) AS z
        FROM rank_of a JOIN rank_of b ON a.metric=b.metric AND a."group"<b."group" JOIN tie_of t ON t.metric=a.metric)
-SELECT 'tukey' AS method, metric, group_i, group_j, {r('abs(mean_i-mean_j)/sqrt(msw/2*(1.0/n_i+1.0/n_j))')} AS statistic,
+SELECT 'tukey' AS method, metric, group_i, group_j, {r('abs(mean_i-mean_j)/nullif(sqrt(msw/2*(1.0/n_i+1.0/n_j)), 0)')} AS statistic,
   {r('dfw')} AS df FROM pairs_of JOIN fam USING (metric)
-UNION ALL SELECT 'games_howell', metric, group_i, group_j, {r('abs(mean_i-mean_j)/sqrt((var_i/n_i+var_j/n_j)/2)')}, {r(WELCH_DF)} FROM pairs_of
+UNION ALL SELECT 'games_howell', metric, group_i, group_j, {r('abs(mean_i-mean_j)/nullif(sqrt((var_i/n_i+var_j/n_j)/2), 0)')}, {r(WELCH_DF)} FROM pairs_of
 UNION ALL SELECT 'dunn', metric, group_i, group_j, {r('z')}, NULL FROM dn""")
 def posthoc(spark, d):
     v = scalars(spark, d)
