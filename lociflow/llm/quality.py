@@ -10,7 +10,7 @@ from lociflow.llm.model import fitted, fold, scored, sigmoid, training_rows
 BITS = 18
 SIZES = (1, 2)
 MAX_TRAIN = 12000
-EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.3, 1.0, 0.3, 1.0
+EPOCHS, ALPHA, BETA, L1, L2 = 6, 3.0, 1.0, 0.1, 0.0
 #: Marks count as words as well: everything but white space that is no letter or digit.
 MARK = ~ALNUM
 MARK[[32, *range(9, 14)]] = False
