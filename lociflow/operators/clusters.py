@@ -110,6 +110,8 @@ def touching_cells(core: DataFrame, eps: float, max_levels: int = 40) -> DataFra
         open_ = (up.join(halves("a"), ["recording_id", "cx_a", "cy_a", "px_a", "py_a"])
                  .join(halves("b"), ["recording_id", "cx_b", "cy_b", "px_b", "py_b"])
                  .drop("px_a", "py_a", "px_b", "py_b"))
+    else:
+        raise RuntimeError(f"cell pairs are still open after {max_levels} levels")
     out = found[0]
     for part in found[1:]:
         out = out.unionByName(part)
@@ -241,13 +243,12 @@ def cluster_motion_mix(labelled: DataFrame) -> DataFrame:
         (F.col("motion") == F.col("dominant")).alias("is_dominant"))
 
 
-def density_map(locs: DataFrame, pixel_size: float, sr_nm: float = 20.0, max_edge: int = 8000) -> DataFrame:
-    """Counts on a super-resolution grid of the bounding box (or of the camera,
-    when the table carries its origin at 0); edges beyond ``max_edge`` coarsen the grid."""
+def density_map(locs: DataFrame, pixel_size: float, sr_nm: float = 20.0) -> DataFrame:
+    """Counts on a super-resolution grid from the corner of the bounding box. The map
+    is sparse, so the grid keeps its step however large the field is."""
     step = sr_nm / 1000.0 / float(pixel_size)
-    box = locs.groupBy("recording_id").agg(F.min("x").alias("_x0"), F.min("y").alias("_y0"),
-                                           F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("_edge"))
-    bin_ = F.greatest(F.lit(step), F.col("_edge") / max_edge)
+    box = locs.groupBy("recording_id").agg(F.min("x").alias("_x0"), F.min("y").alias("_y0"))
+    bin_ = F.lit(step)
     at = locs.join(box, "recording_id").select(
         "recording_id", F.floor((F.col("x") - F.col("_x0")) / bin_).alias("bx"),
         F.floor((F.col("y") - F.col("_y0")) / bin_).alias("by"))

@@ -66,25 +66,41 @@ def msd_auc(curve: DataFrame, frame_interval: float, by: tuple[str, ...] = ("rec
 def fit_linear_d(msd: DataFrame, frame_interval: float, n_fit: int = 5) -> DataFrame:
     """D from the slope of the first ``n_fit`` lags with a free intercept.
 
-    ``curve`` keeps those lags (a bounded array) for the anomalous fit.
+    ``curve`` keeps those lags (a bounded array) for the anomalous fit. The sums of
+    the fit run over it in order of lag, so they do not depend on partitioning; a
+    slope within their rounding error of zero is none.
     """
     require_positive("frame_interval", frame_interval)
-    early = F.col("lag") <= n_fit
-    t = F.when(early, F.col("lag") * F.lit(float(frame_interval)))
-    m = F.when(early, F.col("msd"))
-    sums = msd.groupBy(*TRACK_KEY).agg(
-        F.count(m).alias("n_lags"), F.max("msd").alias("_peak"), F.max(m).alias("_early_peak"),
-        F.regr_slope(m, t).alias("_slope"), F.regr_intercept(m, t).alias("_icpt"),
-        F.regr_sxx(m, t).alias("_sxx"), F.regr_sxy(m, t).alias("_sxy"), F.regr_syy(m, t).alias("_syy"),
-        F.map_from_entries(F.collect_list(F.when(early, F.struct("lag", "msd")))).alias("_points"))
+    early = (F.col("lag") <= n_fit) & F.col("msd").isNotNull()
+    points = msd.groupBy(*TRACK_KEY).agg(
+        F.max("msd").alias("_peak"),
+        F.array_sort(F.collect_list(F.when(early, F.struct("lag", "msd")))).alias("_sorted"))
+    n = F.size("_sorted")
+
+    def total(value) -> Column:
+        return F.aggregate("_sorted", F.lit(0.0), lambda s, p: s + value(p))
+
+    def t(p) -> Column:
+        return p["lag"] * F.lit(float(frame_interval))
+    means = points.select(
+        "*", n.alias("n_lags"), F.array_max(F.transform("_sorted", lambda p: p["msd"])).alias("_early_peak"),
+        F.try_divide(total(t), n).alias("_t"), F.try_divide(total(lambda p: p["msd"]), n).alias("_m"))
+    sums = means.select(
+        "*", total(lambda p: F.pow(t(p) - F.col("_t"), 2)).alias("_sxx"),
+        total(lambda p: (t(p) - F.col("_t")) * (p["msd"] - F.col("_m"))).alias("_sxy"),
+        total(lambda p: F.pow(p["msd"] - F.col("_m"), 2)).alias("_syy"),
+        F.map_from_entries("_sorted").alias("_points"))
     still = F.col("_peak") == 0
     fitted = ~still & (F.col("n_lags") >= 3) & (F.col("_early_peak") > 0)
-    raw = F.when(fitted, F.col("_slope") / 4)
-    sse = F.greatest(F.col("_syy") - F.col("_sxy") * F.col("_sxy") / F.col("_sxx"), F.lit(0.0))
+    rounding = F.lit(64 * 2.0 ** -52) * F.sqrt(F.col("_sxx") * n) * F.col("_early_peak")
+    sxy = F.when(F.abs("_sxy") > rounding, F.col("_sxy")).otherwise(0.0)
+    slope = F.try_divide(sxy, F.col("_sxx"))
+    raw = F.when(fitted, slope / 4)
+    sse = F.greatest(F.col("_syy") - sxy * slope, F.lit(0.0))
     return sums.select(
         *TRACK_KEY, "n_lags",
         F.when(raw > 0, raw).alias("D"), raw.alias("D_linear_raw"),
-        F.when(fitted, F.col("_icpt")).alias("MSD0"),
+        F.when(fitted, F.col("_m") - slope * F.col("_t")).alias("MSD0"),
         F.when(still, F.lit(0.0)).when(fitted, sse / F.col("n_lags")).alias("MSE"),
         F.when(still, "below_resolution").when(raw > 0, "fit").when(fitted, "nonpositive_slope")
         .otherwise("insufficient_lags").alias("fit_status"),

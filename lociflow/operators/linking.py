@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lociflow.functions.distribution import quantiles
+from lociflow.functions.text import OPTIONS
 from lociflow.operators.graph import chain_roots, connected_components
 from lociflow.operators.spatial import near_pairs, nearest_spacing
 from lociflow.operators.tracks import dense_ids, filter_track_length, valid_localisations
@@ -485,13 +486,11 @@ def config_energy(candidates: DataFrame, links: DataFrame, locs: DataFrame, birt
     return out.select("recording_id", "n_locs", "n_links", (F.col("_cost") + ends * (birth + death)).alias("energy"))
 
 
-def estimate_search_range(locs: DataFrame, memory: int = 1, min_len: int = 4, frame_sample: int = 300,
-                          margin: float = 1.1, steps: int = 12) -> DataFrame:
+def estimate_search_range(locs: DataFrame, memory: int = 1, min_len: int = 4, margin: float = 1.1, steps: int = 12) -> DataFrame:
     """Search radius per recording: the smallest of a geometric series up to a
     share of the spot spacing at which mean track length reaches 95 % of its
     maximum, times a margin. ``memory`` 1 links consecutive frames."""
-    first = locs.groupBy("recording_id").agg(F.min("frame").alias("_f0"))
-    sub = cut_lineage(locs.join(first, "recording_id").where(F.col("frame") < F.col("_f0") + frame_sample).drop("_f0"))
+    sub = cut_lineage(locs)
     spacing = quantiles(nearest_spacing(sub), ["recording_id"], "distance", {"spacing": 0.5})
     cap = F.least(F.greatest(0.7 * F.coalesce("spacing", F.lit(20.0 / 0.7)), F.lit(3.0)), F.lit(30.0))
     caps = cut_lineage(sub.select("recording_id").distinct().join(spacing, "recording_id", "left")
@@ -523,7 +522,7 @@ def estimate_search_range(locs: DataFrame, memory: int = 1, min_len: int = 4, fr
 
 
 LINKERS: dict[str, Callable[..., DataFrame]] = {}
-ALIASES = {"trackpy": "subnet", "crocker-grier": "subnet", "lap": "simple_lap"}
+ALIASES = {name: canon for canon, names in OPTIONS["linker"].items() for name in names}
 DEFAULT_LINKER = "subnet"
 
 

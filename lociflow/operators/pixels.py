@@ -94,14 +94,9 @@ def wavelet_w2(frames: DataFrame) -> DataFrame:
     return map_frames(frames, one)
 
 
-def wavelet_noise(w2: DataFrame, sample: int = 40) -> DataFrame:
-    """Median over evenly spaced frames of 1.4826·MAD of the detection image."""
-    n = w2.groupBy("recording_id").agg((F.max("frame") + 1).alias("n"))
-    take = F.least(F.lit(sample), "n")
-    at = n.select("recording_id", "n", take.alias("_k"), F.explode(F.sequence(F.lit(0), (take - 1).cast("int"))).alias("_i"))
-    at = at.select("recording_id", F.when(F.col("_k") == 1, 0).otherwise(
-        F.floor(F.col("_i") * (F.col("n") - 1) / (F.col("_k") - 1))).cast("int").alias("frame")).distinct()
-    rows = pixel_rows(w2.join(at, FRAME, "left_semi"))
+def wavelet_noise(w2: DataFrame) -> DataFrame:
+    """Median over all frames of 1.4826·MAD of the detection image."""
+    rows = pixel_rows(w2)
     # a frame's pixels are bounded by the camera
     med = rows.groupBy(*FRAME).agg(F.percentile("v", F.lit(0.5)).alias("_m"))
     mad = rows.join(med, FRAME).groupBy(*FRAME).agg(

@@ -111,8 +111,9 @@ def log_d_clip(d: Column, low: float = D_FLOOR, high: float = 100.0) -> Column:
 def explore_tracks(diffusion: DataFrame, length: tuple[int, int] | None = None,
                    d_range: tuple[float, float] | None = None,
                    alpha_range: tuple[float, float] | None = None,
-                   motions: list[str] | None = None, limit: int = 1500) -> DataFrame:
-    """The track table as a user narrows it; unknown D and alpha always pass."""
+                   motions: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """The track table as a user narrows it; unknown D and alpha always pass.
+    With ``limit``, its first rows by key."""
     out = diffusion
     if length:
         out = out.where(F.col("n_observations").between(*length))
@@ -121,4 +122,4 @@ def explore_tracks(diffusion: DataFrame, length: tuple[int, int] | None = None,
             out = out.where(F.col(name).isNull() | F.col(name).between(*bounds))
     if motions:
         out = out.where(F.col("motion").isin(motions))
-    return out.orderBy(*TRACK_KEY).limit(limit)
+    return out.orderBy(*TRACK_KEY).limit(limit) if limit else out

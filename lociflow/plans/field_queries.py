@@ -384,8 +384,7 @@ def wavelet_w2(spark, d):
 
 
 @query("wavelet_noise", f"""WITH {SQL_PIXELS}{B3SQL},
-n AS (SELECT max(frame)+1 AS n FROM w2), f AS (SELECT DISTINCT CAST(floor(i*(n-1)/39.0) AS INTEGER) AS frame FROM n CROSS JOIN (SELECT unnest(range(40)) AS i)),
-m AS (SELECT frame, quantile_cont(v, 0.5) AS m FROM w2 SEMI JOIN f USING (frame) GROUP BY ALL),
+m AS (SELECT frame, quantile_cont(v, 0.5) AS m FROM w2 GROUP BY ALL),
 s AS (SELECT frame, 1.4826*quantile_cont(abs(v-m), 0.5) AS s FROM w2 JOIN m USING (frame) GROUP BY ALL)
 SELECT 0::BIGINT AS recording_id, {r('quantile_cont(s, 0.5)')} AS sigma, count(*) AS n_frames, {r('greatest(5.0, 5*round(4.4*quantile_cont(s, 0.5)/5))')} AS threshold FROM s""")
 def wavelet_noise(spark, d):

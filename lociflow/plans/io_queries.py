@@ -257,7 +257,7 @@ def palmtracer_tracks(spark, d):
 
 @query("palmtracer_d", f"""WITH {FIT}, n AS (SELECT *, dense_rank() OVER (PARTITION BY recording_id ORDER BY particle) AS tr,
   CASE WHEN fit_status = 'nonpositive_slope' THEN 1e-5 ELSE D END AS dd FROM fit)
-SELECT recording_id, 1 AS "ROI", tr AS "Trace", {r('dd')} AS "D", {r('MSD0')} AS "MSD(0)", {rs('MSE')}, {r('least(greatest(log10(dd), -5), 2)')} AS "LogD" FROM n WHERE dd IS NOT NULL""")
+SELECT recording_id, 1 AS "ROI", tr AS "Trace", {r('dd')} AS "D", {r('MSD0')} AS "MSD(0)", {rs('MSE')}, {r('least(greatest(log10(dd), -5), 2)')} AS "LogD" FROM n""")
 def palmtracer_d(spark, d):
     return rounded(W.palmtracer_d(D.fit_linear_d(D.track_msd(V.tracks(spark, d), PX), DT)))
 

@@ -189,7 +189,7 @@ def filter_by_d_audit(spark, d):
 
 @query("explore_tracks", f"""WITH {DIFFUSION} SELECT recording_id, particle, n_observations, motion,
 {rs('D')} FROM diffusion WHERE n_observations BETWEEN 50 AND 80 AND (D IS NULL OR D BETWEEN 0.001 AND 1)
-AND motion IN ('Immobile', 'Confined', 'Directed') ORDER BY recording_id, particle LIMIT 1500""")
+AND motion IN ('Immobile', 'Confined', 'Directed')""")
 def explore_tracks(spark, d):
     out = K.explore_tracks(diffusion(spark, d), (50, 80), (0.001, 1.0),
                            motions=["Immobile", "Confined", "Directed"])

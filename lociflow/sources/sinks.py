@@ -31,9 +31,9 @@ def palmtracer_tracks(tracks: DataFrame) -> DataFrame:
 
 def palmtracer_d(diffusion: DataFrame, low: float = D_FLOOR, high: float = 100.0) -> DataFrame:
     """D table in exchange form: tracks that did not move sit at the floor; tracks
-    without a usable D stay out."""
+    without a usable D have blank values."""
     d = F.when(F.col("fit_status") == "nonpositive_slope", F.lit(low)).otherwise(F.col("D"))
-    numbered = dense_ids(diffusion, ["recording_id"], "particle", "_id").withColumn("_d", d).where("_d IS NOT NULL")
+    numbered = dense_ids(diffusion, ["recording_id"], "particle", "_id").withColumn("_d", d)
     return numbered.select("recording_id", F.lit(1).alias("ROI"), (F.col("_id") + 1).alias("Trace"), F.col("_d").alias("D"),
                            F.col("MSD0").alias("MSD(0)"), "MSE", log_d_clip(F.col("_d"), low, high).alias("LogD"))
 
@@ -76,10 +76,14 @@ def input_hashes(spark: SparkSession, path) -> DataFrame:
 
 
 def append_run(spark: SparkSession, params: dict, inputs: DataFrame, root: str) -> str:
-    """Record a run: its parameters, versions and input hashes; returns its id."""
+    """Record a run: its parameters, versions and input hashes; returns its id.
+
+    The recording of an input is its ``recording_id`` where ``inputs`` has that column, else its file's name
+    without the ending, as the readers name recordings."""
     run_id = uuid.uuid4().hex
     text = json.dumps(params, sort_keys=True)
-    rows = inputs.select(F.lit(run_id).alias("run_id"), "file", "length", "sha256", F.lit(text).alias("params"),
+    named = F.col("recording_id") if "recording_id" in inputs.columns else F.regexp_extract("file", r"([^/]*?)(?:\.[^./]*)?$", 1)
+    rows = inputs.select(F.lit(run_id).alias("run_id"), named.alias("recording_id"), "file", "length", "sha256", F.lit(text).alias("params"),
                          F.sha2(F.lit(text), 256).alias("params_hash"), F.lit(spark.version).alias("spark_version"),
                          F.current_timestamp().alias("at"))
     rows.write.mode("append").parquet(f"{root}/runs")

@@ -139,3 +139,20 @@ def test_registered_metric_joins_the_replicate_table(table):
         assert r.n_rows == 24 and r.spot_intensity == 2.0
     finally:
         M.METRICS.pop("n_rows")
+
+
+def test_linear_fit_does_not_depend_on_row_order(spark, table):
+    """A curve without net rise stays flat, whatever the order and partitions of its rows."""
+    rows = (line(range(12), [f % 2 for f in range(12)], 4) + line(range(12), [0.1 * (f % 3) for f in range(12)], 5)
+            + line(range(12), [f ** 0.5 for f in range(12)], 6))
+    seen = set()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (1, 2, 8, 64):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            for order in (rows, rows[::-1], rows[1::2] + rows[::2]):
+                fits = D.fit_linear_d(D.track_msd(table(order, TRACK).repartition(n), 1.0), 1.0)
+                seen.add(tuple(sorted((r.particle, r.D, r.D_linear_raw, r.MSD0, r.MSE, r.fit_status) for r in fits.collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(seen) == 1 and {r[0]: r[5] for r in seen.pop()}[4] == "nonpositive_slope"
