@@ -50,6 +50,16 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         first = last
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, a few at a time: what is made of them is small beside a batch of whole texts.
+    Memory of a batch goes back to the system before the next."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 class Words:
     """The words of a chunk: ``start, end`` in bytes, ``hash`` of the lower-cased bytes, and ``of[i]:of[i+1]``
     the words of its i-th text."""

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from lociflow.llm.bytesplit import Words, chunks
+from lociflow.llm.bytesplit import Words, chunks, slices
 from lociflow.llm.scratch import Scratch, row_key
 
 FILTER_BITS = 20
@@ -152,7 +152,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
     def finder(index):
         def run(batches):
             index_here = cloudpickle.loads(index.value)
-            for b in batches:
+            for b in slices(batches):
                 found = list(index_here.find(b.column(2)))
                 yield pa.RecordBatch.from_arrays(
                     [*b.columns[:3], pa.array([n for n, _ in found], pa.int64()), *b.columns[4:], pa.array([h for _, h in found], pa.binary())],
@@ -180,6 +180,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
         index.order_by_rarity(of)
 
     def verifier(index, k):
+        last = k == n_blocks - 1
+
         def run(batches):
             index_here = cloudpickle.loads(index.value)
             for b in batches:
@@ -190,21 +192,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
                     new, of = index_here.verify(n, h)
                     spans.append(s + np.array(new, "<i4").tobytes())
                     items.append(sorted(set(i) | of))
-                col["spans"], col["items"] = pa.array(spans, pa.binary()), pa.array(items, pa.list_(pa.string()))
+                col["items"] = pa.array(items, pa.list_(pa.string()))
+                if last:
+                    col["n_hit"] = pa.array([_covered(np.frombuffer(s, "<i4").reshape(-1, 2).tolist()) for s in spans], pa.int64())
+                    col["items_sha256"] = pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for i in items], pa.string())
+                    names = final.names
+                else:
+                    col["spans"] = pa.array(spans, pa.binary())
                 yield pa.RecordBatch.from_arrays([col[n] for n in names], names)
         return run
     checked = hits.select("*", F.lit(b"").alias("spans"), F.array().cast("array<string>").alias("items"))
+    final = hits.select("doc_id", "row_key", "n_words").schema.add("n_hit", "long").add("items_sha256", "string").add(checked.schema["items"])
     for b, index in enumerate(indexes):
-        checked = checked.mapInArrow(verifier(sent(index), b), checked.schema).drop(f"hits{b}")
-
-    def lengths(batches):
-        for b in batches:
-            n = [_covered(np.frombuffer(s, "<i4").reshape(-1, 2).tolist()) for s in b.column(3).to_pylist()]
-            sha = [hashlib.sha256(",".join(i).encode()).hexdigest() for i in b.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(n, pa.int64()), pa.array(sha, pa.string()), b.column(4)],
-                                             ["doc_id", "row_key", "n_words", "n_hit", "items_sha256", "items"])
-    schema = checked.select("doc_id", "row_key", "n_words").schema.add("n_hit", "long").add("items_sha256", "string").add(checked.schema["items"])
-    return checked.select("doc_id", "row_key", "n_words", "spans", "items").mapInArrow(lengths, schema).select(
+        checked = checked.mapInArrow(verifier(sent(index), b), final if b == n_blocks - 1 else checked.schema)
+        checked = checked if b == n_blocks - 1 else checked.drop(f"hits{b}")
+    return checked.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items_sha256",
         (F.col("n_hit") > 0).alias("contaminated"), "items", "row_key")
 

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lociflow.llm.bytesplit import Words, chunks
+from lociflow.llm.bytesplit import Words, chunks, slices
 
 # Phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -174,7 +174,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None
 
     def run(batches):
         matcher = Matcher(templates)
-        for b in batches:
+        for b in slices(batches):
             found = list(matcher.scan(b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([f[i] for f in found], t) for i, (_, t) in enumerate(types))],
                                              ["doc_id", *(n for n, _ in types)])

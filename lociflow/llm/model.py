@@ -1,12 +1,15 @@
 """Bounded training sets, folds and sparse linear models over hashed features."""
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lociflow.llm.bytesplit import slices
+
 FOLDS = 5
 
 
@@ -39,18 +42,21 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int,
 def fitted(rows: DataFrame, features: Callable, fit: Callable) -> np.ndarray:
     """``fit(list of sparse rows, labels)`` of a bounded table ``text, label``, in one task; its float32 vector.
 
-    ``features(column)`` yields for each text its (buckets, values or None).
+    ``features(column)`` yields for each text its (ascending buckets, values or None).
     """
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [(i.astype(np.int32).tobytes(), b"" if v is None else v.astype(np.float32).tobytes()) for i, v in features(b.column(0))]
+        for b in slices(batches):
+            found = [(zlib.compress(np.diff(i, prepend=0).astype(np.int32).tobytes(), 1), b"" if v is None else v.astype(np.float32).tobytes())
+                     for i, v in features(b.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary()),
                                               b.column(1).cast(pa.int32())], ["i", "v", "label"])
 
     def one(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table["i"].to_pylist(), table["v"].to_pylist(), table["label"].to_pylist()))
-        x = [(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32) if v else None) for i, v, _ in rows]
-        w = fit(x, np.array([y for _, _, y in rows], np.float32))
+        i, v, y = table["i"].to_pylist(), table["v"].to_pylist(), table["label"].to_numpy()
+        # in an order of their own, however the rows arrive
+        order = np.lexsort((y, [zlib.crc32(x) for x in v], [zlib.crc32(x) for x in i], [len(x) for x in i])) if len(y) else []
+        w = fit([(np.cumsum(np.frombuffer(zlib.decompress(i[k]), np.int32), dtype=np.int32), np.frombuffer(v[k], np.float32) if v[k] else None)
+                 for k in order], y[order].astype(np.float32) if len(y) else y)
         return pa.table({"w": pa.array([w.astype(np.float32).tobytes()], pa.binary())})
     made = rows.mapInArrow(sparse, "i binary, v binary, label int").groupBy(F.lit(0).alias("all")).applyInArrow(one, "w binary").first()
     return np.frombuffer(made[0], np.float32) if made else fit([], np.zeros(0, np.float32)).astype(np.float32)
@@ -61,7 +67,7 @@ def scored(docs: DataFrame, columns: list[str], text_col: str, score: Callable,
     kept = docs.select(*columns, F.col(text_col).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out = pa.array(np.asarray(score(b.column(b.num_columns - 1)), np.float64))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], out], [*b.schema.names[:-1], name])
     schema = kept.drop("__text").schema.add(name, "double")

@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from lociflow.llm.bytesplit import slices
 from lociflow.llm.scratch import Scratch
 from lociflow.llm.tokens import Tokeniser
 
@@ -27,7 +28,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, id_col: str = "doc_i
 
     def cut(batches):
         zero = np.zeros(1, np.uint32)
-        for b in batches:
+        for b in slices(batches, 4096):
             row, part, start, length, crc = [], [], [], [], []
             for r, ids in enumerate(_tokeniser(vocabulary).encode(b.column(1))):
                 raw = np.concatenate([ids, zero]).astype("<u4").tobytes()

@@ -8,6 +8,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from lociflow.llm.bytesplit import slices
 from lociflow.llm.scratch import Scratch, keep_rows, row_key
 from lociflow.operators.graph import connected_components
 
@@ -144,7 +145,7 @@ def near_duplicates(docs: DataFrame, distance: int = MAX_DISTANCE, shingle: int
     named = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
 
     def prints(batches):
-        for b in batches:
+        for b in slices(batches):
             fp = np.array([fingerprint(t, shingle) for t in b.column(2).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(fp, pa.int64())], ["doc_id", "row_key", "fp"])
     rows = scratch.write(named.mapInArrow(prints, named.drop("text").schema.add("fp", "long")), "rows")

@@ -9,7 +9,7 @@ from lociflow.llm.model import fitted, fold, scored, sigmoid, training_rows
 
 BITS = 18
 SIZES = (4, 5)
-MAX_TRAIN = 8000
+MAX_TRAIN = 5000
 EPOCHS, RATE, L2 = 6, 0.15, 1e-4
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
