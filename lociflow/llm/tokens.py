@@ -14,7 +14,7 @@ LATIN = 0x250             # code points below are split here; a text with others
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 SPECIAL = "<|endoftext|>"
 CHUNK = 1 << 20           # code points at once
-MAX_KNOWN = 300_000       # pieces remembered by a worker; beyond, it starts afresh
+MAX_KNOWN = 400_000       # pieces remembered by a worker; beyond, the third met most often stays
 
 
 def _kinds() -> np.ndarray:
@@ -76,15 +76,28 @@ class Tokeniser:
     def _forget(self):
         self.slot: dict[int, int] = {}
         self.at, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.met = np.zeros(1 << 12, np.int64)
         self.ids, self.used = np.zeros(1 << 14, np.uint32), 0
 
+    def _trim(self):
+        n = len(self.slot)
+        stay = np.sort(np.argsort(self.met[:n], kind="stable")[n - MAX_KNOWN // 3:])
+        keys = np.fromiter(self.slot, np.uint64, n)[stay].tolist()
+        size = self.size[stay]
+        first = np.cumsum(size) - size
+        ids = self.ids[np.repeat(self.at[stay] - first, size) + np.arange(size.sum())]
+        self._forget()
+        self.slot = {k: i for i, k in enumerate(keys)}
+        self.at, self.size, self.met = first, size, np.zeros(len(stay), np.int64)
+        self.ids, self.used = ids, len(ids)
+
     def _learn(self, keys: list[int], pieces: list[str]) -> None:
         new = [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
         n, total = len(self.slot), sum(map(len, new))
-        while n + len(new) > len(self.at):
-            self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
-        while self.used + total > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        if n + len(new) > len(self.at):
+            self.at, self.size, self.met = (np.concatenate([x, np.zeros(len(x) + len(new), np.int64)]) for x in (self.at, self.size, self.met))
+        if self.used + total > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + total, np.uint32)])
         for i, (key, ids) in enumerate(zip(keys, new), n):
             self.slot[key], self.at[i], self.size[i] = i, self.used, len(ids)
             self.ids[self.used:self.used + len(ids)] = ids
@@ -94,17 +107,19 @@ class Tokeniser:
         points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
         at = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         if len(self.slot) > MAX_KNOWN:
-            self._forget()
+            self._trim()
         start = piece_starts(points, at, self.kinds)
         end = np.append(start[1:], len(points)) if len(start) else start
-        keys, index, inverse = np.unique(span_hash(points, start, end), return_index=True, return_inverse=True)
+        keys, index, inverse, times = np.unique(span_hash(points, start, end), return_index=True, return_inverse=True, return_counts=True)
         keys = keys.tolist()
         missing = [i for i, k in enumerate(keys) if k not in self.slot]
         if missing:
             raw = points.tobytes()
             self._learn([keys[i] for i in missing],
                         [raw[4 * start[index[i]]:4 * end[index[i]]].decode("utf-32-le") for i in missing])
-        slot = np.fromiter((self.slot[k] for k in keys), np.int64, len(keys))[inverse] if keys else np.zeros(0, np.int64)
+        known = np.fromiter(map(self.slot.__getitem__, keys), np.int64, len(keys))
+        self.met[known] += times
+        slot = known[inverse]
         size = self.size[slot]
         before = np.concatenate([[0], np.cumsum(size)])
         ids = self.ids[np.repeat(self.at[slot] - before[:-1], size) + np.arange(before[-1])]

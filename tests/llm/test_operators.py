@@ -411,3 +411,10 @@ def test_words_and_grams(texts):
         grams = [(int(w.of[d]) + i, tuple(x[i:i + 3])) for d, x in enumerate(want) for i in range(len(x) - 2)]
         assert start.tolist() == [i for i, _ in grams]
         assert len(set(zip(h.tolist(), [g for _, g in grams]))) == len({g for _, g in grams}) == len(set(h.tolist()))
+
+
+def test_ids_survive_forgetting(monkeypatch, odd_rows):
+    monkeypatch.setattr(tokens, "MAX_KNOWN", 30)
+    monkeypatch.setattr(tokens, "CHUNK", 200)
+    texts = [t for _, t in odd_rows]
+    assert [x.tolist() for x in tokens.Tokeniser(vocabulary()).encode(pa.array(texts, pa.string()))] == library_ids(texts)
