@@ -79,7 +79,24 @@ def drift_segments(spark, d):
     return R.drift_segments(V.tracks(spark, d), 100)
 
 
-@query("drift_segments_adaptive")
+@query("drift_segments_adaptive", f"""WITH RECURSIVE {SQL_TRACKS},
+c AS (SELECT recording_id, frame, count(*) AS n FROM tracks GROUP BY ALL),
+u AS (SELECT recording_id, frame+1 AS e, sum(n) OVER (PARTITION BY recording_id ORDER BY frame) AS held FROM c),
+nf AS (SELECT recording_id, max(e) AS nf, greatest(ceil(max(e)/64.0), 25)::BIGINT AS narrow, greatest(ceil(max(e)/64.0), 400)::BIGINT AS wide FROM u GROUP BY ALL),
+b AS (SELECT recording_id, unnest(range(0, nf+1)) AS pos FROM nf),
+h AS (SELECT b.recording_id, b.pos, coalesce(max(u.held) OVER (PARTITION BY b.recording_id ORDER BY b.pos), 0) AS held
+      FROM b LEFT JOIN u ON b.recording_id=u.recording_id AND b.pos=u.e),
+hn AS (SELECT h.*, nf, narrow, wide FROM h JOIN nf USING (recording_id)),
+nx AS (SELECT h.recording_id, h.pos, nf, least(nf, h.pos+wide, greatest(h.pos+narrow, coalesce(min(g.e), nf))) AS nx
+       FROM hn h LEFT JOIN u g ON h.recording_id=g.recording_id AND h.held+50<=g.held GROUP BY h.recording_id, h.pos, nf, wide, narrow),
+walk(recording_id, k, pos) AS (SELECT recording_id, 0, 0::BIGINT FROM nf
+  UNION ALL SELECT w.recording_id, k+1, nx::BIGINT FROM walk w JOIN nx ON w.recording_id=nx.recording_id AND w.pos=nx.pos WHERE w.pos<nf),
+cuts AS (SELECT w.recording_id, k, w.pos, held, narrow, wide, max(k) OVER (PARTITION BY w.recording_id) - k AS back FROM walk w JOIN hn USING (recording_id, pos)),
+poor AS (SELECT recording_id FROM cuts GROUP BY recording_id HAVING max(pos) FILTER (back=0) - max(pos) FILTER (back=2) <= max(wide)
+   AND (max(pos) FILTER (back=0) - max(pos) FILTER (back=1) < max(narrow) OR max(held) FILTER (back=0) - max(held) FILTER (back=1) < 50)),
+kept AS (SELECT recording_id, pos, held FROM cuts WHERE back<>1 OR recording_id NOT IN (FROM poor)),
+s AS (SELECT recording_id, row_number() OVER w - 1 AS segment, pos AS a, lead(pos) OVER w AS b, lead(held) OVER w - held AS n FROM kept WINDOW w AS (PARTITION BY recording_id ORDER BY pos))
+SELECT recording_id, segment::INTEGER AS segment, a::INTEGER AS "start", b::INTEGER AS "end", (a+b-1)/2.0::DOUBLE AS center, n::BIGINT AS n_locs FROM s WHERE b IS NOT NULL""")
 def drift_segments_adaptive(spark, d):
     return R.drift_segments(V.tracks(spark, d), 100, adaptive=True, min_locs=50)
 
