@@ -119,7 +119,7 @@ def brunner_munzel(spark, d):
 
 @query("permutation_test")
 def permutation_test(spark, d):
-    return rounded(G.permutation_test(scalars(spark, d), draws=999))
+    return rounded(G.permutation_test(scalars(spark, d)))
 
 
 @query("normality_gate")
@@ -139,7 +139,7 @@ def effect_sizes(spark, d):
 
 @query("bootstrap_ci")
 def bootstrap_ci(spark, d):
-    return rounded(G.bootstrap_ci(scalars(spark, d), resamples=500))
+    return rounded(G.bootstrap_ci(scalars(spark, d)))
 
 
 @query("needed_sample_size")
@@ -171,7 +171,7 @@ def posthoc(spark, d):
 
 @query("dunnett")
 def dunnett(spark, d):
-    return rounded(G.dunnett(scalars(spark, d), "0", draws=2000))
+    return rounded(G.dunnett(scalars(spark, d), "0"))
 
 
 PAIRED = VALUES + """,
