@@ -235,17 +235,37 @@ def permutation_test(values: DataFrame, draws: int = 9999, seed: int = 0) -> Dat
     return tails.select(*key, F.col("m").alias("draws"), F.least(2 * F.least(low, high), F.lit(1.0)).alias("p"))
 
 
-def normality_gate(values: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """One decision per metric: parametric unless any group of 3…5000 values
-    rejects normality. Larger groups are not tested, so arrays stay bounded."""
-    sizes = group_moments(values).where("n BETWEEN 3 AND 5000")
+def _moment_normality() -> Column:
+    """p of the omnibus test on skewness and kurtosis, each transformed to a standard normal, from columns n, g1, g2."""
+    n = F.col("n").cast("double")
+    y = F.col("g1") * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
+    beta = 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
+    w2 = F.sqrt(2 * (beta - 1)) - 1
+    skew = F.asinh(y / F.sqrt(2 / (w2 - 1))) / F.sqrt(F.log(w2) / 2)
+    x = (F.col("g2") + 3 - 3 * (n - 1) / (n + 1)) / F.sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5)))
+    third = 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * F.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
+    a = 6 + 8 / third * (2 / third + F.sqrt(1 + 4 / (third * third)))
+    kurt = (1 - 2 / (9 * a) - F.cbrt((1 - 2 / a) / (1 + x * F.sqrt(2 / (a - 4))))) / F.sqrt(2 / (9 * a))
+    return F.exp(-(skew * skew + kurt * kurt) / 2)
+
+
+def normality_gate(values: DataFrame, alpha: float = 0.05, exact_upto: int = 5000) -> DataFrame:
+    """One decision per metric: parametric unless a group of at least three values rejects normality.
+
+    Groups of up to ``exact_upto`` (default 5000, at least 19) values are tested on their ordered values, so arrays stay bounded; larger
+    ones by their moments, which need no array. ``n_by_moments`` counts the latter. Constant groups have no p."""
+    sizes = group_moments(values).where(F.col("n").between(3, max(exact_upto, 19)))
     arrays = (finite(values).join(sizes.select("metric", "group"), ["metric", "group"], "left_semi")
               .groupBy("metric", "group").agg(F.array_sort(F.collect_list("value")).alias("_v")))
-    tested = arrays.select("metric", "group", dist.shapiro_col(F.col("_v")).alias("p_normal"))
+    tested = arrays.select("metric", "group", dist.shapiro_col(F.col("_v")).alias("p_normal"), F.lit(0).alias("_m"))
+    large = finite(values).groupBy("metric", "group").agg(
+        F.count("value").alias("n"), F.skewness("value").alias("g1"), F.kurtosis("value").alias("g2")).where(F.col("n") > max(exact_upto, 19))
+    tested = tested.unionByName(large.select("metric", "group", _moment_normality().alias("p_normal"), F.lit(1).alias("_m")))
     all_metrics = values.select("metric").distinct()
-    gate = tested.groupBy("metric").agg(F.min("p_normal").alias("min_p_normal"))
+    gate = tested.groupBy("metric").agg(F.min("p_normal").alias("min_p_normal"), F.sum("_m").alias("n_by_moments"))
     return all_metrics.join(gate, "metric", "left").select(
-        "metric", "min_p_normal", F.coalesce(F.col("min_p_normal") >= alpha, F.lit(True)).alias("parametric"))
+        "metric", "min_p_normal", F.coalesce(F.col("min_p_normal") >= alpha, F.lit(True)).alias("parametric"),
+        F.coalesce("n_by_moments", F.lit(0).cast("long")).alias("n_by_moments"))
 
 
 def effect_sizes(values: DataFrame) -> DataFrame:

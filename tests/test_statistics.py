@@ -113,3 +113,20 @@ def test_circular_extremes(spark):
     close(r[2].mean_direction_deg, 10, 1e-9)
     assert r[3].n == 1 and r[3].mean_resultant_length is None
     assert {x.recording_id: x.median_deg for x in C.circular_median(df).collect()}[4] == 180.0
+
+
+def test_large_groups_are_tested_by_moments(spark):
+    rng = np.random.default_rng(7)
+    rows = [(f"m{k}", "a", float(v)) for k in range(300) for v in rng.normal(3, 2, 60)]
+    rows += [("skewed", "a", float(v)) for v in rng.exponential(1, 6000)] + [("skewed", "b", float(v)) for v in rng.normal(0, 1, 50)]
+    rows += [("heavy", "a", float(v)) for v in rng.standard_t(4, 6000)] + [("flat", "a", float(v)) for v in rng.uniform(0, 1, 6000)]
+    rows += [("constant", "a", 1.0)] * 6000 + [("empty", "a", None)]
+    v = spark.createDataFrame(rows, "metric string, group string, value double")
+    got = {r.metric: r for r in G.normality_gate(v).collect()}
+    assert not any(got[m].parametric for m in ("skewed", "heavy", "flat")) and got["constant"].parametric and got["empty"].parametric
+    assert [got[m].n_by_moments for m in ("skewed", "m0", "empty")] == [1, 0, 0]
+    by_moments = G.normality_gate(v.where("metric LIKE 'm%'"), exact_upto=0).collect()
+    assert all(r.n_by_moments == 1 for r in by_moments)
+    share = np.mean([not r.parametric for r in by_moments])
+    exact = np.mean([not got[r.metric].parametric for r in by_moments])
+    assert 0.02 < share < 0.1 and 0.02 < exact < 0.1
