@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from lociflow.llm.bytesplit import Words, chunks, slices
 from lociflow.llm.scratch import Scratch, row_key
@@ -121,7 +122,17 @@ def _covered(spans: list[tuple[int, int]]) -> int:
     return total
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, block_bytes: int = 1 << 20,
+def _digest(table: pa.RecordBatch, names: list[str]) -> pa.RecordBatch:
+    """The columns of a result from ``spans`` and ``items``."""
+    col = dict(zip(table.schema.names, table.columns))
+    items = [sorted(set(i)) for i in col["items"].to_pylist()]
+    col["items"] = pa.array(items, pa.list_(pa.string()))
+    col["n_hit"] = pa.array([_covered(np.frombuffer(s, "<i4").reshape(-1, 2).tolist()) for s in col["spans"].to_pylist()], pa.int64())
+    col["items_sha256"] = pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for i in items], pa.string())
+    return pa.RecordBatch.from_arrays([col[n] for n in names], names)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, block_bytes: int = 1 << 20, blocks_at_once: int = 4,
                   id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, row_key`` of every row.
 
@@ -131,23 +142,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
     rarest shingle as prefix, hits on prefixes are joined to their windows, bounded by place and
     length, and verified on all shingles in place, which fixes every word.
 
-    The benchmark is cut into blocks of about ``block_bytes`` of text, each broadcast; however large it is, documents pass
-    all blocks one after the other in the same task, without a shuffle. What is written in between
-    holds no text. Null texts have no words; items without words or of null text never occur; a null
+    The benchmark is cut into blocks of about ``block_bytes`` of text (one longer item is a block of its own). Driver and
+    tasks hold ``blocks_at_once`` of them, broadcast; documents pass these one after the other in the same task, without
+    a shuffle. A larger benchmark takes more passes over the documents, whose findings are written and joined by row.
+    What is written in between holds no text. Null texts have no words; items without words or of null text never occur; a null
     item id marks words as hit but names no item; repeated items count once; repeated rows each get
     a row. Empty tables work.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text")).where("text IS NOT NULL")
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text")).where("text IS NOT NULL").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-total // block_bytes))
-    of_block = F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks))
-    indexes = [Index([tuple(r) for r in items.where(of_block == b).collect()], window, shingle) for b in range(n_blocks)]
-
-    def sent(index):
-        """By value, so that executors need not have this package."""
-        return spark.sparkContext.broadcast(cloudpickle.dumps(index))
+    items = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)))
+    named = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("row_key"),
+                        F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"))
+    final = named.drop("text").schema.add("n_hit", "long").add("items_sha256", "string").add("items", ArrayType(StringType()))
 
     def finder(index):
         def run(batches):
@@ -158,55 +168,84 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
                     [*b.columns[:3], pa.array([n for n, _ in found], pa.int64()), *b.columns[4:], pa.array([h for _, h in found], pa.binary())],
                     [*b.schema.names, f"hits{b.num_columns - 4}"])
         return run
-    found = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("row_key"),
-                        F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"))
-    for b, index in enumerate(indexes):
-        schema = found.select("*").schema.add(f"hits{b}", "binary")
-        found = found.mapInArrow(finder(sent(index)), schema)
-    hits = scratch.write(found.drop("text"), "hits")
-
-    def counted(batches):
-        for b in batches:
-            for k in range(n_blocks):
-                all_hits = np.frombuffer(b"".join(b.column(k).to_pylist()), "<i4")[1::2]
-                ids, n = np.unique(all_hits, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), k), pa.int32()), pa.array(ids, pa.int32()), pa.array(n, pa.int64())],
-                                                 ["block", "sid", "n"])
-    counts = [{} for _ in indexes]
-    for r in (hits.select(*(f"hits{b}" for b in range(n_blocks))).mapInArrow(counted, "block int, sid int, n long")
-              .groupBy("block", "sid").agg(F.sum("n").alias("n")).toLocalIterator()):      # at most one row for each shingle of the benchmark
-        counts[r.block][r.sid] = r.n
-    for index, of in zip(indexes, counts):
-        index.order_by_rarity(of)
-
-    def verifier(index, k):
-        last = k == n_blocks - 1
 
+    def counter(n):
+        def run(batches):
+            for b in batches:
+                for k in range(n):
+                    all_hits = np.frombuffer(b"".join(b.column(k).to_pylist()), "<i4")[1::2]
+                    ids, times = np.unique(all_hits, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), k), pa.int32()), pa.array(ids, pa.int32()),
+                                                      pa.array(times, pa.int64())], ["k", "sid", "n"])
+        return run
+
+    def verifier(index, k, names):
+        """Adds what block ``k`` of the pass finds; given ``names``, also ends with those columns of the result."""
         def run(batches):
             index_here = cloudpickle.loads(index.value)
             for b in batches:
-                names = b.schema.names
-                col = {n: b.column(i) for i, n in enumerate(names)}
+                col = dict(zip(b.schema.names, b.columns))
                 spans, items = [], []
                 for n, h, s, i in zip(col["n_words"].to_pylist(), col[f"hits{k}"].to_pylist(), col["spans"].to_pylist(), col["items"].to_pylist()):
                     new, of = index_here.verify(n, h)
                     spans.append(s + np.array(new, "<i4").tobytes())
                     items.append(sorted(set(i) | of))
-                col["items"] = pa.array(items, pa.list_(pa.string()))
-                if last:
-                    col["n_hit"] = pa.array([_covered(np.frombuffer(s, "<i4").reshape(-1, 2).tolist()) for s in spans], pa.int64())
-                    col["items_sha256"] = pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for i in items], pa.string())
-                    names = final.names
-                else:
-                    col["spans"] = pa.array(spans, pa.binary())
-                yield pa.RecordBatch.from_arrays([col[n] for n in names], names)
+                col["spans"], col["items"] = pa.array(spans, pa.binary()), pa.array(items, pa.list_(pa.string()))
+                made = pa.RecordBatch.from_arrays(list(col.values()), list(col))
+                yield _digest(made, names) if names else made
         return run
-    checked = hits.select("*", F.lit(b"").alias("spans"), F.array().cast("array<string>").alias("items"))
-    final = hits.select("doc_id", "row_key", "n_words").schema.add("n_hit", "long").add("items_sha256", "string").add(checked.schema["items"])
-    for b, index in enumerate(indexes):
-        checked = checked.mapInArrow(verifier(sent(index), b), final if b == n_blocks - 1 else checked.schema)
-        checked = checked if b == n_blocks - 1 else checked.drop(f"hits{b}")
-    return checked.select(
+
+    def searched(first: int, finish: bool) -> tuple[DataFrame, list]:
+        """One pass: rows with the spans and items of its blocks, or the result, and what it has broadcast."""
+        blocks, shared = range(first, min(n_blocks, first + blocks_at_once)), []
+        texts: dict[int, list] = {b: [] for b in blocks}
+        for r in items.where(F.col("block").between(blocks[0], blocks[-1])).collect():
+            texts[r.block].append((r.item, r.text))
+        indexes = [Index(texts.pop(b), window, shingle) for b in blocks]
+
+        def sent(index):
+            """By value, so that executors need not have this package."""
+            shared.append(spark.sparkContext.broadcast(cloudpickle.dumps(index)))
+            return shared[-1]
+        found = named
+        for k, index in enumerate(indexes):
+            found = found.mapInArrow(finder(sent(index)), found.select("*").schema.add(f"hits{k}", "binary"))
+        hits = scratch.write(found.drop("text"), f"hits{first}")
+        counts = [{} for _ in indexes]
+        for r in (hits.select(*(f"hits{k}" for k in range(len(indexes)))).mapInArrow(counter(len(indexes)), "k int, sid int, n long")
+                  .groupBy("k", "sid").agg(F.sum("n").alias("n")).toLocalIterator()):      # at most one row for each shingle of the blocks
+            counts[r.k][r.sid] = r.n
+        checked = hits.select("*", F.lit(b"").alias("spans"), F.array().cast("array<string>").alias("items"))
+        for k, (index, of) in enumerate(zip(indexes, counts)):
+            index.order_by_rarity(of)
+            ends = finish and k == len(indexes) - 1
+            checked = checked.mapInArrow(verifier(sent(index), k, final.names if ends else None), final if ends else checked.schema)
+            checked = checked if ends else checked.drop(f"hits{k}")
+        return checked, shared
+
+    if n_blocks <= blocks_at_once:
+        out = searched(0, True)[0]
+    else:
+        rows, parts = None, None
+        for first in range(0, n_blocks, blocks_at_once):
+            found, shared = searched(first, False)
+            found = scratch.write(found, f"pass{first}")
+            for b in shared:                               # nothing reads a pass again but from its table
+                b.destroy()
+            scratch.drop(f"hits{first}")
+            rows = found.select("doc_id", "row_key", "n_words") if rows is None else rows
+            part = found.where(F.octet_length("spans") > 0).select("row_key", "spans", "items").dropDuplicates(["row_key"])
+            parts = part if parts is None else parts.unionByName(part)
+        parts = parts.groupBy("row_key").agg(F.collect_list("spans").alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+
+        def ended(batches):
+            for b in batches:
+                yield _digest(b, final.names)
+        joined = rows.join(parts, "row_key", "left").select(
+            "doc_id", "row_key", "n_words", F.aggregate(F.coalesce("spans", F.array().cast("array<binary>")), F.lit(b""), lambda s, x: F.concat(s, x)).alias("spans"),
+            F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+        out = joined.mapInArrow(ended, final)
+    return out.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items_sha256",
         (F.col("n_hit") > 0).alias("contaminated"), "items", "row_key")
 
