@@ -4,14 +4,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 ROUNDS = 8
+# Characters of an IBAN by country; of countries not named here any length of the standard is tried.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+
+
+def _iban_body(length: int) -> str:
+    last = f" ?[A-Z0-9]{{{length % 4}}}" if length % 4 else ""
+    return f"[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{length // 4 - 1}}}{last}(?![A-Za-z0-9])"
+
+
+OF_COUNTRY = "|".join(f"(?:{names.replace(' ', '|')}){_iban_body(n)}" for n, names in IBAN_LENGTHS.items())
+OVER_15 = "[0-9][ .()-]{0,2}" * 16
 # Candidates, tried in this order at each place of a text.
 PATTERNS = {
-    "email": "(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@(?:[A-Za-z0-9-]{1,63}\\.){1,8}[A-Za-z]{2,24}",
-    "iban": "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "email": "(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@(?:[A-Za-z0-9-]{1,63}\\.){1,8}[A-Za-z]{2,24}",
+    "iban": f"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{OF_COUNTRY}|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?![A-Za-z0-9]))",
     "date": "(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\\.[0-9]{2}\\.[0-9]{4})(?![0-9/-])",
     "ip": "(?<![0-9.])[0-9]{1,3}(?:\\.[0-9]{1,3}){3}(?![0-9]|\\.[0-9])",
     "ssn": "(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": "(?:\\+[0-9]{1,3}[ .-]?(?:\\([0-9]{1,4}\\)[ .-]?)?[0-9]{2,5}(?:[ .-]?[0-9]{2,5}){1,4}"
+    "phone": "(?:\\+[0-9]{1,3}[ .-]?(?:\\([0-9]{1,4}\\)[ .-]?)?[0-9]{2,5}(?:[ .-]?[0-9]{2,5}){1,4}" + f"(?<!{OVER_15})" +
              "|\\([0-9]{3}\\) ?[0-9]{3}[ .-][0-9]{4}|(?<![0-9-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])",
     "card": "(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
 }
@@ -178,6 +192,8 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     format, so the result is valid again, equal values become equal pseudonyms in
     every document, and different ones stay different (e-mail and IBAN letters
     and digits move within their class). What fails validation is left alone.
+    An IBAN has the length of its country and a telephone number at most 15 digits already in
+    the pattern, so a word or number after one is not taken with it.
     Nothing is shuffled: equality comes from the key, not from a table.
 
     Null text stays null with zero counts; empty text stays empty; repeated rows
