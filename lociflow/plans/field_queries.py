@@ -27,14 +27,14 @@ def step_segments(spark, d):
 @query("fit_hmm")
 def fit_hmm(spark, d):
     segs = H.step_segments(V.tracks(spark, d), PX)
-    out = H.fit_hmm(segs, DT, states=(1, 2), max_iter=6)
+    out = H.fit_hmm(segs, DT, states=(1, 2, 3))
     return rounded(out.select("recording_id", "n_states", "n_steps", "n_segments", "iterations", "loglik", "bic",
                               F.get("D", F.lit(0)).alias("slowest_d")), digits=4)
 
 
 @query("diffusive_states")
 def diffusive_states(spark, d):
-    return rounded(H.diffusive_states(V.tracks(spark, d), PX, DT, k_max=3, min_steps=20, max_iter=5), digits=4)
+    return rounded(H.diffusive_states(V.tracks(spark, d), PX, DT, min_steps=20), digits=4)
 
 
 @query("jdd_curve", f"""WITH {STEPS}, j AS (SELECT recording_id, round(sqrt(dx*dx+dy*dy), 9) AS v FROM steps),
