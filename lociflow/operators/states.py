@@ -221,23 +221,28 @@ def _jdd_fit(r: np.ndarray, cdf: np.ndarray, w: np.ndarray, n: int, dt: float, o
 
 
 def jdd_curve(jumps: DataFrame, minimum: int = 30) -> DataFrame:
-    """The empirical distribution of each recording's jumps on at most 4096
-    weighted points: ``(recording_id, r, cdf, weight, n_jumps)``."""
+    """The empirical distribution of each recording's jumps, one row per distinct
+    jump: ``(recording_id, r, cdf, weight, n_jumps)``."""
     d = distribution(jumps, ["recording_id"], "jump_um").where(F.col("n_total") >= minimum)
     at = (F.col("n_below") + (F.col("n_equal") + 1) / 2) / F.col("n_total")
-    mean = lambda c: F.sum(c * F.col("n_equal")) / F.sum("n_equal")              # noqa: E731
-    return d.groupBy("recording_id", F.floor(F.col("n_below") * JDD_BINS / F.greatest("n_total", F.lit(JDD_BINS))).alias("_b")).agg(
-        mean(F.col("value")).alias("r"), mean(at).alias("cdf"), F.sum("n_equal").alias("weight"),
-        F.max("n_total").alias("n_jumps")).drop("_b")
+    return d.select("recording_id", F.col("value").alias("r"), at.alias("cdf"), F.col("n_equal").alias("weight"), F.col("n_total").alias("n_jumps"))
+
+
+def _merged(curve: DataFrame) -> DataFrame:
+    """A curve on at most 4096 weighted points a recording, merged by rank."""
+    below = F.col("cdf") * F.col("n_jumps") - (F.col("weight") + 1) / 2
+    mean = lambda c: F.sum(F.col(c) * F.col("weight")) / F.sum("weight")         # noqa: E731
+    return curve.groupBy("recording_id", F.floor(F.round(below) * JDD_BINS / F.greatest("n_jumps", F.lit(JDD_BINS))).alias("_b")).agg(
+        mean("r").alias("r"), mean("cdf").alias("cdf"), F.sum("weight").alias("weight"), F.max("n_jumps").alias("n_jumps")).drop("_b")
 
 
 def jdd_fit(jumps: DataFrame, frame_interval: float, components: int = 2, offset_um2: float | None = None,
             minimum: int = 30) -> DataFrame:
     """Mixture of 1–3 diffusing populations fitted to each recording's jump
-    distance distribution. A third share that turns clearly negative falls back
+    distance distribution, on at most 4096 merged points. A third share that turns clearly negative falls back
     to two populations."""
     dt, offset = float(frame_interval), float(offset_um2 or 0.0)
-    curve = jdd_curve(jumps, minimum)
+    curve = _merged(jdd_curve(jumps, minimum))
     rec = curve.schema["recording_id"].dataType.simpleString()
 
     def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
