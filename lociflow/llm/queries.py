@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lociflow.llm import (credentials, decontaminate, exact_dedup, licenses, packing, pii, quality, simhash, toxicity, urls)
+from lociflow.llm import (credentials, decontaminate, dialogue, exact_dedup, licenses, packing, pii, quality, simhash, toxicity, urls)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -113,3 +113,9 @@ def op9(spark, sf_dir):
 @query("op10_licenses")
 def op10(spark, sf_dir):
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op13_dialogue_repair")
+def op13(spark, sf_dir):
+    conversations = table(spark, sf_dir, "conversations")
+    return dialogue.repaired_summary(conversations, dialogue.damage(conversations))
