@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lociflow.llm import (credentials, decontaminate, dialogue, exact_dedup, licenses, packing, pii, quality, simhash, toxicity, urls)
+from lociflow.llm import (credentials, decontaminate, dialogue, exact_dedup, licenses, packing, pii, quality, shards, simhash, toxicity, urls)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -13,6 +13,7 @@ ORACLES: dict[str, str] = {}
 PII_KEY = "key of the named query"
 BLOCK, ALLOW = ("com/en/", "example.net/de/8", "org/es/"), ("example.com/en/7", "net/de/")
 BENCHMARK_WINDOW, CAPACITY = 10, 2048
+SHARDS = 40
 
 
 def vocabulary() -> str:
@@ -115,6 +116,12 @@ def op10(spark, sf_dir):
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+@query("op11_hilbert_shards", shards.oracle_sql({"lang": "lang", "source": "source", "bytes": "strlen(text)"}, SHARDS))
+def op11(spark, sf_dir):
+    placed = shards.hilbert_shards(table(spark, sf_dir, "documents"), {"lang": "lang", "source": "source", "bytes": "octet_length(text)"}, SHARDS)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
 @query("op13_dialogue_repair")
 def op13(spark, sf_dir):
     conversations = table(spark, sf_dir, "conversations")
