@@ -9,17 +9,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from lociflow.llm.bytesplit import slices
 from lociflow.llm.scratch import Scratch
-from lociflow.llm.tokens import Tokeniser
+from lociflow.llm.tokens import Tokeniser, kept_in_worker
 
 
 def _tokeniser(path: str) -> Tokeniser:
-    """One for each worker process. Functions travel by value, so only a module that
-    the worker imports itself outlives a task; the library's keeps it."""
-    import tokenizers
-    known = tokenizers.__dict__.setdefault("_kept_by_path", {})
-    if path not in known:
-        known[path] = Tokeniser(path)
-    return known[path]
+    return kept_in_worker(("ids", path), lambda: Tokeniser(path))
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

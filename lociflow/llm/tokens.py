@@ -2,6 +2,8 @@
 from __future__ import annotations
 
 import os
+import sys
+import types
 import unicodedata
 from collections.abc import Iterator
 
@@ -14,6 +16,7 @@ LATIN = 0x250             # code points below are split here; a text with others
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 SPECIAL = "<|endoftext|>"
 CHUNK = 1 << 20           # code points at once
+LONGEST = 256             # code points of a remembered piece
 MAX_KNOWN = 400_000       # pieces remembered by a worker; beyond, the third met most often stays
 
 
@@ -64,44 +67,64 @@ def piece_starts(points: np.ndarray, at: np.ndarray, kinds: np.ndarray) -> np.nd
 
 
 class Tokeniser:
-    """Ids of texts; every distinct piece goes through the library once and is remembered."""
+    """Ids of texts; every distinct piece of up to ``LONGEST`` code points goes through the library once and is remembered.
 
-    def __init__(self, path: str):
+    A piece is looked up by a hash and then compared with the one remembered, code point by code point; one that
+    only shares the hash, and any longer piece, goes to the library by itself.
+    """
+
+    def __init__(self, path: str, special_as_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = special_as_text
+        self.special = None if special_as_text else SPECIAL
         self.kinds = _kinds()
         self._forget()
 
     def _forget(self):
         self.slot: dict[int, int] = {}
         self.at, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.from_, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.met = np.zeros(1 << 12, np.int64)
         self.ids, self.used = np.zeros(1 << 14, np.uint32), 0
+        self.points, self.n_points = np.zeros(1 << 14, np.uint32), 0
 
     def _trim(self):
         n = len(self.slot)
         stay = np.sort(np.argsort(self.met[:n], kind="stable")[n - MAX_KNOWN // 3:])
         keys = np.fromiter(self.slot, np.uint64, n)[stay].tolist()
-        size = self.size[stay]
-        first = np.cumsum(size) - size
-        ids = self.ids[np.repeat(self.at[stay] - first, size) + np.arange(size.sum())]
+        ids, at = _gathered(self.ids, self.at[stay], self.size[stay])
+        points, from_ = _gathered(self.points, self.from_[stay], self.length[stay])
+        size, length = self.size[stay], self.length[stay]
         self._forget()
         self.slot = {k: i for i, k in enumerate(keys)}
-        self.at, self.size, self.met = first, size, np.zeros(len(stay), np.int64)
-        self.ids, self.used = ids, len(ids)
+        self.at, self.size, self.met = at, size, np.zeros(len(stay), np.int64)
+        self.from_, self.length = from_, length
+        self.ids, self.used, self.points, self.n_points = ids, len(ids), points, len(points)
+
+    def _alone(self, pieces: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def _learn(self, keys: list[int], pieces: list[str]) -> None:
-        new = [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+        new = self._alone(pieces)
+        shapes = np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32)
         n, total = len(self.slot), sum(map(len, new))
         if n + len(new) > len(self.at):
-            self.at, self.size, self.met = (np.concatenate([x, np.zeros(len(x) + len(new), np.int64)]) for x in (self.at, self.size, self.met))
+            more = np.zeros(len(self.at) + len(new), np.int64)
+            self.at, self.size, self.met, self.from_, self.length = (
+                np.concatenate([x, more]) for x in (self.at, self.size, self.met, self.from_, self.length))
         if self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + total, np.uint32)])
-        for i, (key, ids) in enumerate(zip(keys, new), n):
+        if self.n_points + len(shapes) > len(self.points):
+            self.points = np.concatenate([self.points, np.zeros(len(self.points) + len(shapes), np.uint32)])
+        self.points[self.n_points:self.n_points + len(shapes)] = shapes
+        for i, (key, ids, piece) in enumerate(zip(keys, new, pieces), n):
             self.slot[key], self.at[i], self.size[i] = i, self.used, len(ids)
+            self.from_[i], self.length[i] = self.n_points, len(piece)
             self.ids[self.used:self.used + len(ids)] = ids
             self.used += len(ids)
+            self.n_points += len(piece)
 
     def _chunk(self, texts: list[str]) -> Iterator[np.ndarray]:
         points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
@@ -110,19 +133,36 @@ class Tokeniser:
             self._trim()
         start = piece_starts(points, at, self.kinds)
         end = np.append(start[1:], len(points)) if len(start) else start
+        length = end - start
+        raw = points.tobytes()
+
+        def text(i):
+            return raw[4 * start[i]:4 * end[i]].decode("utf-32-le")
         keys, index, inverse, times = np.unique(span_hash(points, start, end), return_index=True, return_inverse=True, return_counts=True)
         keys = keys.tolist()
-        missing = [i for i, k in enumerate(keys) if k not in self.slot]
+        missing = [i for i, k in enumerate(keys) if k not in self.slot and length[index[i]] <= LONGEST]
         if missing:
-            raw = points.tobytes()
-            self._learn([keys[i] for i in missing],
-                        [raw[4 * start[index[i]]:4 * end[index[i]]].decode("utf-32-le") for i in missing])
-        known = np.fromiter(map(self.slot.__getitem__, keys), np.int64, len(keys))
-        self.met[known] += times
+            self._learn([keys[i] for i in missing], [text(index[i]) for i in missing])
+        known = np.fromiter((self.slot.get(k, -1) for k in keys), np.int64, len(keys))
+        self.met[known[known >= 0]] += times[known >= 0]
         slot = known[inverse]
-        size = self.size[slot]
+        own = np.flatnonzero((slot < 0) | (length != self.length[slot]))
+        slot[own] = 0
+        if len(start):                                     # pieces cover the chunk, so one pass compares them all
+            beside = np.repeat(self.from_[slot] - start, length)
+            beside += np.arange(len(points))
+            np.minimum(beside, len(self.points) - 1, out=beside)
+            same = np.logical_and.reduceat(self.points[beside] == points, start)
+            same[own] = False
+            own = np.flatnonzero(~same)
+        first, size, ids = self.at[slot], self.size[slot], self.ids
+        if len(own):
+            alone = self._alone([text(i) for i in own])
+            sizes = np.array([len(x) for x in alone])
+            first[own], size[own] = len(ids) + np.cumsum(sizes) - sizes, sizes
+            ids = np.concatenate([ids, *alone])
         before = np.concatenate([[0], np.cumsum(size)])
-        ids = self.ids[np.repeat(self.at[slot] - before[:-1], size) + np.arange(before[-1])]
+        ids = _gathered(ids, first, size)[0]
         cut = before[np.searchsorted(start, at)]
         for a, b in zip(cut[:-1], cut[1:]):
             yield ids[a:b]
@@ -133,7 +173,7 @@ class Tokeniser:
         for text in column.to_pylist():
             text = text or ""
             plain = text.isascii() or ord(max(text)) < LATIN
-            if not plain or SPECIAL in text:
+            if not plain or (self.special and self.special in text):
                 yield from self._chunk(batch)
                 batch, size = [], 0
                 yield np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -144,3 +184,18 @@ class Tokeniser:
                 yield from self._chunk(batch)
                 batch, size = [], 0
         yield from self._chunk(batch)
+
+
+def _gathered(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spans ``at, size`` of ``data`` one behind the other, and where each now begins."""
+    first = np.cumsum(size) - size
+    return data[np.repeat(at - first, size) + np.arange(size.sum())], first
+
+
+def kept_in_worker(key, make):
+    """``make()`` once for each worker process. Functions travel by value, so what outlives a task needs a module of its own."""
+    place = sys.modules.setdefault("lociflow_worker_state", types.ModuleType("lociflow_worker_state"))
+    known = place.__dict__.setdefault("by_key", {})
+    if key not in known:
+        known[key] = make()
+    return known[key]

@@ -418,3 +418,25 @@ def test_ids_survive_forgetting(monkeypatch, odd_rows):
     monkeypatch.setattr(tokens, "CHUNK", 200)
     texts = [t for _, t in odd_rows]
     assert [x.tolist() for x in tokens.Tokeniser(vocabulary()).encode(pa.array(texts, pa.string()))] == library_ids(texts)
+
+
+def test_pieces_that_share_a_hash_keep_their_own_ids():
+    """Two words of 2,048 letters that any polynomial modulo 2**64 takes for one."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from lociflow.llm import tokens
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = [word, other, f"{other} {word}", word[:256] + " " + other[:256], "a b", None, ""]
+    own = tokens.Tokeniser(path)
+    original, tokens.LONGEST = tokens.LONGEST, 4096        # as remembered pieces, so that only the comparison tells them apart
+    try:
+        for _ in range(2):
+            got = [x.tolist() for x in own.encode(pa.array(texts, pa.string()))]
+            assert got == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    finally:
+        tokens.LONGEST = original
+    assert [x.tolist() for x in tokens.Tokeniser(path).encode(pa.array(texts, pa.string()))] == got
