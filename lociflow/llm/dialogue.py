@@ -319,7 +319,7 @@ def _in_runs(rows: DataFrame, scratch: Scratch, block_rows: int, shape) -> DataF
     thin = scratch.write(flagged.select("conv", F.floor(F.col("pos") / block_rows).alias("run"), "pos", code.alias("code")), "thin")
     one_hot = np.where(np.eye(N_STATES, dtype=bool), 0, FAR)
 
-    def matrix(key, t: pa.Table) -> pa.Table:
+    def matrix(key, t):
         c = t.sort_by("pos")["code"].to_numpy()
         at = np.arange(N_STATES + 1) * len(c)
         d = costs(np.tile(c, N_STATES), at, one_hot, np.zeros(N_STATES, bool))

@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lociflow.llm import (credentials, decontaminate, dialogue, exact_dedup, licenses, packing, pii, quality, shards, simhash, toxicity, urls)
+from lociflow.llm import (alignment, credentials, decontaminate, dialogue, exact_dedup, licenses, packing, pii, quality, shards, simhash, toxicity, urls)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -16,9 +16,9 @@ BENCHMARK_WINDOW, CAPACITY = 10, 2048
 SHARDS = 40
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -122,6 +122,11 @@ def op11(spark, sf_dir):
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+@query("op12_tokenizer_alignment")
+def op12(spark, sf_dir):
+    return alignment.align_tokenizers(table(spark, sf_dir, "documents"), vocabulary(), vocabulary("piece_bpe_32k.model")).documents
+
+
 @query("op13_dialogue_repair")
 def op13(spark, sf_dir):
     conversations = table(spark, sf_dir, "conversations")
