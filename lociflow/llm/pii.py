@@ -4,11 +4,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 ROUNDS = 8
-# Characters of an IBAN by country; of countries not named here any length of the standard is tried.
+# Characters of an IBAN by country, and the country codes of telephone numbers.
 IBAN_LENGTHS = {
     15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
     22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
     27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+COUNTRY_CODE = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
 
 
 def _iban_body(length: int) -> str:
@@ -21,7 +22,7 @@ OVER_15 = "[0-9][ .()-]{0,2}" * 16
 # Candidates, tried in this order at each place of a text.
 PATTERNS = {
     "email": "(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@(?:[A-Za-z0-9-]{1,63}\\.){1,8}[A-Za-z]{2,24}",
-    "iban": f"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{OF_COUNTRY}|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?![A-Za-z0-9]))",
+    "iban": f"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{OF_COUNTRY})",
     "date": "(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\\.[0-9]{2}\\.[0-9]{4})(?![0-9/-])",
     "ip": "(?<![0-9.])[0-9]{1,3}(?:\\.[0-9]{1,3}){3}(?![0-9]|\\.[0-9])",
     "ssn": "(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -30,6 +31,7 @@ PATTERNS = {
     "card": "(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
 }
 ANY = "|".join(PATTERNS.values())
+WITHIN_IBAN = "|".join(p for kind, p in PATTERNS.items() if kind != "iban")       # what a candidate that is no IBAN may hold
 CYCLE = 146097          # days after which the Gregorian calendar repeats, 189 * 773
 
 
@@ -166,11 +168,12 @@ def _ssn(t: Column, key: str) -> Column:
 
 
 def _phone(t: Column, key: str) -> Column:
-    """The country code stays."""
-    code = F.when(t.startswith("+"), F.regexp_extract(t, "^\\+[0-9]{1,3}(?=[ .(-])", 0)).otherwise("")
-    rest = F.substr(t, F.length(code) + 1)
-    moved = F.when(F.length(_digits(rest)).between(4, 15) & F.length(_digits(t)).between(7, 15), _permuted_digits(_digits(rest), key, "phone"))
-    return F.concat(code, _refilled(rest, moved))
+    """The country code stays, whether a separator follows it or not; the digits behind it are the number."""
+    def new(d):
+        code = F.when(t.startswith("+"), F.regexp_extract(d, f"^(?:{COUNTRY_CODE})", 0)).otherwise("")
+        rest = F.substr(d, F.length(code) + 1)
+        return F.when(F.length(rest).between(4, 15) & F.length(d).between(7, 15), F.concat(code, _permuted_digits(rest, key, "phone")))
+    return _refilled(t, _with(_digits(t), new))
 
 
 def _email(t: Column, key: str) -> Column:
@@ -193,10 +196,12 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     every document, and different ones stay different (e-mail and IBAN letters
     and digits move within their class). What fails validation is left alone.
     An IBAN has the length of its country and a telephone number at most 15 digits already in
-    the pattern, so a word or number after one is not taken with it.
+    the pattern, so a word or number after one is not taken with it; what looks like an IBAN and is none is searched
+    for the other kinds. A telephone number is its country code, by the public table of codes, and the digits behind it, however
+    they are separated; a trunk zero in brackets counts as a digit. IPv6 addresses and e-mail addresses beyond ASCII are not looked for.
     Nothing is shuffled: equality comes from the key, not from a table.
 
-    Null text stays null with zero counts; empty text stays empty; repeated rows
+    Null text stays null with zero counts; empty text stays empty; very long texts are read whole; an empty table gives none; repeated rows
     each get a row; null identifiers stay. Only the two named columns are read. ``key`` should come
     from a secret store; whoever has it can link guesses to pseudonyms.
     """
@@ -204,24 +209,36 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     found = F.when(F.col("text").rlike(ANY), F.struct(
         F.split("text", ANY, -1).alias("gaps"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("hits")))
 
-    def kind_of(t):
+    def kind_of(t, kinds):
         out = F.lit(None).cast("string")
-        for kind, pattern in reversed(PATTERNS.items()):
-            out = F.when(t.rlike(f"^(?:{pattern})$"), kind).otherwise(out)
+        for kind in reversed(kinds):
+            out = F.when(t.rlike(f"^(?:{PATTERNS[kind]})$"), kind).otherwise(out)
         return out
 
-    def renamed(t):
+    def pieces(gap, old, kinds):
+        """One hit as ``gap, kind, old, new``; one that is no IBAN as the hits within it."""
         def by_kind(kind):
             new = F.lit(None).cast("string")
-            for name, fn in NEW.items():
-                new = F.when(kind == name, fn(t, key)).otherwise(new)
-            return F.struct(kind.alias("kind"), new.alias("new"))
-        return _with(kind_of(t), by_kind)
+            for name in kinds:
+                new = F.when(kind == name, NEW[name](old, key)).otherwise(new)
+            return F.struct(gap.alias("gap"), kind.alias("kind"), old.alias("old"), new.alias("new"))
+        one = _with(kind_of(old, kinds), by_kind)
+        if "iban" not in kinds:
+            return one
+        rest = [k for k in kinds if k != "iban"]
+
+        def inside(hit):
+            gaps, hits = F.split(old, WITHIN_IBAN, -1), F.regexp_extract_all(old, F.lit(WITHIN_IBAN), F.lit(0))
+            none = F.lit(None).cast("string")
+            found = F.transform(F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), hits.alias("old")), lambda x: pieces(x["gap"], x["old"], rest))
+            nested = F.concat(F.array(F.struct(gap.alias("gap"), none.alias("kind"), F.lit("").alias("old"), none.alias("new"))), found,
+                              F.array(F.struct(F.element_at(gaps, -1).alias("gap"), none.alias("kind"), F.lit("").alias("old"), none.alias("new"))))
+            return F.when((hit["kind"] == "iban") & hit["new"].isNull(), nested).otherwise(F.array(hit))
+        return _with(one, inside)
     hits = base.withColumn("found", found)
-    hits = hits.withColumn("new", F.transform("found.hits", renamed))
-    text = F.concat(F.array_join(F.transform(F.arrays_zip(
-        F.slice("found.gaps", F.lit(1), F.size("found.hits")).alias("gap"), F.col("found.hits").alias("old"), F.col("new").alias("new")),
-        lambda x: F.concat(x["gap"], F.coalesce(x["new"]["new"], x["old"]))), ""), F.element_at("found.gaps", -1))
+    zipped = F.arrays_zip(F.slice("found.gaps", F.lit(1), F.size("found.hits")).alias("gap"), F.col("found.hits").alias("old"))
+    hits = hits.withColumn("new", F.flatten(F.transform(zipped, lambda x: pieces(x["gap"], x["old"], list(PATTERNS)))))
+    text = F.concat(F.array_join(F.transform("new", lambda x: F.concat(x["gap"], F.coalesce(x["new"], x["old"]))), ""), F.element_at("found.gaps", -1))
 
     def count(kind):
         n = F.size(F.filter("new", lambda x: (x["kind"] == kind) & x["new"].isNotNull()))
