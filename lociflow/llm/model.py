@@ -25,7 +25,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int,
     If there are more, those with the smallest hash of their identifier are taken:
     the same ones in every run. The chosen identifiers are bounded by ``max_rows``,
     so they are broadcast and no text is shuffled. A null label or identifier does not count; an identifier labelled
-    both ways counts as 1.
+    both ways counts as 1. Of rows that repeat an identifier the text with the smallest hash is taken, so the result has
+    ``max_rows`` rows at most, however often one repeats.
     """
     usable = (labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id") != 0))
               .groupBy("doc_id").agg((F.max(F.col(label).cast("int")) > 0).cast("int").alias("label")))
@@ -35,8 +36,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int,
         share = min(1.0, 1.3 * max_rows / n + 0.001)
         usable = usable.where(F.pmod(rank, F.lit(1 << 30)) < int(share * (1 << 30)))
     chosen = usable.orderBy(F.pmod(rank, F.lit(1 << 30)), "doc_id").limit(max_rows)
-    chosen = chosen.select(F.col("doc_id").alias(id_col), "label")
-    return docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(F.col(text_col).alias("text"), "label")
+    chosen = chosen.select("doc_id", "label")
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    met = named.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(
+        F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("one"), F.first("label").alias("label"))
+    return met.select("one.text", "label")
 
 
 def fitted(rows: DataFrame, features: Callable, fit: Callable) -> np.ndarray:
@@ -74,5 +78,17 @@ def scored(docs: DataFrame, columns: list[str], text_col: str, score: Callable,
     return kept.mapInArrow(run, schema)
 
 
+def scored_rows(docs: DataFrame, text_col: str, score: Callable) -> DataFrame:
+    """``row, score``: whole rows as structs, whatever their columns are called, in one pass without a shuffle."""
+    kept = docs.select(F.struct("*").alias("row"))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            out = pa.array(np.asarray(score(pa.compute.struct_field(b.column(0), [at])), np.float64))
+            yield pa.RecordBatch.from_arrays([b.column(0), out], ["row", "score"])
+    return kept.mapInArrow(run, kept.select("*").schema.add("score", "double"))
+
+
 def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))

@@ -1,11 +1,13 @@
 """Toxicity by a linear classifier on character n-grams scaled by naive Bayes log-count ratios."""
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from lociflow.llm.bytesplit import mixed
-from lociflow.llm.model import fitted, fold, scored, sigmoid, training_rows
+from lociflow.llm.model import fitted, fold, scored, scored_rows, sigmoid, training_rows
 
 BITS = 18
 SIZES = (4, 5)
@@ -42,9 +44,11 @@ def features(column):
 
 
 def fit(rows, y) -> np.ndarray:
-    """Weight of every bucket, then the bias. Presence is scaled by the log ratio of smoothed counts in the
+    """Weight and ratio of every bucket, the bias, and 1 if both classes were there, without which nothing is learned. Presence is scaled by the log ratio of smoothed counts in the
     two classes; logistic regression on the scaled features by AdaGrad in a fixed order."""
     n = 1 << BITS
+    if len(set(np.asarray(y).tolist())) < 2:
+        return np.zeros(2 * n + 2)
     counts = np.ones((2, n))
     for (i, _), label in zip(rows, y):
         counts[int(label), i] += 1
@@ -55,7 +59,7 @@ def fit(rows, y) -> np.ndarray:
     w, seen2, bias = np.zeros(n), np.full(n, 1e-8), 0.0
     bias2 = 1e-8
     order = np.random.RandomState(7)
-    for _ in range(EPOCHS if len(rows) else 0):
+    for _ in range(EPOCHS):
         for k in order.permutation(len(rows)):
             i = rows[k][0]
             x = ratio[i]
@@ -66,12 +70,12 @@ def fit(rows, y) -> np.ndarray:
             w[i] -= RATE * grad / np.sqrt(seen2[i])
             bias2 += g * g
             bias -= RATE * g / np.sqrt(bias2)
-    return np.concatenate([w, ratio, [bias]])
+    return np.concatenate([w, ratio, [bias, 1.0]])
 
 
 def scorer(model: np.ndarray):
     n = 1 << BITS
-    product, square, bias = model[:n] * model[n:2 * n], model[n:2 * n] ** 2, model[-1]
+    product, square, bias = model[:n] * model[n:2 * n], model[n:2 * n] ** 2, model[2 * n]
 
     def score(column):
         seen = np.zeros(n, bool)
@@ -92,13 +96,21 @@ def score_toxicity(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", t
     """``doc_id, held_out, score, predicted`` of every row, from its whole text and nothing else.
 
     Null and empty texts score like a text without n-grams; repeated rows each get a row; a null identifier stays
-    null and is held out. No labelled row at all gives 0.5 everywhere.
+    null and is held out. Very long texts are scored whole, a piece at a time; an empty table gives none. Labels of one class only, or
+    none, give 0.5 everywhere.
     """
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     out = scored(named, ["doc_id"], "text", scorer(model))
     return out.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def drop_toxic(docs: DataFrame, model: np.ndarray, text_col: str = "text", name: str = "toxicity__score") -> DataFrame:
-    """The rows of ``docs`` that score below one half, in all their columns, without a shuffle."""
-    return scored(docs, docs.columns, text_col, scorer(model), name).where(F.col(name) < 0.5).select(*docs.columns)
+def drop_toxic(docs: DataFrame, model: np.ndarray, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score below one half, in all their columns, whatever these are called, without a shuffle.
+
+    A model that has not seen both classes knows nothing: then all rows stay, with a warning. Null and empty texts score
+    by the bias alone; repeated rows share their fate; very long texts are scored whole; an empty table stays empty.
+    """
+    if not model[-1]:
+        warnings.warn("no labels of both classes: no document is dropped as toxic", stacklevel=2)
+        return docs
+    return scored_rows(docs, text_col, scorer(model)).where("score < 0.5").select("row.*")
