@@ -27,11 +27,11 @@ def find_secrets(docs: DataFrame, scope: int = 400, id_col: str = "doc_id", text
     """``doc_id, n_assign, n_access, n_hex, base_sha256, spans`` of every row.
 
     Base kinds (assign, access, hex) are always reported. Weak kinds (identifier,
-    key, endpoint) only where a part that completes them starts in the same scope:
-    scopes are windows of ``scope`` code points, one at every half window, so parts
-    up to half a scope apart always meet. Parts join the roles present in their
-    scopes by (row, scope); a scope is one row however many parts it has, so no
-    pairs arise. Positions are code points, the end exclusive. They come from the
+    key, endpoint) only where a part that completes them starts at most ``scope`` code
+    points before or after. That is an interval join: a row is cut into cells of
+    that length, of each role in a cell the first and last start are kept, and a part
+    meets those of its own cell and both beside it. The nearest complement in a cell beside is
+    its last or first, and in its own any will do, so no pairs arise. Positions are code points, the end exclusive. They come from the
     lengths of matches and of the gaps between them, added up in a window over one
     document and kind.
 
@@ -60,15 +60,12 @@ def find_secrets(docs: DataFrame, scope: int = 400, id_col: str = "doc_id", text
     parts = scratch.write(each.select("row_no", "kind", (end - F.col("col.len")).alias("start"), end.alias("end"),
                                       (F.col("col.value") >= least).alias("ok")).where("ok").drop("ok"), "parts")
 
-    roles = F.lit([k[4] for k in KINDS])
-    half = F.floor(F.col("start") / (scope // 2))
-    placed = parts.select("*", F.element_at(roles, F.col("kind") + 1).alias("role"),
-                          F.explode(F.array(half - 1, half)).alias("scope"))
-    present = placed.groupBy("row_no", "scope").agg(F.collect_set("role").alias("present"))
-    completes = F.array(*(F.lit(x) for x in ("identifier", "endpoint")))
-    completed = F.when(F.col("role") == "secret", F.arrays_overlap("present", completes)).otherwise(F.array_contains("present", "secret"))
-    linked = (placed.where(F.col("kind") >= N_BASE).join(present, ["row_no", "scope"]).where(completed)
-              .select("row_no", "kind", "start", "end").distinct())
+    placed = parts.select("*", F.element_at(F.lit([k[4] for k in KINDS]), F.col("kind") + 1).alias("role"), F.floor(F.col("start") / scope).alias("cell"))
+    ends = placed.groupBy("row_no", "cell", F.col("role").alias("other")).agg(F.min("start").alias("first"), F.max("start").alias("last"))
+    completes = F.when(F.col("role") == "secret", F.col("other").isin(*COMPLETED_BY["secret"])).otherwise(F.col("other") == "secret")
+    near = (F.abs(F.col("first") - F.col("start")) <= scope) | (F.abs(F.col("last") - F.col("start")) <= scope)
+    around = placed.where(F.col("kind") >= N_BASE).withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)))
+    linked = around.join(ends, ["row_no", "cell"]).where(completes & near).select("row_no", "kind", "start", "end").distinct()
 
     span = F.struct("start", "kind", "end").alias("span")
     spans = parts.where(F.col("kind") < N_BASE).unionByName(linked).select("row_no", F.lit(None).cast(text.schema["doc_id"].dataType).alias("doc_id"), span)
