@@ -14,7 +14,7 @@ from lociflow.llm.bytesplit import Words, chunks, slices
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
 # Markup: [optional words]  {from-to} any words, {from-to:a|b} those words only. The rest is mandatory.
-# The wording is that of the licences' own notices.
+# <!word|word> in front: not behind one of these. The wording is that of the licences' own notices and texts.
 TEMPLATES = {
     "apache-2.0": ["licensed under the apache license version 2 0 [the license]",
                    "licensed under the apache 2 0 license"],
@@ -22,16 +22,44 @@ TEMPLATES = {
             "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"],
     "bsd": ["[released|licensed] under the [terms of the] [2|3 clause] [new|modified|simplified] bsd [2|3 clause] license",
             "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
-    "gpl-2.0": ["[gnu] general public license [as published by the free software foundation] [either] version 2"],
-    "gpl-3.0": ["[gnu] general public license [as published by the free software foundation] [either] version 3"],
+    "gpl-2.0": ["<!lesser|library|affero> [gnu] general public license [as published by the free software foundation] [either] version 2"],
+    "gpl-3.0": ["<!lesser|library|affero> [gnu] general public license [as published by the free software foundation] [either] version 3"],
+    "agpl-3.0": ["[gnu] affero general public license [as published by the free software foundation] [either] version 3"],
     "lgpl": ["gnu lesser general public license [version] {0-1:2|3}", "gnu library general public license"],
     "mpl-2.0": ["[subject to the terms of|licensed under] the mozilla public license [v|version] 2 0"],
     "cc0-1.0": ["[licensed under|released under|dedicated under] [creative commons] cc0 [1 0]"],
     "cc-by-sa": ["[licensed under] cc by sa {0-2}", "creative commons attribution share alike {0-2:1|2|3|4|0|5|international|license}"],
     "cc-by-nc": ["licensed under [a|the] cc by nc {0-2:1|2|3|4|0|5}", "creative commons attribution non commercial {0-2:1|2|3|4|0|5|international|license}"],
     "cc-by-4.0": ["licensed under [a|the] cc by 4 0", "creative commons attribution 4 0 international"],
+    "mit-text": [
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software "
+        "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense "
+        "and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions "
+        "the above copyright notice and this permission notice [including the next paragraph] shall be included in all copies or substantial portions "
+        "of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of "
+        "merchantability fitness for a particular purpose and noninfringement in no event shall {1-8} be liable for any claim damages or "
+        "other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other "
+        "dealings in the software"],
+    "isc-text": [
+        "permission to use copy modify and [or] distribute this software for any purpose with or without fee is hereby granted provided that the above "
+        "copyright notice and this permission notice appear in all copies the software is provided as is and {1-8} disclaims all warranties with regard to "
+        "this software including all implied warranties of merchantability and fitness in no event shall {1-8} be liable for any special direct indirect "
+        "or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or "
+        "other tortious action arising out of or in connection with the use or performance of this software"],
+    "bsd-text": [
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [1] "
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [2] redistributions in "
+        "binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other "
+        "materials provided with the distribution [[3] neither the name of {1-12} nor the names of its contributors may be used to endorse or promote "
+        "products derived from this software without specific prior written permission] this software is provided by {1-12} as is and any express or implied "
+        "warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event "
+        "shall {1-12} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of "
+        "substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in "
+        "contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the "
+        "possibility of such damage"],
     "all-rights-reserved": ["[copyright [c] {0-6}] all rights reserved"],
 }
+_BEHIND = re.compile(r"<!([^>]*)>\s*")
 _MARK = re.compile(r"\[|\]|\||\{(\d+)-(\d+)(?::([^}]*))?\}|[^\s\[\]|{}]+")
 
 
@@ -43,6 +71,7 @@ class Automaton:
     free: list[list[int]] = field(default_factory=lambda: [[]])
     needed: list[int] = field(default_factory=lambda: [0])        # mandatory words passed when in the state
     last: int = 0
+    not_behind: frozenset = frozenset()
 
     def _state(self, needed: int) -> int:
         self.step.append([])
@@ -52,7 +81,9 @@ class Automaton:
 
     @classmethod
     def compiled(cls, label: str, template: str) -> Automaton:
-        a, parts = cls(label), _MARK.finditer(template)
+        a, refused = cls(label), _BEHIND.match(template)
+        a.not_behind = frozenset(w.encode() for w in refused[1].split("|")) if refused else frozenset()
+        parts = _MARK.finditer(template, refused.end() if refused else 0)
 
         def sequence(at: int, optional: bool) -> list[int]:
             """Compiles up to the closing bracket; the states at the ends of the alternatives."""
@@ -103,6 +134,8 @@ class Automaton:
 
     def match(self, word, n: int, at: int) -> tuple[bool, int]:
         """Whether the words from ``at`` reach the end, and the most mandatory words passed."""
+        if at and self.not_behind and word(at - 1) in self.not_behind:
+            return False, 0
         states, most = self.closure({0}), 0
         for i in range(at, n):
             if self.last in states:
@@ -166,7 +199,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None
     largest share of mandatory words that one passed.
 
     Null and empty texts have no words, null places, empty labels and score 0; repeated rows each get
-    a row, null identifiers stay. One pass over whole texts, without a shuffle.
+    a row, null identifiers stay; very long texts are scanned whole; an empty table gives none. One pass, without a shuffle.
     """
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     types = [("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()),
