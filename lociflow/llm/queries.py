@@ -87,10 +87,11 @@ p2 AS (SELECT suffix, domain, (prior * s + k) / (n + s) AS prior FROM l2, s2),
 l3 AS (SELECT host, k, n, prior FROM hosts JOIN p2 USING (suffix, domain)),
 s3 AS (SELECT 1 / least(0.5, greatest(0.001, coalesce(sum(power(k - n * prior, 2) - n * prior * (1 - prior)) / nullif(sum(n * prior * (1 - prior) * (n - 1)), 0), 0.001))) - 1 AS s FROM l3),
 low AS (SELECT host, (prior * s + k) / (n + s) AS m, n + s AS total FROM l3, s3)
-SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN m - 1.645 * sqrt(m * (1 - m) / (total + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN m - 1.645 * sqrt(m * (1 - m) / (total + 1)) > (SELECT CASE WHEN sum(n) > 0 THEN sum(k) / sum(n) ELSE 1 END FROM hosts) THEN 'block' ELSE 'allow' END) AS verdict
 FROM parsed LEFT JOIN fit USING (host, path) LEFT JOIN low USING (host)""")
 def op6(spark, sf_dir):
-    """A page and the document made of it share their number, so a document's quality label judges the page."""
+    """Pages have no labels of their own, so the quality label of the document of the same number judges a page. In these
+    tables the two have nothing else in common, so what the reputation finds is chance; with outcomes of pages it is not."""
     outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("bad"))
     return urls.filter_urls(table(spark, sf_dir, "pages"), outcomes, BLOCK, ALLOW).drop("bad_low")
 

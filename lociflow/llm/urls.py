@@ -69,12 +69,13 @@ def host_reputation(hosts: DataFrame, suffixes: Sequence[str] = (), z: float = 1
 
 
 def filter_urls(pages: DataFrame, outcomes: DataFrame, block: Sequence[str] = (), allow: Sequence[str] = (),
-                bad_share: float = 0.5, suffixes: Sequence[str] = (), z: float = 1.645,
+                bad_share: float | None = None, suffixes: Sequence[str] = (), z: float = 1.645,
                 id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """``page_id, host, path, rule, verdict, bad_low`` of every row of ``pages``.
 
     The longest rule that fits decides; else a page is blocked if the lower
-    posterior bound of its host's bad share exceeds ``bad_share``.
+    posterior bound of its host's bad share exceeds ``bad_share``, by default the share of all judged pages: a
+    host is blocked that is worse than the rest beyond doubt.
     ``outcomes(page_id, bad)`` holds judged pages, null ``bad`` or ``page_id`` not
     counting; repeated outcomes of a page count once, as bad if any is. Rows with a
     null or odd url have empty host and path, and the empty host has a reputation
@@ -90,6 +91,9 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, block: Sequence[str] = ()
     counts = (parsed.select("page_id", "host").join(judged, "page_id", "left").groupBy("host")
               .agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("k"), F.count("bad").alias("n")))
     counts = Scratch(pages.sparkSession).write(counts, "hosts")
+    if bad_share is None:
+        k, n = counts.agg(F.sum("k"), F.sum("n")).first()
+        bad_share = k / n if n else 1.0
     reputation = host_reputation(counts, suffixes, z)
     rule = matching_rule([*block, *allow])
     by_rule = F.when(F.col("rule").isin(*allow), "allow").when(F.col("rule").isNotNull(), "block")
