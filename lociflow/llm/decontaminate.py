@@ -1,257 +1,164 @@
 """Benchmark passages in documents by a prefix-filtered set join."""
 from __future__ import annotations
 
-import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from lociflow.llm.bytesplit import Words, chunks, slices
 from lociflow.llm.scratch import Scratch, row_key
 
-FILTER_BITS = 20
+FILTER_BITS = 22                   # of the filter before the join: 512 KB, whatever the benchmark's size
+BUCKET = 1 << 15                   # bits of one bitmap of Spark's bitmap functions
 
 
-class Index:
-    """Shingles and windows of one block of benchmark items.
+def benchmark_windows(benchmark: DataFrame, window: int, shingle: int, item_col: str, item_text: str) -> DataFrame:
+    """``item, words, length, size, hashes`` of every window of every item.
 
-    A window of n words is the set of its shingles with their places; shingles are
-    ``shingle`` words long, or as long as the window if that is shorter. Windows
-    of the same words are one, with the items that have it.
+    A window is ``length`` consecutive words, all of a shorter item; its set is the shingles of ``size`` words in it,
+    ``shingle`` or as many as a shorter window has, in order of place.
     """
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text")).where("text IS NOT NULL").distinct()
 
-    def __init__(self, items: list[tuple[str | None, str | None]], window: int, shingle: int):
-        known: dict[tuple[int, bytes], int] = {}
-        self.texts: list[bytes] = []
-        sizes, hashes = defaultdict(list), defaultdict(list)
-        self.windows: dict[tuple[int, tuple[int, ...]], set] = defaultdict(set)   # (words, shingles) -> items
-        for item, text in items:
-            for _, data, at in chunks(pa.array([text], pa.string())):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 64):
+            for first, data, at in chunks(b.column(1)):
                 w = Words(data, at)
-                n = len(w.start)
-                if not n:
-                    continue
-                length = min(window, n)
-                size = min(shingle, length)
-                h, first = w.grams(size)
-                ids = []
-                for value, i in zip(h.tolist(), first.tolist()):
-                    text_of = b" ".join(w.word(j) for j in range(i, i + size))
-                    sid = known.get((size, text_of))
-                    if sid is None:
-                        sid = known[size, text_of] = len(self.texts)
-                        self.texts.append(text_of)
-                        sizes[size].append(sid)
-                        hashes[size].append(value)
-                    ids.append(sid)
-                for i in range(n - length + 1):
-                    self.windows[length, tuple(ids[i:i + length - size + 1])].add(item)
-        self.classes = []
-        for size in sorted(sizes):
-            h = np.array(hashes[size], np.uint64)
-            order = np.argsort(h, kind="stable")
-            if len(np.unique(h)) < len(h):
-                raise RuntimeError("two shingles share a hash")
-            self.classes.append((size, h[order], np.array(sizes[size], np.int32)[order]))
-        self.prefix: dict[int, list] = {}
-
-    def order_by_rarity(self, counts: dict[int, int]) -> None:
-        """Containment of a whole window needs all its shingles, so a prefix of one, the rarest, suffices."""
-        self.prefix = defaultdict(list)
-        for (length, ids), items in self.windows.items():
-            at = min(range(len(ids)), key=lambda i: (counts.get(ids[i], 0), ids[i], i))
-            self.prefix[ids[at]].append((at, length, ids, sorted(str(i) for i in items if i is not None)))
-        self.prefix = dict(self.prefix)
-
-    def find(self, column: pa.Array) -> Iterator[tuple[int, bytes]]:
-        """Of each text the number of words, and the (first word, shingle) pairs found, each compared byte by byte."""
-        filters = []
-        for size, h, _ in self.classes:
-            bits = np.zeros(1 << FILTER_BITS, bool)
-            bits[h >> np.uint64(64 - FILTER_BITS)] = True
-            filters.append(bits)
-        for _, data, at in chunks(column):
-            w = Words(data, at)
-            where, which = [], []
-            for (size, hashes, ids), bits in zip(self.classes, filters):
-                h, first = w.grams(size)
-                maybe = np.flatnonzero(bits[h >> np.uint64(64 - FILTER_BITS)])
-                j = np.minimum(np.searchsorted(hashes, h[maybe]), len(hashes) - 1)
-                same = hashes[j] == h[maybe]
-                for i, sid in zip(first[maybe[same]].tolist(), ids[j[same]].tolist()):
-                    if b" ".join(w.word(x) for x in range(i, i + size)) == self.texts[sid]:
-                        where.append(i)
-                        which.append(sid)
-            where, which = np.array(where, np.int64), np.array(which, np.int64)
-            order = np.argsort(where, kind="stable")
-            where, which = where[order], which[order]
-            cut = np.searchsorted(where, w.of)
-            for d in range(len(at) - 1):
-                a, b = cut[d], cut[d + 1]
-                pairs = np.stack([where[a:b] - w.of[d], which[a:b]], 1).astype("<i4")
-                yield int(w.of[d + 1] - w.of[d]), pairs.tobytes()
-
-    def verify(self, n_words: int, hits: bytes) -> tuple[list[tuple[int, int]], set[str]]:
-        """Places of whole windows in a text, and their items."""
-        pairs = np.frombuffer(hits, "<i4").reshape(-1, 2).tolist()
-        spans, items = [], set()
-        if not pairs:
-            return spans, items
-        present = {(p, s) for p, s in pairs}
-        for p, s in pairs:
-            for at, length, ids, names in self.prefix.get(s, ()):
-                start = p - at
-                if start < 0 or start + length > n_words:          # the window would not fit around this word
-                    continue
-                if all((start + i, sid) in present for i, sid in enumerate(ids)):
-                    spans.append((start, start + length))
-                    items.update(names)
-        return spans, items
-
-
-def _covered(spans: list[tuple[int, int]]) -> int:
-    total, reach = 0, 0
-    for a, b in sorted(spans):
-        total += max(0, b - max(a, reach))
-        reach = max(reach, b)
-    return total
-
-
-def _digest(table: pa.RecordBatch, names: list[str]) -> pa.RecordBatch:
-    """The columns of a result from ``spans`` and ``items``."""
-    col = dict(zip(table.schema.names, table.columns))
-    items = [sorted(set(i)) for i in col["items"].to_pylist()]
-    col["items"] = pa.array(items, pa.list_(pa.string()))
-    col["n_hit"] = pa.array([_covered(np.frombuffer(s, "<i4").reshape(-1, 2).tolist()) for s in col["spans"].to_pylist()], pa.int64())
-    col["items_sha256"] = pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for i in items], pa.string())
-    return pa.RecordBatch.from_arrays([col[n] for n in names], names)
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, block_bytes: int = 1 << 20, blocks_at_once: int = 4,
+                for d in range(len(at) - 1):
+                    lo, hi = int(w.of[d]), int(w.of[d + 1])
+                    if lo == hi:
+                        continue
+                    length = min(window, hi - lo)
+                    size = min(shingle, length)
+                    h, at_word = w.grams(size)
+                    h = h[np.searchsorted(at_word, lo):np.searchsorted(at_word, hi)].view(np.int64)
+                    words = [w.word(i).decode() for i in range(lo, hi)]
+                    for s in range(0, hi - lo - length + 1, 4096):
+                        starts = range(s, min(s + 4096, hi - lo - length + 1))
+                        n = len(starts)
+                        yield pa.RecordBatch.from_arrays(
+                            [b.column(0).take(pa.array([first + d] * n, pa.int64())), pa.array([" ".join(words[i:i + length]) for i in starts], pa.string()),
+                             pa.array([length] * n, pa.int32()), pa.array([size] * n, pa.int32()),
+                             pa.array([h[i:i + length - size + 1].tolist() for i in starts], pa.list_(pa.int64()))], ["item", "words", "length", "size", "hashes"])
+    return items.mapInArrow(run, "item string, words string, length int, size int, hashes array<long>")
+
+
+def hash_filter(hashes: DataFrame, bits: int) -> np.ndarray:
+    """One bit for the leading ``bits`` of every hash, built by Spark; ``2 ** bits`` bits come to the driver."""
+    place = F.expr(f"shiftrightunsigned(hash, {64 - bits}) + 1")
+    made = hashes.select(place.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    out = np.zeros(1 << bits, bool)
+    for r in made.collect():
+        out[(r.bucket - 1) * BUCKET:r.bucket * BUCKET] = np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little")[:len(out)]
+    return np.packbits(out)
+
+
+def _passing(w: Words, sizes: list[int], bits: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
+    """First word and hash of the shingles that pass the filter."""
+    first, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for size in sizes:
+        h, at = w.grams(size)
+        maybe = np.flatnonzero(bits[h >> np.uint64(shift)])
+        first.append(at[maybe])
+        hashes.append(h[maybe])
+    return np.concatenate(first), np.concatenate(hashes)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, filter_bits: int = FILTER_BITS,
                   id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, row_key`` of every row.
 
     Words are runs of A-Z (lower-cased), digits and characters beyond ASCII. A window is ``window``
-    consecutive words of an item, or all of a shorter item. First every document is searched
-    for the shingles of all windows; their counts over all documents rank them, each window keeps its
-    rarest shingle as prefix, hits on prefixes are joined to their windows, bounded by place and
-    length, and verified on all shingles in place, which fixes every word.
-
-    The benchmark is cut into blocks of about ``block_bytes`` of text (one longer item is a block of its own). Driver and
-    tasks hold ``blocks_at_once`` of them, broadcast; documents pass these one after the other in the same task, without
-    a shuffle. A larger benchmark takes more passes over the documents, whose findings are written and joined by row.
-    What is written in between holds no text. Null texts have no words; items without words or of null text never occur; a null
-    item id marks words as hit but names no item; repeated items count once; repeated rows each get
-    a row. Empty tables work.
+    consecutive words of an item, or all of a shorter item, and the set of its ``shingle``-word shingles. A document holds
+    a window only if it holds all of its shingles, so one of them, its prefix, has to join: the one that is rarest over all
+    documents. A first pass over the documents counts the benchmark's shingles; a window of which one does not
+    occur at all is out. A second pass gives the places of prefixes, with the words around them, which meet their windows in an
+    equi-join on the hash, are bounded by place and length (the window has to fit around the shingle and inside the text) and
+    compared word by word, so that a hash decides nothing.
+
+    Neither pass shuffles documents. What is broadcast is a filter of ``2 ** filter_bits`` bits; it never loses a
+    shingle, and a fuller one only lets more candidates into the join. Windows and their items stay tables of
+    any size; a prefix that many documents share is one side of that join, whose skewed partitions adaptive execution splits.
+
+    Null texts have no words; items without words or of null text never occur; a null item id marks words as hit but names no
+    item; repeated items count once; repeated rows each get a row; very long texts and items are read whole. Empty tables work.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text")).where("text IS NOT NULL").distinct()
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(1, -(-total // block_bytes))
-    items = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)))
-    named = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("row_key"),
-                        F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"))
-    final = named.drop("text").schema.add("n_hit", "long").add("items_sha256", "string").add("items", ArrayType(StringType()))
-
-    def finder(index):
-        def run(batches):
-            index_here = cloudpickle.loads(index.value)
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.write(benchmark_windows(benchmark, window, shingle, item_col, item_text), "windows")
+    found = found.withColumn("wid", F.sha2("words", 256))
+    owners = found.where("item IS NOT NULL").select("wid", "item").distinct()
+    windows = found.select("wid", "words", "length", "size", "hashes").dropDuplicates(["wid"])
+    sizes = sorted(r["size"] for r in found.select("size").distinct().collect())           # 1 to ``shingle``
+    shingles = scratch.write(windows.select("wid", F.posexplode("hashes").alias("at", "hash")), "shingles")
+    shift = 64 - filter_bits
+    named = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("row_key"), F.monotonically_increasing_id().alias("row_no"),
+                        F.col(text_col).alias("text"))
+
+    def counter(packed: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = np.unpackbits(packed).astype(bool)
             for b in slices(batches):
-                found = list(index_here.find(b.column(2)))
-                yield pa.RecordBatch.from_arrays(
-                    [*b.columns[:3], pa.array([n for n, _ in found], pa.int64()), *b.columns[4:], pa.array([h for _, h in found], pa.binary())],
-                    [*b.schema.names, f"hits{b.num_columns - 4}"])
-        return run
-
-    def counter(n):
-        def run(batches):
-            for b in batches:
-                for k in range(n):
-                    all_hits = np.frombuffer(b"".join(b.column(k).to_pylist()), "<i4")[1::2]
-                    ids, times = np.unique(all_hits, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), k), pa.int32()), pa.array(ids, pa.int32()),
-                                                      pa.array(times, pa.int64())], ["k", "sid", "n"])
+                for _, data, at in chunks(b.column(0)):
+                    h, n = np.unique(_passing(Words(data, at), sizes, bits, shift)[1], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["hash", "n"])
         return run
-
-    def verifier(index, k, names):
-        """Adds what block ``k`` of the pass finds; given ``names``, also ends with those columns of the result."""
-        def run(batches):
-            index_here = cloudpickle.loads(index.value)
-            for b in batches:
-                col = dict(zip(b.schema.names, b.columns))
-                spans, items = [], []
-                for n, h, s, i in zip(col["n_words"].to_pylist(), col[f"hits{k}"].to_pylist(), col["spans"].to_pylist(), col["items"].to_pylist()):
-                    new, of = index_here.verify(n, h)
-                    spans.append(s + np.array(new, "<i4").tobytes())
-                    items.append(sorted(set(i) | of))
-                col["spans"], col["items"] = pa.array(spans, pa.binary()), pa.array(items, pa.list_(pa.string()))
-                made = pa.RecordBatch.from_arrays(list(col.values()), list(col))
-                yield _digest(made, names) if names else made
+    counts = named.select("text").mapInArrow(counter(hash_filter(shingles, filter_bits)), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    rarest = shingles.join(counts, "hash", "left").groupBy("wid").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "hash", "at")).alias("p"))
+    prefixes = rarest.where("p.n > 0").select("wid", "p.hash", "p.at").join(windows.select("wid", "words", "length"), "wid")
+    prefixes = scratch.write(prefixes, "prefixes")
+    kind = named.schema["doc_id"].dataType.simpleString()
+    columns = ["doc_id", "row_key", "row_no", "n_words", "place", "hash", "from", "around"]
+
+    def finder(packed: np.ndarray):
+        before, after = window - 1, window
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = np.unpackbits(packed).astype(bool)
+            for b in slices(batches):
+                for row, data, at in chunks(b.column(3)):
+                    w, n = Words(data, at), len(at) - 1
+                    size = np.diff(w.of)
+                    none = pa.nulls(n, pa.int64())
+                    own = b.slice(row, n)
+                    yield pa.RecordBatch.from_arrays([*own.columns[:3], pa.array(size), none, none, none, pa.nulls(n, pa.string())], columns)
+                    first, h = _passing(w, sizes, bits, shift)
+                    if not len(first):
+                        continue
+                    of = np.searchsorted(w.of, first, side="right") - 1
+                    lo, hi = np.maximum(first - before, w.of[of]), np.minimum(first + after, w.of[of + 1])
+                    around = [" ".join(w.word(i).decode() for i in range(s, e)) for s, e in zip(lo.tolist(), hi.tolist())]
+                    m = len(first)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.nulls(m, own.column(0).type), pa.nulls(m, pa.string()), own.column(2).take(pa.array(of)), pa.array(size[of]), pa.array(first - w.of[of]),
+                         pa.array(h.view(np.int64)), pa.array(lo - w.of[of]), pa.array(around, pa.string())], columns)
         return run
-
-    def searched(first: int, finish: bool) -> tuple[DataFrame, list]:
-        """One pass: rows with the spans and items of its blocks, or the result, and what it has broadcast."""
-        blocks, shared = range(first, min(n_blocks, first + blocks_at_once)), []
-        texts: dict[int, list] = {b: [] for b in blocks}
-        for r in items.where(F.col("block").between(blocks[0], blocks[-1])).collect():
-            texts[r.block].append((r.item, r.text))
-        indexes = [Index(texts.pop(b), window, shingle) for b in blocks]
-
-        def sent(index):
-            """By value, so that executors need not have this package."""
-            shared.append(spark.sparkContext.broadcast(cloudpickle.dumps(index)))
-            return shared[-1]
-        found = named
-        for k, index in enumerate(indexes):
-            found = found.mapInArrow(finder(sent(index)), found.select("*").schema.add(f"hits{k}", "binary"))
-        hits = scratch.write(found.drop("text"), f"hits{first}")
-        counts = [{} for _ in indexes]
-        for r in (hits.select(*(f"hits{k}" for k in range(len(indexes)))).mapInArrow(counter(len(indexes)), "k int, sid int, n long")
-                  .groupBy("k", "sid").agg(F.sum("n").alias("n")).toLocalIterator()):      # at most one row for each shingle of the blocks
-            counts[r.k][r.sid] = r.n
-        checked = hits.select("*", F.lit(b"").alias("spans"), F.array().cast("array<string>").alias("items"))
-        for k, (index, of) in enumerate(zip(indexes, counts)):
-            index.order_by_rarity(of)
-            ends = finish and k == len(indexes) - 1
-            checked = checked.mapInArrow(verifier(sent(index), k, final.names if ends else None), final if ends else checked.schema)
-            checked = checked if ends else checked.drop(f"hits{k}")
-        return checked, shared
-
-    if n_blocks <= blocks_at_once:
-        out = searched(0, True)[0]
-    else:
-        rows, parts = None, None
-        for first in range(0, n_blocks, blocks_at_once):
-            found, shared = searched(first, False)
-            found = scratch.write(found, f"pass{first}")
-            for b in shared:                               # nothing reads a pass again but from its table
-                b.destroy()
-            scratch.drop(f"hits{first}")
-            rows = found.select("doc_id", "row_key", "n_words") if rows is None else rows
-            part = found.where(F.octet_length("spans") > 0).select("row_key", "spans", "items").dropDuplicates(["row_key"])
-            parts = part if parts is None else parts.unionByName(part)
-        parts = parts.groupBy("row_key").agg(F.collect_list("spans").alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
-
-        def ended(batches):
-            for b in batches:
-                yield _digest(b, final.names)
-        joined = rows.join(parts, "row_key", "left").select(
-            "doc_id", "row_key", "n_words", F.aggregate(F.coalesce("spans", F.array().cast("array<binary>")), F.lit(b""), lambda s, x: F.concat(s, x)).alias("spans"),
-            F.coalesce("items", F.array().cast("array<string>")).alias("items"))
-        out = joined.mapInArrow(ended, final)
-    return out.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items_sha256",
-        (F.col("n_hit") > 0).alias("contaminated"), "items", "row_key")
+    met = scratch.write(named.mapInArrow(finder(hash_filter(prefixes, filter_bits)),
+                                         f"doc_id {kind}, row_key string, row_no long, n_words long, place long, hash long, from long, around string"), "met")
+    rows, places = met.where("place IS NULL").select("doc_id", "row_key", "row_no", "n_words"), met.where("place IS NOT NULL")
+    start = F.col("place") - F.col("at")
+    near = places.join(prefixes, "hash").select("row_no", "wid", "words", "length", "n_words", "from", "around", start.alias("start"))
+    fits = near.where((F.col("start") >= F.col("from")) & (F.col("start") + F.col("length") <= F.col("n_words")))
+    there = F.array_join(F.slice(F.split("around", " "), (F.col("start") - F.col("from") + 1).cast("int"), F.col("length")), " ")
+    hits = scratch.write(fits.where(there == F.col("words")).select("row_no", "wid", "start", (F.col("start") + F.col("length")).alias("end")).distinct(), "hits")
+    none = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("reach"))
+    covered = F.aggregate(F.array_sort(F.collect_set(F.struct("start", "end"))), none, lambda s, x: F.struct(
+        (s["total"] + F.greatest(F.lit(0), x["end"] - F.greatest(x["start"], s["reach"]))).alias("total"), F.greatest(s["reach"], x["end"]).alias("reach")))
+    spans = hits.groupBy("row_no").agg(covered["total"].alias("n_hit"))
+    items = hits.select("row_no", "wid").distinct().join(owners, "wid").groupBy("row_no").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    out = rows.join(spans, "row_no", "left").join(items, "row_no", "left").withColumns({
+        "n_hit": F.coalesce("n_hit", F.lit(0)), "items": F.coalesce("items", F.array().cast("array<string>"))})
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                      (F.col("n_hit") > 0).alias("contaminated"), "items", "row_key")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` without any benchmark window, in all their columns."""
+    """The rows of ``docs`` without any benchmark window, in all their columns, whatever these are called.
+
+    Null and empty texts stay, as does every row where the benchmark is empty; repeated rows share their fate; very long texts
+    are searched whole; an empty table stays empty.
+    """
     hit = contamination(docs, benchmark, id_col=id_col, text_col=text_col, **options).where("contaminated").select("row_key").distinct()
     named = docs.select(F.struct("*").alias("row"), row_key(id_col, text_col).alias("row_key"))
     return named.join(hit, "row_key", "left_anti").select("row.*")

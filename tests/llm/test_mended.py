@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lociflow.llm import credentials, licenses, pii, quality, toxicity
+from lociflow.llm import credentials, decontaminate, licenses, pii, quality, toxicity
 from lociflow.llm.licenses import TEMPLATES
 
 
@@ -191,3 +191,21 @@ def test_quality_needs_no_labels(spark, documents):
     docs = documents([(1, "a text"), (None, None), (2, "")])
     model = quality.train(docs, spark.createDataFrame([], "doc_id long, quality int"))
     assert all(0 <= r.score <= 1 for r in quality.score_quality(docs, model).collect())
+
+
+def test_shingles_that_share_a_hash_are_told_apart(spark, documents):
+    """Words that any polynomial modulo 2**64 takes for one, as benchmark items and in documents."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    other = one.translate(str.maketrans("ab", "ba"))
+    bench = spark.createDataFrame([(1, f"{one} and more of it here"), (2, f"{other} and more of it here"), (3, f"{one} {other}")], "item_id long, text string")
+    docs = documents([(1, f"see {one} and more of it here."), (2, f"see {other} and more of it here."), (3, f"{one} x {other}"), (4, f"{other} {one}")])
+    got = {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate.contamination(docs, bench).collect()}
+    assert got == {1: (6, ["1"]), 2: (6, ["2"]), 3: (0, []), 4: (0, [])}
+
+
+def test_prefix_is_the_rarest_shingle(spark, documents):
+    common, rare = "the of and in to", "quartz of nine old brown boxes"
+    bench = spark.createDataFrame([(1, f"{common} {rare}")], "item_id long, text string")
+    docs = documents([(k, f"{common} and so on {k}") for k in range(200)] + [(500, f"well {common} {rare} then"), (501, f"{common} {rare[:-6]}")])
+    got = {r.doc_id: r.n_hit for r in decontaminate.contamination(docs, bench).where("contaminated").collect()}
+    assert got == {500: 11, 501: 10} or got == {500: 11}

@@ -145,14 +145,14 @@ def brute_contamination(docs, items, size=10):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("block, at_once", [(1 << 20, 4), (400, 100), (400, 2)])
-def test_contamination(spark, documents, odd_rows, block, at_once):
+@pytest.mark.parametrize("bits", [22, 15])
+def test_contamination(spark, documents, odd_rows, bits):
     long = odd_rows[64][1].split()
     items = [(1, " ".join(long[50:80])), (2, " ".join(long[70:95]).upper()), (3, odd_rows[10][1]), (4, "the of"), (5, ""), (6, None),
              (7, "İ k"), (1, " ".join(long[50:80])), (None, " ".join(long[500:512])), (10, " ".join(long[90:130])), (8, "日本"), (9, "never; occurs - anywhere. at all, I hope so there")]
     docs = [r for r in odd_rows if r[0] != 104] + [(104, " , ".join(long[40:140]) + " the " + " ".join(long[495:520]))]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.contamination(documents(docs), bench, block_bytes=block, blocks_at_once=at_once)
+    got = decontaminate.contamination(documents(docs), bench, filter_bits=bits)
     names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     want = brute_contamination(docs, items)
     assert rows_of(got, *names) == want and any(r[5] for r in want) and not all(r[5] for r in want)
