@@ -199,8 +199,9 @@ def align_tokenizers(docs: DataFrame, byte_bpe: str, pieces: str, radix: int = R
     """
     scratch = Scratch(docs.sparkSession)
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row_no"))
-    shape = (named.select("doc_id").schema.add("chunk", "long").add("part", "integer").add("idx", "integer").add("n_a", "long").add("n_b", "long").add("n_groups", "long")
-             .add("groups_sha256", "string").add("head", "binary").add("body", "binary"))
+    columns = ["doc_id", "chunk", "part", "idx", "n_a", "n_b", "n_groups", "groups_sha256", "head", "body"]
+    shape = (f"doc_id {named.schema['doc_id'].dataType.simpleString()}, chunk long, part int, idx int, n_a long, n_b long, n_groups long, groups_sha256 string, "
+             "head binary, body binary")
 
     def pair_here():
         return kept_in_worker(("pair", byte_bpe, pieces), lambda: Pair(byte_bpe, pieces))
@@ -212,7 +213,7 @@ def align_tokenizers(docs: DataFrame, byte_bpe: str, pieces: str, radix: int = R
         sha = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in found.groups]
         yield pa.RecordBatch.from_arrays(
             [ids, pa.array(np.full(n, chunk)), pa.array(np.full(n, -1, np.int32)), pa.array(np.arange(n, dtype=np.int32)), pa.array(found.n_a), pa.array(found.n_b),
-             pa.array(found.n_groups.astype(np.int64)), pa.array(sha, pa.string()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], shape.names)
+             pa.array(found.n_groups.astype(np.int64)), pa.array(sha, pa.string()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], columns)
         size_a, size_b = len(pair.a.size), len(pair.b.size)
         records = ((((found.b % radix) * size_b + found.b) * size_a + found.a) << DOC_BITS) | found.doc
         records, times = np.unique(records, return_counts=True)
@@ -230,7 +231,7 @@ def align_tokenizers(docs: DataFrame, byte_bpe: str, pieces: str, radix: int = R
             return pa.nulls(m, kind)
         yield pa.RecordBatch.from_arrays(
             [none(ids.type), pa.array(np.full(m, chunk)), pa.array(parts.astype(np.int32)), none(pa.int32()), none(pa.int64()), none(pa.int64()), none(pa.int64()),
-             none(pa.string()), pa.array(heads, pa.binary()), pa.array(bodies, pa.binary())], shape.names)
+             none(pa.string()), pa.array(heads, pa.binary()), pa.array(bodies, pa.binary())], columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
