@@ -6,6 +6,7 @@ import sys
 import types
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -107,24 +108,24 @@ class Tokeniser:
         return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def _learn(self, keys: list[int], pieces: list[str]) -> None:
-        new = self._alone(pieces)
-        shapes = np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32)
-        n, total = len(self.slot), sum(map(len, new))
-        if n + len(new) > len(self.at):
+        new = [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+        size, length = np.fromiter(map(len, new), np.int64, len(new)), np.fromiter(map(len, pieces), np.int64, len(new))
+        n, to = len(self.slot), len(self.slot) + len(new)
+        if to > len(self.at):
             more = np.zeros(len(self.at) + len(new), np.int64)
             self.at, self.size, self.met, self.from_, self.length = (
                 np.concatenate([x, more]) for x in (self.at, self.size, self.met, self.from_, self.length))
+        total, letters = int(size.sum()), int(length.sum())
         if self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + total, np.uint32)])
-        if self.n_points + len(shapes) > len(self.points):
-            self.points = np.concatenate([self.points, np.zeros(len(self.points) + len(shapes), np.uint32)])
-        self.points[self.n_points:self.n_points + len(shapes)] = shapes
-        for i, (key, ids, piece) in enumerate(zip(keys, new, pieces), n):
-            self.slot[key], self.at[i], self.size[i] = i, self.used, len(ids)
-            self.from_[i], self.length[i] = self.n_points, len(piece)
-            self.ids[self.used:self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.n_points += len(piece)
+        if self.n_points + letters > len(self.points):
+            self.points = np.concatenate([self.points, np.zeros(len(self.points) + letters, np.uint32)])
+        self.slot.update(zip(keys, range(n, to)))
+        self.at[n:to], self.size[n:to] = self.used + np.cumsum(size) - size, size
+        self.from_[n:to], self.length[n:to] = self.n_points + np.cumsum(length) - length, length
+        self.ids[self.used:self.used + total] = np.fromiter(chain.from_iterable(new), np.uint32, total)
+        self.points[self.n_points:self.n_points + letters] = np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32)
+        self.used, self.n_points = self.used + total, self.n_points + letters
 
     def _chunk(self, texts: list[str]) -> Iterator[np.ndarray]:
         points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
@@ -143,16 +144,15 @@ class Tokeniser:
         missing = [i for i, k in enumerate(keys) if k not in self.slot and length[index[i]] <= LONGEST]
         if missing:
             self._learn([keys[i] for i in missing], [text(index[i]) for i in missing])
-        known = np.fromiter((self.slot.get(k, -1) for k in keys), np.int64, len(keys))
+        known = np.fromiter(map(self.slot.get, keys, repeat(-1)), np.int64, len(keys))
         self.met[known[known >= 0]] += times[known >= 0]
         slot = known[inverse]
         own = np.flatnonzero((slot < 0) | (length != self.length[slot]))
         slot[own] = 0
         if len(start):                                     # pieces cover the chunk, so one pass compares them all
-            beside = np.repeat(self.from_[slot] - start, length)
-            beside += np.arange(len(points))
-            np.minimum(beside, len(self.points) - 1, out=beside)
-            same = np.logical_and.reduceat(self.points[beside] == points, start)
+            beside = np.repeat((self.from_[slot] - start).astype(np.int32), length)
+            beside += np.arange(len(points), dtype=np.int32)
+            same = np.logical_and.reduceat(self.points.take(beside, mode="clip") == points, start)
             same[own] = False
             own = np.flatnonzero(~same)
         first, size, ids = self.at[slot], self.size[slot], self.ids
