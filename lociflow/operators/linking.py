@@ -5,10 +5,12 @@ unique. All linkers return them with a dense ``particle`` per recording.
 """
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lociflow.functions.distribution import quantiles
@@ -82,49 +84,135 @@ def greedy_links(edges: DataFrame) -> DataFrame:
     return out
 
 
-def _best_assignment(gain: np.ndarray) -> np.ndarray:
-    """Column of each row in the matching of largest total gain, -1 where none.
-    Shortest augmenting paths over the rows; −inf marks a pair that may not match."""
-    n, m = gain.shape
-    cost = np.full((n, m + n), np.inf)
-    cost[:, :m] = -gain
-    cost[np.arange(n), m + np.arange(n)] = 0.0          # staying alone
-    width = m + n
-    u, v = np.zeros(n), np.zeros(width)                 # dual prices
-    row_of, col_of = np.full(width, -1), np.full(n, -1)
+def _best_assignment(start: np.ndarray, col: np.ndarray, gain: np.ndarray, n_cols: int) -> np.ndarray:
+    """Edge of each row in the matching of largest total gain, -1 where none; row r has the edges ``start[r]:start[r + 1]``.
+
+    Shortest augmenting paths from one row after another, found by a heap over the edges alone, so that memory is that of
+    the edges and a path is as long as the conflict it settles. A row may stay alone at gain 0.
+    """
+    n = len(start) - 1
+    begin, cols, cost = start.tolist(), col.tolist(), (-gain).tolist()
+    u, v = [0.0] * n, [0.0] * n_cols                    # dual prices
+    row_of, edge_of = [-1] * n_cols, [-1] * n
     for new in range(n):
-        dist, via = np.full(width, np.inf), np.full(width, -1)
-        done = np.zeros(width, dtype=bool)
-        tree, i, reached = [], new, 0.0
+        dist, via, done, tree, heap = {}, {}, {}, [], []
+        i, reached, alone, last = new, 0.0, np.inf, -1
         while True:
-            tree.append(i)
-            through = reached + cost[i] - u[i] - v
-            closer = ~done & (through < dist)
-            dist[closer], via[closer] = through[closer], i
-            j = int(np.argmin(np.where(done, np.inf, dist)))
-            reached, done[j] = dist[j], True
+            tree.append((i, reached))
+            if reached - u[i] < alone:
+                alone, last = reached - u[i], i
+            base = reached - u[i]
+            for e in range(begin[i], begin[i + 1]):
+                j = cols[e]
+                through = base + cost[e] - v[j]
+                if j not in done and through < dist.get(j, np.inf):
+                    dist[j], via[j] = through, e
+                    heapq.heappush(heap, (through, j, i))
+            while heap and heap[0][1] in done:
+                heapq.heappop(heap)
+            if not heap or heap[0][0] >= alone:
+                reached, free = alone, -1
+                break
+            reached, j, _ = heapq.heappop(heap)
+            done[j] = reached
             if row_of[j] < 0:
+                free = j
                 break
-            i = int(row_of[j])
+            i = row_of[j]
         u[new] += reached
-        for i in tree[1:]:
-            u[i] += reached - dist[col_of[i]]
-        v[done] += dist[done] - reached
+        for i, at in tree[1:]:
+            u[i] += reached - at
+        for j, at in done.items():
+            v[j] -= reached - at
+        owner = {e: i for i, _ in tree for e in range(begin[i], begin[i + 1])} if free >= 0 or last != new else {}
+        if free < 0:                                    # a row of the tree gives up its column
+            i, e = last, edge_of[last]
+            edge_of[i] = -1
+            free = cols[e] if e >= 0 else -1
+            if i == new:
+                continue
+        j = free
         while True:                                     # flip the path back to the new row
-            i = int(via[j])
-            row_of[j], col_of[i], j = i, j, int(col_of[i])
+            e = via[j]
+            i = owner[e]
+            row_of[j], edge_of[i], e = i, e, edge_of[i]
             if i == new:
                 break
-    return np.where(col_of < m, col_of, -1)
+            j = cols[e]
+    return np.array(edge_of, np.int64)
 
 
 def _solve(a: np.ndarray, b: np.ndarray, gain: np.ndarray) -> np.ndarray:
-    """Which edges of one component are in its best assignment."""
+    """Which edges are in the best assignment of ``a`` to ``b``."""
+    chosen = np.zeros(len(a), dtype=bool)
     rows, ri = np.unique(a, return_inverse=True)
     cols, ci = np.unique(b, return_inverse=True)
-    full = np.full((len(rows), len(cols)), -np.inf)
-    full[ri, ci] = gain
-    return _best_assignment(full)[ri] == ci
+    order = np.argsort(ri, kind="stable")
+    start = np.searchsorted(ri[order], np.arange(len(rows) + 1))
+    edge = _best_assignment(start, ci[order], np.asarray(gain, float)[order], len(cols))
+    chosen[order[edge[edge >= 0]]] = True
+    return chosen
+
+
+MATCH_FRAMES = 64
+
+
+def match_in_blocks(edges: DataFrame, max_gap: int, rule: str, block: int = MATCH_FRAMES) -> DataFrame:
+    """Links ``(i, j)`` chosen frame after frame from ``edges(recording_id, frame, i, j, gap, weight)``.
+
+    In each frame the spots still without successor, ``gap`` frames back at most, meet the frame's spots: ``greedy`` takes
+    edges by ascending (weight, j, i), ``best`` the assignment of largest total weight. Blocks of ``block`` frames of a
+    recording are matched independently, so a recording spreads over tasks. What a block must know of the one before
+    is which of its last spots have found a successor there. At first none is taken to have; a block is matched again when
+    that has changed, until nothing does, which the k-th block reaches after k rounds at the latest. With ``max_gap``
+    1 a frame depends on no other and one round does.
+    """
+    size = max(block, max_gap)
+    to = F.col("frame") + F.col("gap")
+    laid = edges.select("recording_id", "i", "j", "weight", to.alias("to"), F.floor(to / size).alias("block"),
+                        (F.floor(F.col("frame") / size) < F.floor(to / size)).alias("early"))
+    kind = laid.schema["recording_id"].dataType.simpleString()
+    names = {c: laid.schema[c].dataType.simpleString() for c in ("i", "j")}
+    shape = f"recording_id {kind}, block long, i {names['i']}, j {names['j']}, early boolean"
+
+    def matched(t: pa.Table) -> pa.Table:
+        w, frame = t["weight"].to_numpy(), t["to"].to_numpy()
+        i, j = np.array(t["i"].to_pylist(), object), np.array(t["j"].to_pylist(), object)
+        ri, rj = (np.unique(x.astype(np.int64), return_inverse=True)[1] for x in (i, j))
+        used_i, used_j = np.zeros(len(w), bool), np.zeros(len(w), bool)
+        won = []
+        if rule == "greedy":
+            for e in np.lexsort((ri, rj, w, frame)).tolist():
+                if not used_i[ri[e]] and not used_j[rj[e]]:
+                    used_i[ri[e]] = used_j[rj[e]] = True
+                    won.append(e)
+        else:
+            order = np.argsort(frame, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(frame[order])) + 1):
+                part = part[~used_i[ri[part]] & (w[part] > 0)]
+                if len(part):
+                    part = part[_solve(ri[part], rj[part], w[part])]
+                    used_i[ri[part]] = True
+                    won += part.tolist()
+        return t.take(pa.array(won, pa.int64())).select(["recording_id", "block", "i", "j", "early"])
+    if max_gap <= 1:
+        return laid.groupBy("recording_id", "block").applyInArrow(matched, shape).select("i", "j")
+    laid = cut_lineage(laid)
+    handed = laid.where("early").select("recording_id", "block", "i").distinct()
+    key = ["recording_id", "block"]
+    links = cut_lineage(laid.groupBy(*key).applyInArrow(matched, shape))
+    taken = None
+    while True:
+        found = links.where("NOT early").select("recording_id", (F.col("block") + 1).alias("block"), "i")
+        now = cut_lineage(handed.join(found, [*key, "i"], "left_semi"))
+        other = now if taken is None else now.exceptAll(taken).unionByName(taken.exceptAll(now))
+        changed = cut_lineage(other.select(*key).distinct())
+        if changed.isEmpty():
+            return links.select("i", "j")
+        again = laid.join(changed, key, "left_semi")
+        again = again.where("NOT early").unionByName(again.where("early").join(now, [*key, "i"], "left_anti").select(*again.columns))
+        links = cut_lineage(links.join(changed, key, "left_anti").unionByName(again.groupBy(*key).applyInArrow(matched, shape)))
+        taken = now
 
 
 def _groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
@@ -183,25 +271,19 @@ def track_ids(locs: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def link_nn(locs: DataFrame, radius: float, max_gap: int = 1, min_len: int = 1) -> DataFrame:
-    """Greedy nearest neighbour. One-frame gaps are matched for all frames at
-    once; with longer gaps tracks coast and frames follow each other."""
+    """Greedy nearest neighbour; with longer gaps tracks wait where they were last seen."""
     locs = valid_localisations(locs)
-    if max_gap > 1:
-        return _link_online(locs, radius, max_gap, "greedy", min_len)
-    links = greedy_links(link_candidates(locs, radius, 1))
-    return filter_track_length(track_ids(locs, links), min_len)
+    links = match_in_blocks(link_candidates(locs, radius, max_gap).withColumnRenamed("d2", "weight"), max_gap, "greedy")
+    return filter_track_length(track_ids(locs, cut_lineage(links)), min_len)
 
 
 def link_subnet(locs: DataFrame, radius: float, memory: int = 0, min_len: int = 1) -> DataFrame:
-    """Least total squared displacement inside each connected subnet, a spot left
+    """Least total squared displacement in every frame, a spot left
     without successor costing radius². Lost tracks are kept for ``memory`` frames."""
     locs = valid_localisations(locs)
-    if memory > 0:
-        return _link_online(locs, radius, memory + 1, "subnet", min_len)
-    edges = link_candidates(locs, radius, 1).select(
-        F.col("i").alias("a"), F.col("j").alias("b"), (radius ** 2 - F.col("d2")).alias("gain"))
-    links = assign(edges).select(F.col("a").alias("i"), F.col("b").alias("j"))
-    return filter_track_length(track_ids(locs, links), min_len)
+    edges = link_candidates(locs, radius, memory + 1).withColumn("weight", radius ** 2 - F.col("d2"))
+    links = match_in_blocks(edges, memory + 1, "best")
+    return filter_track_length(track_ids(locs, cut_lineage(links)), min_len)
 
 
 def _lap_gain(pairs: DataFrame, cost: str, default_alt: float, featured: bool) -> DataFrame:
@@ -225,9 +307,9 @@ def frame_segments(locs: DataFrame, radius: float, w_feat: float = 0.0, feature:
     else:
         pairs = pairs.withColumn("cost", F.col("d2"))
     edges = _lap_gain(pairs.withColumn("problem", F.struct("recording_id", "frame")), "cost", radius ** 2, bool(w_feat))
-    links = assign(edges.select(F.col("i").alias("a"), F.col("j").alias("b"), "gain"))
+    links = cut_lineage(match_in_blocks(edges.withColumnRenamed("gain", "weight"), 1, "best"))
     roots = chain_roots(locs.select(F.col("loc_id").alias("id")),
-                        links.select(F.col("a").alias("pred"), F.col("b").alias("succ")))
+                        links.select(F.col("i").alias("pred"), F.col("j").alias("succ")))
     return locs.join(roots.select(F.col("id").alias("loc_id"), F.col("root").alias("segment")), "loc_id")
 
 
@@ -333,11 +415,11 @@ def _finish(rooted: DataFrame, min_len: int) -> DataFrame:
 # ---- frame-by-frame linkers -------------------------------------------------------
 
 class Tracks:
-    """Open tracks of one group while its frames pass by in order."""
+    """Open tracks of one recording while its frames pass by in order."""
 
-    def __init__(self, radius: float, max_gap: int, rule: str, q_vel: float = 0.05,
+    def __init__(self, radius: float, max_gap: int, q_vel: float = 0.05,
                  r_meas: float = 0.25, p0_vel: float = 25.0):
-        self.radius, self.max_gap, self.rule = radius, max_gap, rule
+        self.radius, self.max_gap = radius, max_gap
         self.q = np.array([1e-4, 1e-4, q_vel, q_vel])
         self.r, self.p0 = r_meas, np.array([r_meas, r_meas, p0_vel, p0_vel])
         self.root = np.empty(0, dtype=np.int64)      # first loc_id of each open track
@@ -347,8 +429,6 @@ class Tracks:
         self.cov = np.empty((0, 4, 4))
 
     def _predict(self, frame: int) -> np.ndarray:
-        if self.rule != "kalman":
-            return self.state[:, :2]
         dt = (frame - self.at).astype(float)
         move = np.tile(np.eye(4), (len(dt), 1, 1))
         move[:, 0, 2] = move[:, 1, 3] = dt
@@ -377,35 +457,8 @@ class Tracks:
 
     def _match(self, k, j, d2) -> np.ndarray:
         """Which of the pairs become links."""
-        chosen = np.zeros(len(k), dtype=bool)
-        if self.rule == "greedy":
-            used_k, used_j = set(), set()
-            for e in np.lexsort((k, j, d2)):
-                if k[e] not in used_k and j[e] not in used_j:
-                    chosen[e] = True
-                    used_k.add(k[e])
-                    used_j.add(j[e])
-            return chosen
-        price = self.radius ** 2 * (1 if self.rule == "subnet" else 2)
-        gain = price - d2
-        parent = {}
-
-        def find(n):
-            while parent.setdefault(n, n) != n:
-                parent[n] = parent[parent[n]]
-                n = parent[n]
-            return n
-        for a, b in zip(k.tolist(), j.tolist()):
-            parent[find((0, a))] = find((1, b))
-        groups: dict = {}
-        for e, a in enumerate(k.tolist()):
-            groups.setdefault(find((0, a)), []).append(e)
-        for edges in groups.values():
-            e = np.array(edges)
-            e = e[gain[e] > 0]
-            if len(e):
-                chosen[e] = _solve(k[e], j[e], gain[e])
-        return chosen
+        gain = 2 * self.radius ** 2 - d2
+        return _solve(k, j, gain) if len(k) else np.zeros(0, dtype=bool)
 
     def frame(self, frame: int, ids: np.ndarray, xy: np.ndarray) -> np.ndarray:
         """Take one frame's detections; return the root of the track of each."""
@@ -420,13 +473,10 @@ class Tracks:
         if len(k):
             roots[j] = self.root[k]
             self.last[k] = frame
-            if self.rule == "kalman":
-                s = self.cov[k][:, :2, :2] + self.r * np.eye(2)
-                gain = self.cov[k][:, :, :2] @ np.linalg.inv(s)
-                self.state[k] += np.einsum("tij,tj->ti", gain, xy[j] - self.state[k][:, :2])
-                self.cov[k] = self.cov[k] - gain @ self.cov[k][:, :2, :]
-            else:
-                self.state[k, :2] = xy[j]
+            s = self.cov[k][:, :2, :2] + self.r * np.eye(2)
+            gain = self.cov[k][:, :, :2] @ np.linalg.inv(s)
+            self.state[k] += np.einsum("tij,tj->ti", gain, xy[j] - self.state[k][:, :2])
+            self.cov[k] = self.cov[k] - gain @ self.cov[k][:, :2, :]
         new = np.setdiff1d(np.arange(len(ids)), j)
         self.root = np.concatenate([self.root, ids[new]])
         self.last = np.concatenate([self.last, np.full(len(new), frame)])
@@ -449,32 +499,21 @@ def _roll(batches: Iterator[pd.DataFrame], make: Callable[[], Tracks]) -> Iterat
         yield pd.DataFrame({"loc_id": ids, "root": roots})
 
 
-def _link_online(locs: DataFrame, radius: float, max_gap: int, rule: str, min_len: int) -> DataFrame:
-    """Run a frame-by-frame rule. Tracks can only interact through spots within
-    the radius and ``max_gap`` frames, so each connected component of such spots
-    is a group of its own; a Kalman prediction may leave that reach, so there the
-    group is the recording. A task holds open tracks, never a group's rows."""
+def link_kalman(locs: DataFrame, radius: float, max_gap: int = 12, min_len: int = 1) -> DataFrame:
+    """Constant-velocity filter per track: predict by the true number of frames,
+    assign within the gate, correct; tracks coast for up to ``max_gap`` frames.
+
+    A prediction may leave any fixed reach, so a recording is one group; its frames pass
+    through a task in order, which holds open tracks only."""
+    locs = valid_localisations(locs)
     require_columns(locs, "recording_id", "loc_id", "frame", "x", "y")
-    if rule == "kalman":
-        grouped = locs.select("loc_id", "frame", "x", "y", F.xxhash64("recording_id").alias("_g"))
-    else:
-        near = link_candidates(locs, radius, max_gap)
-        comp = connected_components(near.select(F.col("i").alias("a"), F.col("j").alias("b")))
-        comp = comp.select(F.col("node").alias("loc_id"), F.col("component").alias("_g"))
-        grouped = locs.select("loc_id", "frame", "x", "y").join(comp, "loc_id")
-    ordered = grouped.repartition("_g").sortWithinPartitions("_g", "frame", "loc_id")
-    rolled = ordered.mapInPandas(lambda it: _roll(it, lambda: Tracks(radius, max_gap, rule)),
-                                 "loc_id long, root long")
+    ordered = (locs.select("loc_id", "frame", "x", "y", F.xxhash64("recording_id").alias("_g"))
+               .repartition("_g").sortWithinPartitions("_g", "frame", "loc_id"))
+    rolled = ordered.mapInPandas(lambda it: _roll(it, lambda: Tracks(radius, max_gap)), "loc_id long, root long")
     rooted = cut_lineage(locs.join(rolled, "loc_id", "left").withColumn("root", F.coalesce("root", "loc_id")))
     return _finish(rooted, min_len)
 
 
-def link_kalman(locs: DataFrame, radius: float, max_gap: int = 12, min_len: int = 1) -> DataFrame:
-    """Constant-velocity filter per track: predict by the true number of frames,
-    assign within the gate, correct; tracks coast for up to ``max_gap`` frames."""
-    return _link_online(valid_localisations(locs), radius, max_gap, "kalman", min_len)
-
-
 def config_energy(candidates: DataFrame, links: DataFrame, locs: DataFrame, birth: float, death: float) -> DataFrame:
     """Energy of a linking per recording: chosen costs, and births and deaths of
     every spot without predecessor or successor."""

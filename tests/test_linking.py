@@ -204,3 +204,68 @@ def test_suppression_equals_the_sequential_sweep(spark):
                 kept.append(r)
         want |= {k[1] for k in kept}
     assert got == want
+
+
+def subnet(pairs, n, m, radius):
+    """Least total cost by search, a track left alone costing radius²."""
+    best, top = [], 0.0
+    groups = {}
+
+    def find(x):
+        while groups.setdefault(x, x) != x:
+            x = groups[x]
+        return x
+    for _, j, k in pairs:
+        groups[find(("k", k))] = find(("j", j))
+    out = []
+    for root in {find(("k", k)) for _, _, k in pairs}:
+        mine = [p for p in pairs if find(("k", p[2])) == root]
+        best, top = [], 0.0
+        for size in range(1, len(mine) + 1):
+            for pick in itertools.combinations(mine, size):
+                if len({p[1] for p in pick}) == size == len({p[2] for p in pick}):
+                    gain = sum(radius ** 2 - p[0] for p in pick)
+                    if gain > top:
+                        top, best = gain, pick
+        out += [(p[1], p[2]) for p in best]
+    return out
+
+
+@pytest.mark.parametrize("block", [2, 5, 64])
+@pytest.mark.parametrize("rule,memory", [("greedy", 1), ("greedy", 3), ("best", 0), ("best", 3)])
+def test_blocks_of_frames_equal_frame_by_frame(spark, rule, memory, block, monkeypatch):
+    monkeypatch.setattr(L.match_in_blocks, "__defaults__", (block,))
+    rows = field(7, frames=20, spots=8)
+    df = spark.createDataFrame(rows, LOC)
+    if rule == "greedy":
+        assert partition(L.link_nn(df, 4.0, max_gap=memory).collect()) == online(rows, 4.0, memory, greedy)
+    else:
+        assert partition(L.link_subnet(df, 4.0, memory=memory).collect()) == online(rows, 4.0, memory + 1, subnet)
+
+
+def test_sparse_assignment_equals_search():
+    rng = np.random.default_rng(11)
+    for _ in range(200):
+        e = [(i, j, float(rng.choice([1.0, 2.0, rng.uniform(0.1, 4)]))) for i in range(5) for j in range(4) if rng.random() < 0.5]
+        if not e:
+            continue
+        a, b, g = map(np.array, zip(*e))
+        won = L._solve(a, b, g)
+        assert len(set(a[won])) == won.sum() == len(set(b[won]))
+        assert g[won].sum() == pytest.approx(best_by_search(a.tolist(), b.tolist(), g.tolist()))
+
+
+def test_one_component_of_a_hundred_thousand_spots():
+    """A chain of conflicts through all spots of two frames; the certificate is that prices and gains agree."""
+    n, rng = 50_000, np.random.default_rng(3)
+    x = np.arange(n) + rng.normal(0, 0.2, n)
+    a = np.concatenate([np.arange(n), np.arange(n - 1), np.arange(1, n)])
+    b = np.concatenate([np.arange(n), np.arange(1, n), np.arange(n - 1)])
+    gain = 4.0 - (x[a] - (b + 0.3)) ** 2
+    keep = gain > 0
+    a, b, gain = a[keep], b[keep], gain[keep]
+    won = L._solve(a, b, gain)
+    assert len(np.unique(a[won])) == won.sum() == len(np.unique(b[won])) and won.sum() > 0.99 * n
+    swapped = gain[won].sum()
+    own = a == b
+    assert swapped >= gain[own].sum()
