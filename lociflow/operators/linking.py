@@ -414,6 +414,36 @@ def _finish(rooted: DataFrame, min_len: int) -> DataFrame:
 
 # ---- frame-by-frame linkers -------------------------------------------------------
 
+def _near(a: np.ndarray, b: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs within the radius and their squared distance, through a grid of the second points."""
+    cells: dict[tuple[int, int], list[int]] = {}
+    for j, cell in enumerate(map(tuple, np.floor(b / radius).astype(int).tolist())):
+        cells.setdefault(cell, []).append(j)
+    k, j = [], []
+    for t, (cx, cy) in enumerate(np.floor(a / radius).astype(int).tolist()):
+        for dx in (-1, 0, 1):
+            for dy in (-1, 0, 1):
+                hit = cells.get((cx + dx, cy + dy), ())
+                k.extend([t] * len(hit))
+                j.extend(hit)
+    k, j = np.array(k, dtype=int), np.array(j, dtype=int)
+    d2 = ((a[k] - b[j]) ** 2).sum(1) if len(k) else np.empty(0)
+    ok = d2 <= radius ** 2
+    return k[ok], j[ok], d2[ok]
+
+
+def nearest_first(a: np.ndarray, b: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """Greedy matching of two sets of points by ascending (distance, second, first)."""
+    k, j, d2 = _near(a, b, radius)
+    used_k, used_j, won = set(), set(), []
+    for e in np.lexsort((k, j, d2)).tolist():
+        if k[e] not in used_k and j[e] not in used_j:
+            won.append(e)
+            used_k.add(k[e])
+            used_j.add(j[e])
+    return k[won], j[won]
+
+
 class Tracks:
     """Open tracks of one recording while its frames pass by in order."""
 
@@ -437,24 +467,6 @@ class Tracks:
         self.at = np.full(len(dt), frame)
         return self.state[:, :2]
 
-    def _pairs(self, pred: np.ndarray, xy: np.ndarray):
-        """Track–detection pairs within the radius, through a grid of the detections."""
-        size = self.radius
-        cells: dict[tuple[int, int], list[int]] = {}
-        for j, (cx, cy) in enumerate(np.floor(xy / size).astype(int).tolist()):
-            cells.setdefault((cx, cy), []).append(j)
-        k, j = [], []
-        for t, (cx, cy) in enumerate(np.floor(pred / size).astype(int).tolist()):
-            for dx in (-1, 0, 1):
-                for dy in (-1, 0, 1):
-                    hit = cells.get((cx + dx, cy + dy), ())
-                    k.extend([t] * len(hit))
-                    j.extend(hit)
-        k, j = np.array(k, dtype=int), np.array(j, dtype=int)
-        d2 = ((pred[k] - xy[j]) ** 2).sum(1) if len(k) else np.empty(0)
-        ok = d2 <= self.radius ** 2
-        return k[ok], j[ok], d2[ok]
-
     def _match(self, k, j, d2) -> np.ndarray:
         """Which of the pairs become links."""
         gain = 2 * self.radius ** 2 - d2
@@ -467,7 +479,7 @@ class Tracks:
             setattr(self, name, getattr(self, name)[keep])
         roots = ids.copy()
         pred = self._predict(frame)
-        k, j, d2 = self._pairs(pred, xy)
+        k, j, d2 = _near(pred, xy, self.radius)
         won = self._match(k, j, d2)
         k, j = k[won], j[won]
         if len(k):

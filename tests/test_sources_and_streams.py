@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from lociflow.operators import linking as L
@@ -114,13 +116,19 @@ def test_manifest_skips_finished_recordings(spark, tmp_path):
     assert W.not_yet_done(recs, runs, {"r": 2}).count() == 2
 
 
-def test_stream_link_equals_batch(spark, tmp_path):
-    """Frames arrive in three files; open tracks live on between them."""
-    locs = walks(spark, 3).orderBy("frame")
-    for i, (lo, hi) in enumerate(((0, 9), (9, 17), (17, 25))):
-        locs.where(f"frame >= {lo} and frame < {hi}").drop("mass").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(locs.drop("mass").schema).option("maxFilesPerTrigger", "1").parquet(str(tmp_path / "in"))
-    got = V.drain(V.stream_link(stream, 6.0)).collect()
+@pytest.mark.parametrize("cut", ["frame < 9", "frame < 9 OR frame = 12 AND loc_id % 2 = 0", "loc_id % 3 = 0"])
+def test_stream_link_equals_batch_under_any_split(spark, tmp_path, cut):
+    """Rows arrive in two files, frames split between them; open tracks live on between micro-batches."""
+    locs = walks(spark, 3).drop("mass")
+    for k, part in enumerate((locs.where(cut), locs.where(f"NOT ({cut})"))):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(locs.schema).option("maxFilesPerTrigger", "1").parquet(str(tmp_path / "in"))
+    got = V.drain(V.stream_link(stream, 6.0, late=40)).collect()
+    assert got == []                                        # every frame may still grow
+    end = spark.createDataFrame([("end", 10 ** 6, 1000, 0.0, 0.0)], locs.schema)
+    end.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(locs.schema).option("maxFilesPerTrigger", "1").parquet(str(tmp_path / "in"))
+    got = V.drain(V.stream_link(stream, 6.0, late=40)).collect()
     batch = L.link_nn(locs, 6.0).collect()
     groups = lambda rows, k: sorted(sorted(x.loc_id for x in rows if (x.recording_id, x[k]) == g) for g in {(x.recording_id, x[k]) for x in rows})
     assert groups(got, "track") == groups(batch, "particle")
@@ -135,3 +143,15 @@ def test_progress_records_failures(spark, tmp_path):
     V.run_progress(stream, broken, str(tmp_path / "runs"), str(tmp_path / "ck")).awaitTermination()
     rows = spark.read.parquet(str(tmp_path / "runs")).collect()
     assert len(rows) == 2 and {r.status for r in rows} == {"error"} and "no frames" in rows[0].message
+
+
+def test_progress_marks_only_the_recording_at_fault(spark, tmp_path):
+    walks(spark, 4).select("recording_id").distinct().coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("recording_id string").parquet(str(tmp_path / "in"))
+
+    def strict(batch):
+        if batch.where("recording_id = '2'").count():
+            raise ValueError("bad recording")
+    V.run_progress(stream, strict, str(tmp_path / "runs"), str(tmp_path / "ck")).awaitTermination()
+    rows = {r.recording_id: r.status for r in spark.read.parquet(str(tmp_path / "runs")).collect()}
+    assert rows == {"0": "done", "1": "done", "2": "error", "3": "done"}
