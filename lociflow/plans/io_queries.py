@@ -8,6 +8,7 @@ from lociflow import recipes as V
 from lociflow.functions import text as N
 from lociflow.operators import diffusion as D
 from lociflow.plans.catalog import query, r, rounded, rs
+from lociflow.plans.link_queries import CHAIN, NEAR1, greedy_sql
 from lociflow.plans.sql_views import FIT, MSD
 from lociflow.recipes import FRAME_INTERVAL as DT, PIXEL_SIZE as PX, SQL_LOCS, SQL_OBSERVATIONS, SQL_TRACKS
 from lociflow.sources import sinks as W, tables as S
@@ -341,7 +342,9 @@ def stream_dedup(spark, d):
     return stamp(L.drain(L.stream_dedup(L.event_stream(spark, d))).select("particle", "frame"), "frame")
 
 
-@query("stream_link")
+@query("stream_link", f"""WITH RECURSIVE {NEAR1}, {greedy_sql('e1')}, {CHAIN}
+SELECT CAST(l.recording_id AS VARCHAR) AS recording_id, loc_id, frame, root AS track FROM chain JOIN locs l ON loc_id = id
+WHERE frame <= (SELECT max(frame) FROM locs) - 3""")
 def stream_link(spark, d):
     schema = V.table(spark, d, "orders").schema
     o = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(d)

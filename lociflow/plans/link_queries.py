@@ -22,6 +22,75 @@ won AS (SELECT i, j, d2 FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER
 RADIUS = 30.0
 
 
+def greedy_sql(edges: str) -> str:
+    """Rounds of mutual best edges of ``edges(i, j, d2)`` until none is left; ``won(i, j)``."""
+    return f"""
+rounds(i, j, d2, hit) AS (
+  SELECT i, j, d2, false FROM {edges}
+  UNION ALL
+  SELECT i, j, d2, ri = 1 AND rj = 1 FROM (
+    SELECT *, max((ri = 1 AND rj = 1)::int) OVER (PARTITION BY i) AS hit_i, max((ri = 1 AND rj = 1)::int) OVER (PARTITION BY j) AS hit_j FROM (
+      SELECT i, j, d2, row_number() OVER (PARTITION BY i ORDER BY d2, j, i) AS ri, row_number() OVER (PARTITION BY j ORDER BY d2, j, i) AS rj
+      FROM rounds WHERE NOT hit))
+  WHERE (ri = 1 AND rj = 1) OR (hit_i = 0 AND hit_j = 0)),
+won AS (SELECT i, j FROM rounds WHERE hit)"""
+
+
+def best_sql(edges: str, name: str) -> str:
+    """The assignment of largest total gain over ``edges(a, b, gain)`` as ``name(a, b)``: every choice of edges in every component."""
+    return f"""
+{name}_e AS (SELECT * FROM {edges} WHERE gain > 0),
+{name}_reach(node, root) AS (
+  SELECT 'a' || a, 'a' || a FROM {name}_e
+  UNION
+  SELECT CASE WHEN node = 'a' || a THEN 'b' || b ELSE 'a' || a END, root FROM {name}_reach JOIN {name}_e ON node = 'a' || a OR node = 'b' || b),
+{name}_comp AS (SELECT node, min(root) AS comp FROM {name}_reach GROUP BY node),
+{name}_k AS (SELECT comp, a, b, gain, row_number() OVER (PARTITION BY comp ORDER BY a, b) AS k, count(*) OVER (PARTITION BY comp) AS n
+             FROM {name}_e JOIN {name}_comp ON node = 'a' || a),
+{name}_pick(comp, k, n, las, lbs, total) AS (
+  SELECT DISTINCT comp, 0::bigint, n, []::varchar[], []::varchar[], 0.0::double FROM {name}_k
+  UNION ALL
+  SELECT p.comp, e.k, p.n, CASE WHEN t THEN list_append(las, e.a::varchar) ELSE las END, CASE WHEN t THEN list_append(lbs, e.b::varchar) ELSE lbs END,
+         CASE WHEN t THEN total + gain ELSE total END
+  FROM {name}_pick p JOIN {name}_k e ON e.comp = p.comp AND e.k = p.k + 1 JOIN (SELECT unnest([true, false]) AS t) ON true
+  WHERE NOT t OR NOT (list_contains(las, e.a::varchar) OR list_contains(lbs, e.b::varchar))),
+{name} AS (SELECT unnest(las) AS a, unnest(lbs) AS b FROM (SELECT arg_max(las, total) AS las, arg_max(lbs, total) AS lbs FROM {name}_pick WHERE k = n GROUP BY comp))"""
+
+
+CHAIN = """
+chain AS (SELECT loc_id AS root, loc_id AS id, recording_id FROM locs WHERE loc_id NOT IN (SELECT j FROM won)
+          UNION ALL SELECT c.root, w.j, c.recording_id FROM chain c JOIN won w ON w.i = c.id)"""
+LENGTHS = """
+SELECT recording_id, n_observations, count(*) AS n_tracks FROM (SELECT recording_id, root, count(*) AS n_observations FROM chain GROUP BY ALL) GROUP BY ALL"""
+
+
+def frames_sql(radius: float, max_gap: int) -> str:
+    """Frame after frame, a round of mutual best edges at a time, as ``won(i, j)``. Rows are the open tracks (T, by their last
+    spot), the frame's spots without track (D), the clock of each recording (C) and links (L)."""
+    return f"""
+walk(rec, frame, kind, i, j, x, y, last, used) AS (
+  SELECT recording_id, min(frame) - 1, 'C', 0, 0, 0.0::double, 0.0::double, 0, false FROM locs GROUP BY recording_id
+  UNION ALL
+  (WITH edges AS (SELECT t.rec, t.i, d.i AS j, (t.x-d.x)*(t.x-d.x) + (t.y-d.y)*(t.y-d.y) AS d2, d.x, d.y FROM walk t JOIN walk d ON t.rec = d.rec
+                  WHERE t.kind = 'T' AND NOT t.used AND d.kind = 'D' AND (t.x-d.x)*(t.x-d.x) + (t.y-d.y)*(t.y-d.y) <= {radius ** 2}),
+   best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d2, j, i) AS ri, row_number() OVER (PARTITION BY j ORDER BY d2, j, i) AS rj FROM edges)
+            WHERE ri = 1 AND rj = 1),
+   busy AS (SELECT DISTINCT rec FROM edges),
+   clock AS (SELECT rec, frame, rec IN (SELECT rec FROM busy) AS busy FROM walk WHERE kind = 'C'),
+   ends AS (SELECT max(frame) AS f FROM locs)
+   SELECT rec, frame, 'L', i, j, 0.0, 0.0, 0, false FROM best JOIN clock USING (rec)
+   UNION ALL SELECT rec, frame, 'T', b.j, 0, b.x, b.y, frame, true FROM best b JOIN clock USING (rec)
+   UNION ALL SELECT w.rec, w.frame, w.kind, w.i, 0, w.x, w.y, w.last, w.used FROM walk w JOIN clock c ON w.rec = c.rec AND c.busy LEFT JOIN best t ON w.rec = t.rec AND w.i = t.i
+     WHERE w.kind = 'T' AND (w.used OR t.i IS NULL)
+   UNION ALL SELECT w.rec, w.frame, 'D', w.i, 0, w.x, w.y, 0, false FROM walk w JOIN clock c ON w.rec = c.rec AND c.busy LEFT JOIN best d ON w.rec = d.rec AND w.i = d.j
+     WHERE w.kind = 'D' AND d.j IS NULL
+   UNION ALL SELECT rec, frame + (NOT busy)::int, 'C', 0, 0, 0.0, 0.0, 0, false FROM clock, ends WHERE busy OR frame < f
+   UNION ALL SELECT w.rec, c.frame + 1, 'T', w.i, 0, w.x, w.y, CASE WHEN w.kind = 'D' THEN c.frame ELSE w.last END, false FROM walk w JOIN clock c ON w.rec = c.rec AND NOT c.busy
+     WHERE w.kind IN ('T', 'D') AND c.frame + 1 - CASE WHEN w.kind = 'D' THEN c.frame ELSE w.last END <= {max_gap}
+   UNION ALL SELECT recording_id, l.frame, 'D', loc_id, 0, x, y, 0, false FROM locs l JOIN clock c ON l.recording_id = c.rec AND l.frame = c.frame + 1 AND NOT c.busy)),
+won AS (SELECT i, j FROM walk WHERE kind = 'L')"""
+
+
 def round1(spark, d):
     return L.mutual_best(L.link_candidates(V.localisations(spark, d), RADIUS, 1))
 
@@ -71,17 +140,28 @@ def linked_summary(linked):
     return n.groupBy("recording_id", "n_observations").agg(F.count(F.lit(1)).alias("n_tracks"))
 
 
-@query("link_nn")
+NEAR1 = CAND + """,
+e1 AS (SELECT i, j, d2 FROM cand WHERE gap = 1)"""
+
+
+@query("link_nn", f"""WITH RECURSIVE {NEAR1}, {greedy_sql('e1')}, {CHAIN}
+SELECT l.recording_id, loc_id, frame, x, y, dense_rank() OVER (PARTITION BY l.recording_id ORDER BY root) - 1 AS particle
+FROM chain JOIN locs l ON loc_id = id""")
 def link_nn(spark, d):
     return L.link_nn(V.localisations(spark, d), RADIUS).select("recording_id", "loc_id", "frame", "x", "y", "particle")
 
 
-@query("link_nn_coasting")
+@query("link_nn_coasting", f"WITH RECURSIVE {SQL_LOCS}, {frames_sql(10.0, 3)}, {CHAIN} {LENGTHS}")
 def link_nn_coasting(spark, d):
     return linked_summary(L.link_nn(V.localisations(spark, d), 10.0, max_gap=3))
 
 
-@query("link_subnet")
+SUBNET = f"""
+e1 AS (SELECT i AS a, j AS b, {RADIUS ** 2} - d2 AS gain FROM cand WHERE gap = 1), {best_sql('e1', 'best')},
+won AS (SELECT a::bigint AS i, b::bigint AS j FROM best)"""
+
+
+@query("link_subnet", f"WITH RECURSIVE {CAND}, {SUBNET}, {CHAIN} {LENGTHS}")
 def link_subnet(spark, d):
     return linked_summary(L.link_subnet(V.localisations(spark, d), RADIUS))
 
@@ -91,12 +171,50 @@ def link_subnet_memory(spark, d):
     return linked_summary(L.link_subnet(V.localisations(spark, d), 10.0, memory=3))
 
 
-@query("link_lap")
+def segments_sql(radius: float, featured: bool) -> str:
+    """Frame-to-frame assignment as ``segs(…, segment)``, and each segment's ends."""
+    cost = "d2 * (1 + f) * (1 + f)" if featured else "d2"
+    price = "1.05 * max(cost) OVER (PARTITION BY recording_id, frame)" if featured else str(radius ** 2)
+    return CAND + f""",
+c1 AS (SELECT *, {cost} AS cost FROM cand WHERE gap = 1 AND d2 <= {radius ** 2}),
+e1 AS (SELECT i AS a, j AS b, 2 * {price} - cost AS gain FROM c1), {best_sql('e1', 'best')},
+won AS (SELECT a::bigint AS i, b::bigint AS j FROM best), {CHAIN},
+segs AS (SELECT l.*, root AS segment FROM chain JOIN locs l ON loc_id = id),
+seg AS (SELECT recording_id, segment, min(frame) AS s_f, max(frame) AS e_f, arg_min(x, frame) AS s_x, arg_min(y, frame) AS s_y, arg_min(mass, frame) AS s_m,
+               arg_max(x, frame) AS e_x, arg_max(y, frame) AS e_y, arg_max(mass, frame) AS e_m FROM segs GROUP BY ALL)"""
+
+
+def lap_sql(max_gap: int) -> str:
+    """Segments, and their assignment over gaps as ``joined(segment, root)``."""
+    return segments_sql(20.0, False) + f""",
+gaps AS (SELECT p.segment AS a, q.segment AS b, (p.e_x-q.s_x)*(p.e_x-q.s_x) + (p.e_y-q.s_y)*(p.e_y-q.s_y) AS d2 FROM seg p JOIN seg q
+         ON p.recording_id = q.recording_id AND q.s_f BETWEEN p.e_f + 1 AND p.e_f + {max_gap}),
+e2 AS (SELECT a, b, 800 - d2 AS gain FROM gaps WHERE d2 <= 400), {best_sql('e2', 'closed')},
+joined(segment, root) AS (SELECT segment, segment FROM seg WHERE segment NOT IN (SELECT b::bigint FROM closed)
+                          UNION ALL SELECT b::bigint, root FROM joined JOIN closed ON a = segment::varchar),
+tracks AS (SELECT recording_id, root, count(*) AS n_observations FROM segs JOIN joined USING (segment) GROUP BY ALL)"""
+
+
+LAP_FULL = segments_sql(20.0, True) + f""",
+offers AS (
+  SELECT p.recording_id, 'gap_close' AS kind, '0:' || p.segment AS a, '0:' || q.segment AS b, (p.e_x-q.s_x)**2 + (p.e_y-q.s_y)**2 AS d2, abs(p.e_m-q.s_m)/(p.e_m+q.s_m) AS f
+  FROM seg p JOIN seg q ON p.recording_id = q.recording_id AND q.s_f BETWEEN p.e_f + 1 AND p.e_f + 3
+  UNION ALL
+  SELECT p.recording_id, 'merge', '0:' || p.segment, '1:' || o.segment, (p.e_x-o.x)**2 + (p.e_y-o.y)**2, abs(p.e_m-o.mass)/(p.e_m+o.mass)
+  FROM seg p JOIN segs o ON p.recording_id = o.recording_id AND o.frame = p.e_f + 1 JOIN seg q ON q.segment = o.segment WHERE o.frame > q.s_f AND o.segment <> p.segment
+  UNION ALL
+  SELECT p.recording_id, 'split', '1:' || o.segment, '0:' || p.segment, (p.s_x-o.x)**2 + (p.s_y-o.y)**2, abs(p.s_m-o.mass)/(p.s_m+o.mass)
+  FROM seg p JOIN segs o ON p.recording_id = o.recording_id AND o.frame = p.s_f - 1 JOIN seg q ON q.segment = o.segment WHERE o.frame < q.e_f AND o.segment <> p.segment),
+priced AS (SELECT recording_id, kind, a, b, min(d2 * (1 + coalesce(f, 0)) * (1 + coalesce(f, 0))) AS cost FROM offers WHERE d2 <= 400 GROUP BY ALL),
+e2 AS (SELECT *, 2 * 1.05 * max(cost) OVER (PARTITION BY recording_id) - cost AS gain FROM priced), {best_sql('e2', 'chosen')}"""
+
+
+@query("link_lap", f"WITH RECURSIVE {lap_sql(3)} SELECT recording_id, n_observations, count(*) AS n_tracks FROM tracks GROUP BY ALL")
 def link_lap(spark, d):
     return linked_summary(L.link_lap(V.localisations(spark, d), 20.0, 3))
 
 
-@query("link_lap_full")
+@query("link_lap_full", f"WITH RECURSIVE {LAP_FULL} SELECT recording_id, kind, count(*) AS n FROM chosen JOIN e2 USING (a, b) GROUP BY ALL")
 def link_lap_full(spark, d):
     return L.link_lap_full(V.localisations(spark, d), 20.0, 3, merging=True, splitting=True, w_feat=1.0)[1] \
         .groupBy("recording_id", "kind").agg(F.count(F.lit(1)).alias("n"))
@@ -107,7 +225,8 @@ def link_kalman(spark, d):
     return linked_summary(L.link_kalman(V.localisations(spark, d), 20.0, 3))
 
 
-@query("link_dispatch")
+@query("link_dispatch", f"""WITH RECURSIVE {lap_sql(2)} SELECT recording_id, n_observations, count(*) AS n_tracks FROM tracks
+WHERE n_observations BETWEEN 2 AND 20 GROUP BY ALL""")
 def link_dispatch(spark, d):
     return linked_summary(L.link(V.localisations(spark, d), "lap", 20.0, memory=2, min_len=2, max_len=20))
 
