@@ -13,7 +13,6 @@ from lociflow.schema import TRACK_KEY
 from lociflow.session import cut_lineage
 
 PIECE_STEPS = 64
-MAX_STATES = 4
 STATE_KEYS = ("immobile", "slow", "fast")
 
 
@@ -39,7 +38,7 @@ def _expect(r2: np.ndarray, dt: float, d: np.ndarray, move: np.ndarray, start: n
     fwd, scale = np.empty_like(e), np.empty((n, steps))
     for t in range(steps):
         f = (start if t == 0 else fwd[:, t - 1] @ move) * e[:, t]
-        scale[:, t] = f.sum(1)
+        scale[:, t] = np.maximum(f.sum(1), 1e-300)
         fwd[:, t] = f / scale[:, t, None]
     back = np.ones((n, len(d)))
     occ = np.empty_like(e)
@@ -54,36 +53,121 @@ def _expect(r2: np.ndarray, dt: float, d: np.ndarray, move: np.ndarray, start: n
             float((np.log(scale) + top).sum()))
 
 
-_PART = ([f"w{i}" for i in range(MAX_STATES)] + [f"q{i}" for i in range(MAX_STATES)]
-         + [f"g{i}" for i in range(MAX_STATES)] + [f"t{i}{j}" for i in range(MAX_STATES) for j in range(MAX_STATES)]
-         + ["ll", "pieces"])
+def _sums(pieces: list[np.ndarray], k: int, dt: float, theta: np.ndarray) -> np.ndarray:
+    """One pass over pieces laid out by length: occupied steps, their r², starts, transitions, log-likelihood and number of pieces."""
+    d, move, start = _parts(theta, k)
+    out = np.zeros(3 * k + k * k + 2)
+    with np.errstate(all="ignore"):                        # a leap to where a piece is all but impossible is not finite, and refused
+        for r2 in pieces:
+            w, q, g, tr, ll = _expect(r2, dt, d, move, start)
+            out += np.concatenate([w, q, g, tr.ravel(), [ll, len(r2)]])
+    return out
 
 
-def _partials(batches: Iterator[pd.DataFrame], dt: float) -> Iterator[pd.DataFrame]:
-    k_max = MAX_STATES
-    for pdf in batches:
-        out = []
-        sizes = pdf["r2"].map(len)
-        for (rec, k, _), g in pdf.groupby([pdf["recording_id"], pdf["k"], sizes], sort=False):
-            one = g.iloc[0]
-            w, q, g0, tr, ll = _expect(np.vstack(g["r2"].to_numpy()), dt, np.asarray(one["D"]),
-                                       np.asarray(one["A"]).reshape(k, k), np.asarray(one["pi"]))
-            pad = lambda v: np.pad(v, (0, k_max - len(v)))                       # noqa: E731
-            wide = np.zeros((k_max, k_max))
-            wide[:k, :k] = tr
-            out.append([rec, k, *pad(w), *pad(q), *pad(g0), *wide.ravel(), ll, len(g)])
-        if out:
-            yield pd.DataFrame(out, columns=["recording_id", "k", *_PART])
+def _parts(theta: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return theta[:k], theta[k:k + k * k].reshape(k, k), theta[k + k * k:]
+
+
+def _maximised(sums: np.ndarray, k: int, dt: float) -> np.ndarray:
+    """The parameters that the sums of a pass give, as one vector: D, transitions row by row, starts."""
+    w, q, g, tr = sums[:k], sums[k:2 * k], sums[2 * k:3 * k], sums[3 * k:3 * k + k * k].reshape(k, k)
+    row = tr.sum(1, keepdims=True)
+    with np.errstate(all="ignore"):
+        move = np.where(row > 0, tr / np.maximum(row, 1e-300), 1.0 / k)           # one-step pieces never move: keep even
+    return np.concatenate([np.maximum(q / np.maximum(4 * dt * w, 1e-300), 1e-9), move.ravel(), g / sums[-1]])
+
+
+def _logs(theta: np.ndarray) -> np.ndarray:
+    return np.log(np.maximum(theta, 1e-300))
+
+
+def _from_logs(x: np.ndarray, k: int) -> np.ndarray:
+    d, move, start = _parts(np.exp(np.clip(x, -690, 30)), k)
+    return np.concatenate([np.maximum(d, 1e-9), (move / move.sum(1, keepdims=True)).ravel(), start / start.sum()])
+
+
+def _advance(fit: dict, sums: np.ndarray, dt: float, tol: float) -> dict:
+    """The fit after a pass at its parameters: squared extrapolation of two steps, kept only if the likelihood does not fall.
+
+    Settled once a plain step changes the log-likelihood by ``tol`` of itself at most.
+    """
+    k, ll, phase = fit["k"], float(sums[-2]), fit["phase"]
+    new = _maximised(sums, k, dt)
+    out = {**fit, "iterations": fit["iterations"] + 1}
+    if phase == 2 and not (ll >= fit["ll"] and np.isfinite(new).all()):                                         # the leap failed: go on from the second step
+        return {**out, "theta": fit["second"], "phase": 0}
+    settled = phase != 2 and abs(ll - fit["ll"]) <= tol * abs(ll)
+    out.update(ll=ll, occupancy=sums[:k] / sums[:k].sum(), done=settled)
+    if settled:
+        return {**out, "theta": new}
+    if phase == 0:
+        return {**out, "first": fit["theta"], "theta": new, "phase": 1}
+    if phase == 2:
+        return {**out, "theta": new, "phase": 0}
+    x0, x1, x2 = _logs(fit["first"]), _logs(fit["theta"]), _logs(new)
+    r, v = x1 - x0, x2 - 2 * x1 + x0
+    size = np.sqrt(float(v @ v))
+    leap = max(1.0, np.sqrt(float(r @ r)) / size) if size > 0 else 1.0
+    return {**out, "second": new, "theta": _from_logs(x0 + 2 * leap * r + leap * leap * v, k), "phase": 2}
+
+
+_FIT = ("k int, theta array<double>, first array<double>, second array<double>, phase int, ll double, done boolean, iterations int, "
+        "occupancy array<double>")
+_FIT_NAMES = ("k", "theta", "first", "second", "phase", "ll", "done", "iterations", "occupancy")
+
+
+def _fit_of(row) -> dict:
+    return {c: np.asarray(row[c], float) if c in ("theta", "first", "second", "occupancy") else row[c] for c in _FIT_NAMES}
+
+
+def _by_length(arrays) -> list[np.ndarray]:
+    groups: dict[int, list] = {}
+    for a in arrays:
+        if len(a):
+            groups.setdefault(len(a), []).append(a)
+    return [np.vstack(g) for g in groups.values()]
+
+
+TASK_STEPS = 1_000_000
+
+
+def em_sums(segments: DataFrame, fits: DataFrame, frame_interval: float) -> DataFrame:
+    """The sums of one pass for every fit ``(recording_id, k, theta)`` as ``recording_id, k, sums``: added up in tasks before the shuffle."""
+    dt = float(frame_interval)
+    rec = segments.schema["recording_id"].dataType.simpleString()
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [(r, k, _sums(_by_length(g["r2"]), k, dt, np.asarray(g["theta"].iloc[0])).tolist()) for (r, k), g in pdf.groupby(["recording_id", "k"], sort=False)]
+            if out:
+                yield pd.DataFrame(out, columns=["recording_id", "k", "sums"])
+    fed = segments.select("recording_id", "r2").join(fits.select("recording_id", "k", "theta"), "recording_id")
+    made = fed.mapInPandas(partial, f"recording_id {rec}, k int, sums array<double>")
+    each = made.select("recording_id", "k", F.posexplode("sums").alias("at", "v")).groupBy("recording_id", "k", "at").agg(F.sum("v").alias("v"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"])
+    return each.groupBy("recording_id", "k").agg(ordered.alias("sums"))
+
+
+def em_step(segments: DataFrame, fits: DataFrame, frame_interval: float) -> DataFrame:
+    """``recording_id, k, loglik, theta``: the log-likelihood of every fit ``(recording_id, k, theta)`` and its parameters after a plain round."""
+    dt = float(frame_interval)
+    rec = segments.schema["recording_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"recording_id": pdf["recording_id"], "k": pdf["k"], "loglik": [s[-2] for s in pdf["sums"]],
+                                "theta": [_maximised(np.asarray(s), k, dt).tolist() for s, k in zip(pdf["sums"], pdf["k"])]})
+    return em_sums(segments, fits, dt).mapInPandas(run, f"recording_id {rec}, k int, loglik double, theta array<double>")
 
 
 def fit_hmm(segments: DataFrame, frame_interval: float, states: tuple[int, ...] = (3,),
-            max_iter: int = 300, tol: float = 1e-6) -> DataFrame:
-    """Maximum-likelihood hidden diffusive states, every recording and every
-    number of states at once.
+            max_iter: int = 300, tol: float = 1e-6, task_steps: int = TASK_STEPS) -> DataFrame:
+    """Maximum-likelihood hidden diffusive states, every recording and every number of states at once.
 
-    One pass of the segments per iteration turns into a fixed number of sums per
-    recording; the new parameters are columns of a table, never driver state.
-    Ends when every fit's log-likelihood has settled. States come slowest first.
+    A pass over the segments gives a fixed number of sums for each fit, and from these its next parameters
+    (``_advance``, an accelerated EM). A recording of up to ``task_steps`` steps is laid out once and fitted by one task; a longer one
+    stays spread out and each pass is a job whose sums are combined in tasks before the shuffle. Both take the same
+    steps. ``settled`` says whether a fit ended by itself within ``max_iter`` passes. States come slowest first.
     """
     dt = float(frame_interval)
     segments = cut_lineage(segments.select("recording_id", "particle", "run_start", "piece", "r2"))
@@ -104,50 +188,57 @@ def fit_hmm(segments: DataFrame, frame_interval: float, states: tuple[int, ...]
         for a, b in zip(raw, raw[1:]):
             tied = tied | (b <= a)
         return F.array(*[F.when(tied, x * 4.0 ** (i / (k - 1))).otherwise(x) for i, x in enumerate(raw)])
-    rows = F.array(*[F.struct(
-        F.lit(k).alias("k"), initial(k).alias("D"),
-        F.array(*[F.lit(1.0 if k == 1 else 0.9 if i == j else 0.1 / (k - 1)) for i in range(k) for j in range(k)]).alias("A"),
-        F.array(*[F.lit(1.0 / k)] * k).alias("pi")) for k in states])
-    params = cut_lineage(start.select("recording_id", "n_steps", "n_segments", F.inline(rows)).withColumns({
-        "ll": F.lit(float("-inf")), "done": F.lit(False), "iterations": F.lit(0),
-        "occupancy": F.transform("pi", lambda v: v)}))
-    types = ", ".join(f"{c} {'long' if c == 'pieces' else 'double'}" for c in _PART)
+
+    def theta(k: int):
+        move = [F.lit(1.0 if k == 1 else 0.9 if i == j else 0.1 / (k - 1)) for i in range(k) for j in range(k)]
+        return F.concat(initial(k), F.array(*move, *[F.lit(1.0 / k)] * k))
+    none = F.array().cast("array<double>")
+    rows = F.array(*[F.struct(F.lit(k).alias("k"), theta(k).alias("theta")) for k in states])
+    fits = cut_lineage(start.select("recording_id", "n_steps", "n_segments", F.inline(rows)).withColumns({
+        "first": none, "second": none, "phase": F.lit(0), "ll": F.lit(float("-inf")), "done": F.lit(False), "iterations": F.lit(0),
+        "occupancy": none}))
     rec = segments.schema["recording_id"].dataType.simpleString()
+    shape = f"recording_id {rec}, n_steps long, n_segments long, {_FIT}"
+
+    def whole(segs: pd.DataFrame, todo: pd.DataFrame) -> pd.DataFrame:
+        pieces, out = _by_length(segs["r2"]), []
+        for row in todo.to_dict("records"):
+            fit = _fit_of(row)
+            while not fit["done"] and fit["iterations"] < max_iter:
+                fit = _advance(fit, _sums(pieces, fit["k"], dt, fit["theta"]), dt, tol)
+            out.append({**row, **fit})
+        return pd.DataFrame(out, columns=["recording_id", "n_steps", "n_segments", *_FIT_NAMES])
+    short = fits.where(F.col("n_steps") <= task_steps)
+    done = [segments.select("recording_id", "r2").join(short.select("recording_id").distinct(), "recording_id", "left_semi")
+            .groupBy("recording_id").cogroup(short.groupBy("recording_id")).applyInPandas(whole, shape)]
+    live = fits.where(F.col("n_steps") > task_steps)
+
+    def stepped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [{**row, **_advance(_fit_of(row), np.asarray(row["sums"]), dt, tol)} for row in pdf.to_dict("records")]
+            if out:
+                yield pd.DataFrame(out)[["recording_id", "n_steps", "n_segments", *_FIT_NAMES]]
     for _ in range(max_iter):
-        live = params.where(~F.col("done"))
         if live.isEmpty():
             break
-        fed = segments.select("recording_id", "r2").join(live.select("recording_id", "k", "D", "A", "pi"), "recording_id")
-        parts = fed.mapInPandas(lambda it: _partials(it, dt), f"recording_id {rec}, k int, {types}")
-        sums = parts.groupBy("recording_id", "k").agg(*[F.sum(c).alias(c) for c in _PART])
-        idx = lambda f: F.transform(F.sequence(F.lit(0), F.col("k") - 1), f)      # noqa: E731
-        arr = {c: F.array(*[f"{c}{i}" for i in range(MAX_STATES)]) for c in "wqg"}
-        mat = F.array(*[f"t{i}{j}" for i in range(MAX_STATES) for j in range(MAX_STATES)])
-        row_sum = lambda i: F.aggregate(F.slice(mat, i * MAX_STATES + 1, F.col("k")), F.lit(0.0), lambda a, x: a + x)
-        w_sum = F.aggregate(arr["w"], F.lit(0.0), lambda a, x: a + x)
-        # a chain of one-step pieces never moves: keep its transitions even
-        new = sums.select(
-            "recording_id", "k", F.col("ll").alias("_ll"),
-            idx(lambda i: F.greatest(F.get(arr["q"], i) / F.greatest(4 * dt * F.get(arr["w"], i), F.lit(1e-300)), F.lit(1e-9))).alias("_D"),
-            F.when(F.col("k") == 1, F.array(F.lit(1.0))).otherwise(
-                F.flatten(idx(lambda i: idx(lambda j: F.get(mat, i * MAX_STATES + j) / F.greatest(row_sum(i), F.lit(1e-300)))))).alias("_A"),
-            idx(lambda i: F.get(arr["g"], i) / F.col("pieces")).alias("_pi"),
-            idx(lambda i: F.get(arr["w"], i) / w_sum).alias("_occ"))
-        fresh = F.col("_ll").isNotNull()
-        upd = params.join(new, ["recording_id", "k"], "left")
-        params = cut_lineage(upd.select(
-            "recording_id", "n_steps", "n_segments", "k", F.coalesce("_D", "D").alias("D"), F.coalesce("_A", "A").alias("A"),
-            F.coalesce("_pi", "pi").alias("pi"), F.coalesce("_ll", "ll").alias("ll"),
-            (F.col("done") | (fresh & (F.abs(F.col("_ll") - F.col("ll")) <= tol * F.abs("_ll")))).alias("done"),
-            (F.col("iterations") + fresh.cast("int")).alias("iterations"), F.coalesce("_occ", "occupancy").alias("occupancy")))
+        moved = cut_lineage(live.join(em_sums(segments, live, dt), ["recording_id", "k"]).mapInPandas(stepped, shape))
+        done.append(moved.where("done"))
+        live = moved.where("NOT done")
+    else:
+        done.append(live)
+    params = done[0]
+    for part in done[1:]:
+        params = params.unionByName(part)
+    k = F.col("k")
+    params = cut_lineage(params).withColumns({"D": F.slice("theta", 1, k), "A": F.slice("theta", k + 1, k * k), "pi": F.slice("theta", k + k * k + 1, k)})
     order = F.transform(F.array_sort(F.transform("D", lambda x, i: F.struct(x.alias("d"), i.alias("i")))), lambda s: s["i"])
     by = lambda c: F.transform("_o", lambda i: F.get(c, i))                       # noqa: E731
-    free = F.col("k") + F.col("k") * (F.col("k") - 1) + (F.col("k") - 1)
+    free = k + k * (k - 1) + (k - 1)
     return params.withColumn("_o", order).select(
-        "recording_id", F.col("k").alias("n_states"), by("D").alias("D"),
+        "recording_id", k.alias("n_states"), by("D").alias("D"),
         F.transform("_o", lambda i: F.transform("_o", lambda j: F.get("A", i * F.col("k") + j))).alias("transition"),
         by("occupancy").alias("occupancy"), by("pi").alias("initial"), F.col("ll").alias("loglik"),
-        (-2 * F.col("ll") + free * F.log("n_steps")).alias("bic"), "n_steps", "n_segments", "iterations")
+        (-2 * F.col("ll") + free * F.log("n_steps")).alias("bic"), "n_steps", "n_segments", "iterations", F.col("done").alias("settled"))
 
 
 def diffusive_states(tracks: DataFrame, pixel_size: float, frame_interval: float, n_states: int = 3,
@@ -166,7 +257,7 @@ def diffusive_states(tracks: DataFrame, pixel_size: float, frame_interval: float
         *[F.get("D", F.lit(i)).alias(f"state_D_{s}") for i, s in enumerate(STATE_KEYS)],
         *[F.get(F.get("transition", F.lit(i)), F.lit(j)).alias(f"state_P_{a}_{b}")
           for i, a in enumerate(STATE_KEYS) for j, b in enumerate(STATE_KEYS)],
-        "state_best_n", "n_steps", "n_segments", "loglik", "bic")
+        "state_best_n", "n_steps", "n_segments", "loglik", "bic", "settled")
 
 
 # ---- jump distances -----------------------------------------------------------

@@ -28,10 +28,44 @@ def step_segments(spark, d):
 def fit_hmm(spark, d):
     segs = H.step_segments(V.tracks(spark, d), PX)
     out = H.fit_hmm(segs, DT, states=(1, 2, 3))
-    return rounded(out.select("recording_id", "n_states", "n_steps", "n_segments", "iterations", "loglik", "bic",
+    return rounded(out.select("recording_id", "n_states", "n_steps", "n_segments", "iterations", "settled", "loglik", "bic",
                               F.get("D", F.lit(0)).alias("slowest_d")), digits=4)
 
 
+# One round of two states from fixed parameters: forward and backward along every piece, then the sums.
+HMM_D, HMM_A, HMM_PI = (0.05, 0.6), (0.9, 0.1, 0.2, 0.8), (0.7, 0.3)
+HMM_SQL = STEPS + f""",
+isl AS (SELECT recording_id, particle, frame, frame - row_number() OVER (PARTITION BY recording_id, particle ORDER BY frame) AS g FROM tracks),
+st AS (SELECT recording_id, particle, frame, min(frame) OVER (PARTITION BY recording_id, particle, g) AS run_start FROM isl),
+obs AS (SELECT recording_id, particle, run_start, (s.frame - run_start) // 64 AS piece, row_number() OVER (PARTITION BY recording_id, particle, run_start, (s.frame - run_start) // 64 ORDER BY s.frame) AS t,
+          count(*) OVER (PARTITION BY recording_id, particle, run_start, (s.frame - run_start) // 64) AS n, dx*dx + dy*dy AS r2 FROM steps s JOIN st USING (recording_id, particle, frame)),
+em AS (SELECT *, exp(-r2/{4 * HMM_D[0] * DT})/(4*pi()*{HMM_D[0] * DT}) AS e0, exp(-r2/{4 * HMM_D[1] * DT})/(4*pi()*{HMM_D[1] * DT}) AS e1 FROM obs),
+fw(recording_id, particle, run_start, piece, t, f0, f1, c) AS (
+  SELECT recording_id, particle, run_start, piece, t, {HMM_PI[0]}*e0/({HMM_PI[0]}*e0 + {HMM_PI[1]}*e1), {HMM_PI[1]}*e1/({HMM_PI[0]}*e0 + {HMM_PI[1]}*e1), {HMM_PI[0]}*e0 + {HMM_PI[1]}*e1 FROM em WHERE t = 1
+  UNION ALL
+  SELECT recording_id, particle, run_start, piece, t, a/(a + b), b/(a + b), a + b FROM (
+    SELECT e.*, (f0*{HMM_A[0]} + f1*{HMM_A[2]})*e0 AS a, (f0*{HMM_A[1]} + f1*{HMM_A[3]})*e1 AS b FROM (SELECT * EXCLUDE (t), t + 1 AS t FROM fw) JOIN em e USING (recording_id, particle, run_start, piece, t))),
+bw(recording_id, particle, run_start, piece, t, b0, b1) AS (
+  SELECT recording_id, particle, run_start, piece, t, 1.0::double, 1.0::double FROM em WHERE t = n
+  UNION ALL
+  SELECT recording_id, particle, run_start, piece, t - 1, ({HMM_A[0]}*e0*b0 + {HMM_A[1]}*e1*b1)/c, ({HMM_A[2]}*e0*b0 + {HMM_A[3]}*e1*b1)/c
+  FROM bw JOIN em USING (recording_id, particle, run_start, piece, t) JOIN fw USING (recording_id, particle, run_start, piece, t) WHERE t > 1),
+occ AS (SELECT *, f0*b0 AS g0, f1*b1 AS g1 FROM em JOIN fw USING (recording_id, particle, run_start, piece, t) JOIN bw USING (recording_id, particle, run_start, piece, t)),
+mv AS (SELECT p.recording_id, sum(p.f0*{HMM_A[0]}*q.e0*q.b0/q.c) AS t00, sum(p.f0*{HMM_A[1]}*q.e1*q.b1/q.c) AS t01, sum(p.f1*{HMM_A[2]}*q.e0*q.b0/q.c) AS t10, sum(p.f1*{HMM_A[3]}*q.e1*q.b1/q.c) AS t11
+       FROM occ p JOIN occ q ON (p.recording_id, p.particle, p.run_start, p.piece, p.t + 1) = (q.recording_id, q.particle, q.run_start, q.piece, q.t) GROUP BY ALL)"""
+
+
+@query("hmm_em_step", f"""WITH RECURSIVE {HMM_SQL},
+s AS (SELECT recording_id, sum(ln(c)) AS ll, sum(g0*r2)/sum(4*{DT}*g0) AS d0, sum(g1*r2)/sum(4*{DT}*g1) AS d1, sum(g0) FILTER (t = 1)/count(*) FILTER (t = 1) AS p0 FROM occ GROUP BY ALL)
+SELECT recording_id, {rs('ll', 'd0', 'd1', 'p0')}, {r('coalesce(t00/(t00 + t01), 0.5)')} AS stay_slow, {r('coalesce(t11/(t10 + t11), 0.5)')} AS stay_fast FROM s LEFT JOIN mv USING (recording_id)""")
+def hmm_em_step(spark, d):
+    segs = H.step_segments(V.tracks(spark, d), PX)
+    fits = segs.select("recording_id").distinct().select("recording_id", F.lit(2).alias("k"), F.array(*map(F.lit, HMM_D + HMM_A + HMM_PI)).alias("theta"))
+    return rounded(H.em_step(segs, fits, DT).select(
+        "recording_id", F.col("loglik").alias("ll"), F.col("theta")[0].alias("d0"), F.col("theta")[1].alias("d1"), F.col("theta")[6].alias("p0"),
+        F.col("theta")[2].alias("stay_slow"), F.col("theta")[5].alias("stay_fast")))
+
+
 @query("diffusive_states")
 def diffusive_states(spark, d):
     return rounded(H.diffusive_states(V.tracks(spark, d), PX, DT, min_steps=20), digits=4)
