@@ -1,8 +1,4 @@
-"""Tail probabilities of the test distributions, as vectorised pandas UDFs.
-
-The plain functions work on one number; the statistics they receive are one row
-per metric and pair of groups.
-"""
+"""Normality by Royston's approximation. The tails of the other test distributions are column expressions (``tails``)."""
 from __future__ import annotations
 
 import math
@@ -11,194 +7,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
-TINY = 1e-300
-
 
 def norm_sf(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2.0))
 
 
-def beta_inc(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function by its continued fraction."""
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    if x > (a + 1.0) / (a + b + 2.0):
-        return 1.0 - beta_inc(b, a, 1.0 - x)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-                     + a * math.log(x) + b * math.log1p(-x)) / a
-    c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
-    d = 1.0 / (d if abs(d) > TINY else TINY)
-    h = d
-    for m in range(1, 400):
-        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
-                    -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1.0 + num * d
-            d = 1.0 / (d if abs(d) > TINY else TINY)
-            c = 1.0 + num / c
-            c = c if abs(c) > TINY else TINY
-            h *= d * c
-        if abs(d * c - 1.0) < 1e-15:
-            break
-    return min(max(front * h, 0.0), 1.0)
-
-
-def gamma_sf(a: float, x: float) -> float:
-    """Regularised upper incomplete gamma function."""
-    if x <= 0.0:
-        return 1.0
-    log_front = a * math.log(x) - x - math.lgamma(a)
-    if x < a + 1.0:
-        term = total = 1.0 / a
-        n = a
-        for _ in range(2000):
-            n += 1.0
-            term *= x / n
-            total += term
-            if term < total * 1e-16:
-                break
-        return min(max(1.0 - total * math.exp(log_front), 0.0), 1.0)
-    b = x + 1.0 - a
-    c, d = 1.0 / TINY, 1.0 / b
-    h = d
-    for i in range(1, 2000):
-        an = -i * (i - a)
-        b += 2.0
-        d = 1.0 / (an * d + b)
-        c = b + an / c
-        h *= d * c
-        if abs(d * c - 1.0) < 1e-15:
-            break
-    return min(max(math.exp(log_front) * h, 0.0), 1.0)
-
-
-def t_sf(t: float, df: float) -> float:
-    half = 0.5 * beta_inc(df / 2.0, 0.5, df / (df + t * t))
-    return half if t >= 0 else 1.0 - half
-
-
-def t_two_sided(t: float, df: float) -> float:
-    return beta_inc(df / 2.0, 0.5, df / (df + t * t))
-
-
-def f_sf(f: float, df1: float, df2: float) -> float:
-    if f <= 0:
-        return 1.0
-    return beta_inc(df2 / 2.0, df1 / 2.0, df2 / (df2 + df1 * f))
-
-
-def chi2_sf(x: float, df: float) -> float:
-    return gamma_sf(df / 2.0, x / 2.0)
-
-
-def t_ppf(p: float, df: float) -> float:
-    """Quantile of Student's t by bisection on the tail."""
-    lo, hi = -1e3, 1e3
-    for _ in range(200):
-        mid = 0.5 * (lo + hi)
-        if 1.0 - t_sf(mid, df) < p:
-            lo = mid
-        else:
-            hi = mid
-    return 0.5 * (lo + hi)
-
-
-def range_sf(q: float, k: float, df: float) -> float:
-    """Upper tail of the studentised range of k means with df degrees of freedom."""
-    if q <= 0:
-        return 1.0
-    gx, gw = np.polynomial.legendre.leggauss(80)
-    z = gx * 8.0
-    phi = np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
-    cdf = np.vectorize(lambda v: 1.0 - norm_sf(v))
-
-    def within(w: float) -> float:
-        inner = cdf(z) - cdf(z - w)
-        return float(k * np.sum(gw * 8.0 * phi * np.power(np.clip(inner, 0, 1), k - 1)))
-    # the pooled SD over sigma is sqrt(chi2/df); integrate over where its mass lies
-    sd = 1.0 / math.sqrt(2.0 * df)
-    lo, hi = max(1e-6, 1.0 - 9 * sd), 1.0 + 12 * sd
-    s = 0.5 * (hi - lo) * gx + 0.5 * (hi + lo)
-    log_density = (math.log(2) + (df / 2) * math.log(df / 2) - math.lgamma(df / 2)
-                   + (df - 1) * np.log(s) - df * s * s / 2)
-    p = sum(w * math.exp(d) * within(q * v) for w, d, v in zip(gw, log_density, s)) * 0.5 * (hi - lo)
-    return min(max(1.0 - p, 0.0), 1.0)
-
-
-def nct_cdf(t: float, df: float, nc: float) -> float:
-    """Non-central t by integrating the normal over the chi distribution."""
-    gx, gw = np.polynomial.legendre.leggauss(120)
-    sd = 1.0 / math.sqrt(2.0 * df)
-    lo, hi = max(1e-6, 1.0 - 9 * sd), 1.0 + 12 * sd
-    s = 0.5 * (hi - lo) * gx + 0.5 * (hi + lo)
-    log_density = (math.log(2) + (df / 2) * math.log(df / 2) - math.lgamma(df / 2)
-                   + (df - 1) * np.log(s) - df * s * s / 2)
-    cdf = np.array([1.0 - norm_sf(t * v - nc) for v in s])
-    return float(min(max(np.sum(gw * np.exp(log_density) * cdf) * 0.5 * (hi - lo), 0.0), 1.0))
-
-
-def sample_size(d: float, power: float, alpha: float = 0.05, n_max: int = 500) -> float:
-    """Smallest n per group of a two-sided t test that reaches ``power``;
-    n_max + 1 when none does."""
-    d = abs(d)
-    if d < 1e-6:
-        return n_max + 1
-
-    def reached(n: int) -> float:
-        df, nc = 2 * n - 2, d * math.sqrt(n / 2.0)
-        crit = t_ppf(1.0 - alpha / 2.0, df)
-        return 1.0 - nct_cdf(crit, df, nc) + nct_cdf(-crit, df, nc)
-    if reached(n_max) < power:
-        return n_max + 1
-    lo, hi = 1, n_max                       # power grows with n
-    while hi - lo > 1:
-        mid = (lo + hi) // 2
-        lo, hi = (lo, mid) if reached(mid) >= power else (mid, hi)
-    return hi
-
-
-def mann_whitney_p(u: float, n1: float, n2: float, ties: float) -> float:
-    """Two-sided p: exact for small samples without ties, else normal with tie
-    and continuity correction."""
-    n1, n2 = int(n1), int(n2)
-    u = max(u, n1 * n2 - u)
-    if ties == 0 and min(n1, n2) <= 8:
-        # number of ways to reach each U, one member of the first sample at a time
-        ways = np.zeros((n1 + 1, n1 * n2 + 1))
-        ways[0, 0] = 1
-        for rank in range(1, n1 + n2 + 1):
-            for i in range(min(rank, n1), 0, -1):
-                shift = rank - i
-                if shift <= n2:
-                    ways[i, shift:] += ways[i - 1, :n1 * n2 + 1 - shift]
-        tail = ways[n1, int(round(u)):].sum() / ways[n1].sum()
-        return float(min(2 * tail, 1.0))
-    n = n1 + n2
-    var = n1 * n2 / 12.0 * ((n + 1) - ties / (n * (n - 1)))
-    if var <= 0:
-        return float("nan")
-    return min(2 * norm_sf((u - n1 * n2 / 2.0 - 0.5) / math.sqrt(var)), 1.0)
-
-
-def wilcoxon_p(w_plus: float, n: float, ties: float, zeros: float) -> float:
-    """Two-sided signed-rank p: exact up to 50 differences without ties or
-    zeros, else normal."""
-    n = int(n)
-    if n == 0:
-        return float("nan")
-    total = n * (n + 1) / 2.0
-    if n <= 50 and ties == 0 and zeros == 0:
-        ways = np.zeros(int(total) + 1)
-        ways[0] = 1
-        for rank in range(1, n + 1):
-            ways[rank:] += ways[:-rank].copy()
-        w = int(round(min(w_plus, total - w_plus)))
-        return float(min(2 * ways[:w + 1].sum() / 2.0 ** n, 1.0))
-    var = n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0
-    return 2 * norm_sf(abs(w_plus - total / 2) / math.sqrt(var)) if var > 0 else float("nan")
-
-
 def shapiro_p(values: np.ndarray) -> float:
     """Shapiro–Wilk p by Royston's 1995 approximation, 3 ≤ n ≤ 5000."""
     x = np.sort(np.asarray(values, dtype=float))
@@ -254,33 +67,6 @@ def norm_ppf(p: float) -> float:
     return 0.5 * (lo + hi)
 
 
-def _column(fn, *args: Column) -> Column:
-    """Apply a scalar function to every row that has all its arguments."""
-    @F.pandas_udf("double")
-    def apply(*columns: pd.Series) -> pd.Series:
-        out = []
-        for row in zip(*columns):
-            known = all(v is not None and v == v for v in row)
-            p = fn(*row) if known else None
-            out.append(None if p is None or p != p else float(p))
-        return pd.Series(out, dtype="object")
-    return apply(*args)
-
-
-def norm_sf_col(z): return _column(norm_sf, z)
-def t_two_sided_col(t, df): return _column(t_two_sided, t, df)
-def t_sf_col(t, df): return _column(t_sf, t, df)
-def f_sf_col(f, df1, df2): return _column(f_sf, f, df1, df2)
-def chi2_sf_col(x, df): return _column(chi2_sf, x, df)
-def range_sf_col(q, k, df): return _column(range_sf, q, k, df)
-def mann_whitney_col(u, n1, n2, ties): return _column(mann_whitney_p, u, n1, n2, ties)
-def wilcoxon_col(w, n, ties, zeros): return _column(wilcoxon_p, w, n, ties, zeros)
-
-
-def sample_size_col(d, power: float):
-    return _column(lambda v: sample_size(v, power), d).cast("int")
-
-
 def shapiro_col(values: Column) -> Column:
     @F.pandas_udf("double")
     def apply(arrays: pd.Series) -> pd.Series:

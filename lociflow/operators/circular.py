@@ -5,7 +5,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from lociflow.functions.dist import chi2_sf_col, f_sf_col, norm_sf_col
+from lociflow.functions.tails import chi2_sf, f_sf, norm_sf
 from lociflow.functions.distribution import RANGES, distribution
 from lociflow.schema import TRACK_KEY
 
@@ -62,7 +62,7 @@ def circular_stats(angles: DataFrame, by: Sequence[str] = ("recording_id",),
         put(z, "rayleigh_z"),
         put(F.when(log_p < -700, 1e-300).otherwise(F.least(F.exp(log_p), F.lit(1.0))), "rayleigh_p"),
         put(F.col("vz"), "v_test_z"),
-        put(F.greatest(norm_sf_col(F.col("vz")), F.lit(1e-300)), "v_test_p"),
+        put(F.greatest(norm_sf(F.col("vz")), F.lit(1e-300)), "v_test_p"),
         put(F.col("b2") / F.pow(spread, 1.5), "circular_skewness"),
         put((F.col("a2") - F.pow(R, 4)) / F.pow(spread, 2), "circular_kurtosis"),
         F.when(ci, F.degrees(mu) - half).alias("ci95_lower_deg"),
@@ -138,7 +138,7 @@ def circular_linear_correlation(df: DataFrame, by: Sequence[str], angle: str, x:
     out = ok.withColumn("r2", F.least(F.greatest(r2, F.lit(0.0)), F.lit(1.0)))
     stat = F.col("n") * F.col("r2")
     return out.select(*by, "n", F.sqrt("r2").alias("r"), "r2", stat.alias("test_stat"),
-                      F.greatest(chi2_sf_col(stat, F.lit(2.0)), F.lit(1e-300)).alias("p"))
+                      F.greatest(chi2_sf(stat, F.lit(2.0)), F.lit(1e-300)).alias("p"))
 
 
 def watson_williams(df: DataFrame, by: Sequence[str], group: str, angle: str) -> DataFrame:
@@ -158,6 +158,6 @@ def watson_williams(df: DataFrame, by: Sequence[str], group: str, angle: str) ->
     out = tot.where(below > 0).withColumns({
         "F": fix * (n - k) * (F.col("sum_r") - F.col("rp")) / below, "df1": k - 1, "df2": n - k})
     return out.select(*by, "k", "n_total", "F", "df1", "df2",
-                      F.greatest(f_sf_col(F.col("F"), F.col("df1"), F.col("df2")), F.lit(1e-300)).alias("p"),
+                      F.greatest(f_sf(F.col("F"), F.col("df1"), F.col("df2")), F.lit(1e-300)).alias("p"),
                       "kappa_pooled", "R_bar_pooled",
                       ((F.col("kappa_pooled") >= 2) & (F.col("R_bar_pooled") >= 0.45)).alias("valid"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from lociflow.functions import dist
+from lociflow.functions import dist, tails
 from lociflow.functions.distribution import distribution, mid_rank
 from lociflow.session import cut_lineage
 
@@ -75,7 +75,7 @@ def welch_t(values: DataFrame) -> DataFrame:
         "t": F.try_divide(diff, F.sqrt(si + sj)),
         "df": F.try_divide(F.pow(si + sj, 2), si * si / (F.col("n_i") - 1) + sj * sj / (F.col("n_j") - 1))})
     return p.select("metric", I, J, "n_i", "n_j", "mean_i", "mean_j", "t", "df",
-                    dist.t_two_sided_col(F.col("t"), F.col("df")).alias("p"))
+                    tails.t_two_sided(F.col("t"), F.col("df")).alias("p"))
 
 
 def oneway_anova(values: DataFrame) -> DataFrame:
@@ -91,7 +91,7 @@ def oneway_anova(values: DataFrame) -> DataFrame:
     out = out.withColumn("F", F.try_divide(F.col("ss_between") / F.col("df1"), F.col("ss_within") / F.col("df2")))
     return out.select("metric", "k", "total", "F", "df1", "df2", "ss_between", "ss_within",
                       F.try_divide("ss_between", F.col("ss_between") + F.col("ss_within")).alias("eta_sq"),
-                      dist.f_sf_col(F.col("F"), F.col("df1"), F.col("df2")).alias("p"))
+                      tails.f_sf(F.col("F"), F.col("df1"), F.col("df2")).alias("p"))
 
 
 def welch_anova(values: DataFrame) -> DataFrame:
@@ -110,7 +110,7 @@ def welch_anova(values: DataFrame) -> DataFrame:
         "F": (F.col("a") / (k - 1)) / (1 + 2 * (k - 2) / (k * k - 1) * F.col("s")),
         "df1": k - 1, "df2": (k * k - 1) / (3 * F.col("s"))})
     return sums.select("metric", "k", "F", "df1", "df2",
-                       dist.f_sf_col(F.col("F"), F.col("df1"), F.col("df2")).alias("p"))
+                       tails.f_sf(F.col("F"), F.col("df1"), F.col("df2")).alias("p"))
 
 
 def rank_sums(values: DataFrame, by: list[str]) -> DataFrame:
@@ -147,7 +147,7 @@ def mann_whitney(values: DataFrame) -> DataFrame:
     delta = 2 * F.col("U") / (F.col("n_i") * F.col("n_j")) - 1
     both = (F.col("n_i") >= 2) & (F.col("n_j") >= 2)
     return u.select(*key, "n_i", "n_j", "U", "ties",
-                    F.when(both, dist.mann_whitney_col(F.col("U"), F.col("n_i"), F.col("n_j"), F.col("ties"))).alias("p"),
+                    F.when(both, tails.mann_whitney(F.col("U"), F.col("n_i"), F.col("n_j"), F.col("ties"))).alias("p"),
                     F.when(both, delta).alias("cliffs_delta"), delta.alias("rank_biserial"))
 
 
@@ -163,7 +163,7 @@ def kruskal(values: DataFrame) -> DataFrame:
     h = h.withColumn("H", F.try_divide(raw, 1 - F.col("ties") / (F.pow(n, 3) - n)))
     eps = F.when((n > F.col("k")) & F.col("H").isNotNull(), F.least(F.greatest((F.col("H") - F.col("k") + 1) / (n - F.col("k")), F.lit(0.0)), F.lit(1.0)))
     return h.select("metric", "k", "total", "H", eps.alias("epsilon_sq"),
-                    dist.chi2_sf_col(F.col("H"), F.col("k") - 1).alias("p"))
+                    tails.chi2_sf(F.col("H"), F.col("k") - 1).alias("p"))
 
 
 def brunner_munzel(values: DataFrame) -> DataFrame:
@@ -184,7 +184,7 @@ def brunner_munzel(values: DataFrame) -> DataFrame:
         "W": F.try_divide(F.col("n_i") * F.col("n_j") * (F.col("mr_j") - F.col("mr_i")),
                           (F.col("n_i") + F.col("n_j")) * F.sqrt(a + b)),
         "df": F.try_divide(F.pow(a + b, 2), a * a / (F.col("n_i") - 1) + b * b / (F.col("n_j") - 1))})
-    return w.select(*key, "n_i", "n_j", "W", "df", dist.t_two_sided_col(F.col("W"), F.col("df")).alias("p"))
+    return w.select(*key, "n_i", "n_j", "W", "df", tails.t_two_sided(F.col("W"), F.col("df")).alias("p"))
 
 
 def _spread(g: DataFrame, key: list[str], names: tuple[str, ...]) -> DataFrame:
@@ -203,8 +203,12 @@ def _indexed(values: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _hash01(*parts) -> Column:
-    """A reproducible number in [0, 1) from its arguments."""
-    return F.pmod(F.xxhash64(*parts), F.lit(2 ** 52)) / float(2 ** 52)
+    """A reproducible number in [0, 1) from its arguments: 52 bits of their MD5, which any engine has."""
+    return F.conv(F.substring(_hash(*parts), 1, 13), 16, 10).cast("long") / float(2 ** 52)
+
+
+def _hash(*parts) -> Column:
+    return F.md5(F.concat_ws("|", *((F.col(p) if isinstance(p, str) else p).cast("string") for p in parts)))
 
 
 def permutation_test(values: DataFrame, draws: int = 9999, seed: int = 0) -> DataFrame:
@@ -217,8 +221,7 @@ def permutation_test(values: DataFrame, draws: int = 9999, seed: int = 0) -> Dat
     base = n_i.join(n_all, key).where("n_i >= 2 AND n - n_i >= 2")
     drawn = v.join(base.select(*key), key, "left_semi").withColumn(
         "draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    drawn = drawn.select(*key, "draw", F.col("value"), F.xxhash64(
-        F.lit(seed), "draw", F.col("metric").cast("string"), F.col("group").cast("string"), "idx").alias("value_key"))
+    drawn = drawn.select(*key, "draw", F.col("value"), _hash(F.lit(seed), "draw", "metric", "group", "idx").alias("value_key"))
     # a draw's rows are as many as the two groups have recordings
     order = drawn.withColumn("n_below", F.row_number().over(
         W.partitionBy(*key, "draw").orderBy("value_key", "value")) - 1)
@@ -278,32 +281,44 @@ def effect_sizes(values: DataFrame) -> DataFrame:
 
 
 def bootstrap_ci(values: DataFrame, resamples: int = 2000, level: float = 0.95, seed: int = 0) -> DataFrame:
-    """Percentile interval of Hedges' g from seeded resamples of either group."""
+    """Percentile intervals of Hedges' g and Cliff's δ from the same seeded resamples of either group.
+
+    A resample is one row per distinct value and how often each group drew it; δ is a sum over
+    these of draws below and above, so no pairs of values arise.
+    """
     key = ["metric", I, J]
     v = _indexed(_per_pair(values), [*key, "group"])
     slots = v.select(*key, "group", F.col("idx").alias("slot"), "n").withColumn(
         "resample", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-    pick = F.floor(_hash01(F.lit(seed), "resample", F.col("metric").cast("string"),
-                           F.col("group").cast("string"), "slot") * F.col("n"))
+    pick = F.floor(_hash01(F.lit(seed), "resample", "metric", "group", "slot") * F.col("n"))
     drawn = slots.select(*key, "group", "resample", pick.alias("idx")).join(
         v.select(*key, "group", "idx", "value"), [*key, "group", "idx"])
-    m = drawn.groupBy(*key, "resample", "group").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.var_samp("value").alias("var"))
-    pair = _spread(m, [*key, "resample"], ("n", "mean", "var")).where("n_i >= 2 AND n_j >= 2")
-    pair = pair.withColumn("sp", pooled_sd()).where("sp > 0")
-    g = ((F.col("mean_i") - F.col("mean_j")) / F.col("sp")
-         * (1 - 3 / (4 * (F.col("n_i") + F.col("n_j") - 2) - 1)))
+    first = F.col("group") == F.col(I)
+    held = drawn.groupBy(*key, "resample", "value").agg(F.count_if(first).alias("c_i"), F.count_if(~first).alias("c_j"))
+    # as many rows as a resample has distinct values
+    below = F.sum("c_j").over(W.partitionBy(*key, "resample").orderBy("value").rowsBetween(W.unboundedPreceding, 0)) - F.col("c_j")
+    held = held.withColumn("below", below)
+    x = F.col("value")
+    m = held.groupBy(*key, "resample").agg(
+        *[F.sum(f"c_{s}").alias(f"n_{s}") for s in "ij"], *[(F.sum(F.col(f"c_{s}") * x) / F.sum(f"c_{s}")).alias(f"mean_{s}") for s in "ij"],
+        F.sum(F.col("c_i") * (2 * F.col("below") + F.col("c_j"))).alias("wins"))
+    spread = held.join(m, [*key, "resample"]).groupBy(*key, "resample").agg(
+        *[F.try_divide(F.sum(F.col(f"c_{s}") * F.pow(x - F.col(f"mean_{s}"), 2)), F.first(f"n_{s}") - 1).alias(f"var_{s}") for s in "ij"])
+    pair = m.join(spread, [*key, "resample"]).where("n_i >= 2 AND n_j >= 2").withColumn("sp", pooled_sd())
+    g = F.when(F.col("sp") > 0, (F.col("mean_i") - F.col("mean_j")) / F.col("sp")
+               * (1 - 3 / (4 * (F.col("n_i") + F.col("n_j") - 2) - 1)))
+    delta = F.col("wins") / (F.col("n_i") * F.col("n_j")) - 1
     tail = (1 - level) / 2
     # one value per resample: the group is as large as ``resamples``, never the data
     return pair.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("resamples"), F.percentile(g, F.lit(tail)).alias("hedges_g_ci_low"),
-        F.percentile(g, F.lit(1 - tail)).alias("hedges_g_ci_high"))
+        F.count(g).alias("resamples"), *[F.percentile(c, F.lit(q)).alias(f"{n}_ci_{end}") for n, c in (("hedges_g", g), ("cliffs_delta", delta))
+                                         for end, q in (("low", tail), ("high", 1 - tail))])
 
 
 def needed_sample_size(values: DataFrame) -> DataFrame:
     e = effect_sizes(values)
-    return e.select("metric", I, J, "cohens_d", dist.sample_size_col(F.col("cohens_d"), 0.80).alias("n_needed_80"),
-                    dist.sample_size_col(F.col("cohens_d"), 0.90).alias("n_needed_90"))
+    return e.select("metric", I, J, "cohens_d", tails.sample_size(F.col("cohens_d"), 0.80).alias("n_needed_80"),
+                    tails.sample_size(F.col("cohens_d"), 0.90).alias("n_needed_90"))
 
 
 def tost(values: DataFrame, margin_sd: float = 0.5, alpha: float = 0.05) -> DataFrame:
@@ -314,8 +329,8 @@ def tost(values: DataFrame, margin_sd: float = 0.5, alpha: float = 0.05) -> Data
     p = p.withColumns({
         "df": F.pow(si + sj, 2) / (si * si / (F.col("n_i") - 1) + sj * sj / (F.col("n_j") - 1)),
         "t_lower": (diff + bound) / F.sqrt(si + sj), "t_upper": (diff - bound) / F.sqrt(si + sj)})
-    p = p.withColumn("p", F.greatest(dist.t_sf_col(F.col("t_lower"), F.col("df")),
-                                     dist.t_sf_col(-F.col("t_upper"), F.col("df"))))
+    p = p.withColumn("p", F.greatest(tails.t_sf(F.col("t_lower"), F.col("df")),
+                                     tails.t_sf(-F.col("t_upper"), F.col("df"))))
     return p.select("metric", I, J, "df", "t_lower", "t_upper", "p", (F.col("p") < alpha).alias("equivalent"))
 
 
@@ -332,7 +347,7 @@ def posthoc(values: DataFrame, method: str) -> DataFrame:
         z = F.try_divide(F.col("mr_i") - F.col("mr_j"), F.sqrt(s2 * (1 / F.col("n_i") + 1 / F.col("n_j"))))
         return p.withColumn("statistic", z).select(
             "metric", I, J, "statistic", F.lit(None).cast("double").alias("df"),
-            (2 * dist.norm_sf_col(F.abs("statistic"))).alias("p"))
+            (2 * tails.norm_sf(F.abs("statistic"))).alias("p"))
     m = group_moments(values).where("n >= 2")
     fam = m.groupBy("metric").agg(
         F.count(F.lit(1)).alias("k"), (F.sum("n") - F.count(F.lit(1))).alias("dfw"),
@@ -349,7 +364,7 @@ def posthoc(values: DataFrame, method: str) -> DataFrame:
     else:
         raise ValueError(f"unknown post-hoc method {method!r}")
     return p.withColumns({"statistic": q, "df": df}).select(
-        "metric", I, J, "statistic", "df", dist.range_sf_col(F.col("statistic"), F.col("k"), F.col("df")).alias("p"))
+        "metric", I, J, "statistic", "df", tails.range_sf(F.col("statistic"), F.col("k"), F.col("df")).alias("p"))
 
 
 def dunnett(values: DataFrame, control: str, draws: int = 20000, seed: int = 0) -> DataFrame:
@@ -368,13 +383,12 @@ def dunnett(values: DataFrame, control: str, draws: int = 20000, seed: int = 0)
         u1, u2 = 1 - _hash01(*parts, F.lit("a")), _hash01(*parts, F.lit("b"))
         return F.sqrt(-2 * F.log(u1)) * F.cos(u2 * 6.283185307179586)
     # chi-square of the pooled variance by the cube-root normal approximation
-    name = F.col("metric").cast("string")
     null = t.select("metric", "group", "n", "n_c", "dfw").withColumn(
         "draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    zc = gauss(F.lit(seed), "draw", name, F.lit("control"))
-    zg = gauss(F.lit(seed), "draw", name, F.col("group").cast("string"))
+    zc = gauss(F.lit(seed), "draw", "metric", F.lit("control"))
+    zg = gauss(F.lit(seed), "draw", "metric", F.concat(F.lit("group "), F.col("group").cast("string")))
     v = F.col("dfw")
-    chi = F.pow(1 - 2 / (9 * v) + gauss(F.lit(seed), "draw", name, F.lit("scale")) * F.sqrt(2 / (9 * v)), 3)
+    chi = F.pow(1 - 2 / (9 * v) + gauss(F.lit(seed), "draw", "metric", F.lit("scale")) * F.sqrt(2 / (9 * v)), 3)
     null_t = F.abs(zg / F.sqrt(F.col("n")) - zc / F.sqrt(F.col("n_c"))) / F.sqrt(
         F.greatest(chi, F.lit(1e-12)) * (1 / F.col("n") + 1 / F.col("n_c")))
     worst = null.groupBy("metric", "draw").agg(F.max(null_t).alias("worst"))
@@ -423,8 +437,8 @@ def paired_test(diffs: DataFrame) -> DataFrame:
     dz = F.when(F.col("sd") > 0, F.col("mean_diff") / F.col("sd"))
     return out.select(*key, "n", "mean_diff", "t", (F.col("n") - 1).alias("df"), "w_plus",
                       (dz * (1 - 3 / (4 * (F.col("n") - 1) - 1.0))).alias("paired_hedges_g"),
-                      dist.t_two_sided_col(F.col("t"), (F.col("n") - 1)).alias("p_t"),
-                      dist.wilcoxon_col(F.col("w_plus"), F.col("n_nonzero"), F.col("ties"), F.col("zeros")).alias("p_wilcoxon"))
+                      tails.t_two_sided(F.col("t"), (F.col("n") - 1)).alias("p_t"),
+                      tails.wilcoxon(F.col("w_plus"), F.col("n_nonzero"), F.col("ties"), F.col("zeros")).alias("p_wilcoxon"))
 
 
 def ks_two_sample(values: DataFrame) -> DataFrame:
@@ -497,7 +511,14 @@ def compare_metrics(values: DataFrame, config: dict | None = None) -> tuple[Data
         other = (brunner_munzel(v) if which == "brunner_munzel" else permutation_test(v)).select(*key, F.col("p").alias("_pn"))
         ranks = ranks.drop("_pn").join(other, key, "left")
     pairs = (group_pairs(group_moments(v)).join(gate, "metric").join(welch, key, "left").join(ranks, key, "left")
-             .join(effect_sizes(v).select(*key, "cohens_d", "hedges_g"), key, "left"))
+             .join(effect_sizes(v).select(*key, "cohens_d", "hedges_g"), key, "left")
+             .join(bootstrap_ci(v, level=cfg["ci_level"]).drop("resamples"), key, "left")
+             .join(needed_sample_size(v).drop("cohens_d"), key, "left"))
+    if cfg["equivalence_tost"]:
+        same = tost(v, cfg["tost_margin"], alpha).select(*key, F.col("p").alias("tost_p"), F.col("equivalent").alias("tost_equivalent"))
+        pairs = pairs.join(same, key, "left")
+    else:
+        pairs = pairs.withColumns({"tost_p": F.lit(None).cast("double"), "tost_equivalent": F.lit(None).cast("boolean")})
     small = (F.col("n_i") < 2) | (F.col("n_j") < 2)
     weak = (F.col("n_i") < 3) | (F.col("n_j") < 3)
     pairs = pairs.withColumns({
@@ -525,8 +546,12 @@ def compare_metrics(values: DataFrame, config: dict | None = None) -> tuple[Data
         *key, "test", "p", raw.alias("stars"), "p_corrected",
         F.when(raw == "", "").otherwise(stars(F.col("p_corrected"), alpha)).alias("stars_corrected"), "note",
         "n_i", "n_j", "mean_i", "mean_j", sem["i"], sem["j"], "cohens_d", "hedges_g", "cliffs_delta",
-        "rank_biserial", "self_corrected")
-    two = (pairwise.join(sizes.where("k = 2"), "metric", "left_semi").where("n_i >= 2 AND n_j >= 2")
+        "rank_biserial", "self_corrected", "hedges_g_ci_low", "hedges_g_ci_high", "cliffs_delta_ci_low", "cliffs_delta_ci_high",
+        "n_needed_80", "n_needed_90", "tost_p", "tost_equivalent", F.lit("pairwise").alias("family"))
+    every_pair = pairwise
+    if cfg["dunnett"] and cfg["control_group"]:
+        pairwise = pairwise.unionByName(_against_control(v, cfg, pairwise))
+    two = (every_pair.join(sizes.where("k = 2"), "metric", "left_semi").where("n_i >= 2 AND n_j >= 2")
            .select("metric", "test", "p", F.lit(None).cast("double").alias("effect_size")))
     one = oneway_anova(v).select("metric", F.col("p").alias("_po"), "eta_sq")
     wa = welch_anova(v.join(valid, ["metric", "group"], "left_semi")).select("metric", F.col("p").alias("_pw"))
@@ -548,6 +573,28 @@ def compare_metrics(values: DataFrame, config: dict | None = None) -> tuple[Data
     return omnibus, pairwise
 
 
+def _against_control(v: DataFrame, cfg: dict, pairwise: DataFrame) -> DataFrame:
+    """Rows of the many-to-one family: every group as i against the control as j, in the columns of the ordinary pairs."""
+    d = dunnett(v, cfg["control_group"]).select("metric", F.col("group").alias("g"), F.col("control").alias("c"), F.col("p").alias("_p"))
+    turned = F.col("g") > F.col("c")
+    met = d.withColumns({I: F.when(turned, F.col("c")).otherwise(F.col("g")), J: F.when(turned, F.col("g")).otherwise(F.col("c"))}).join(pairwise, ["metric", I, J])
+
+    def side(name, i, j):
+        return F.when(turned, F.col(f"{name}_{j}")).otherwise(F.col(f"{name}_{i}")).alias(f"{name}_{i}")
+    sign = F.when(turned, -1.0).otherwise(1.0)
+    weak = (F.col("n_i") < 3) | (F.col("n_j") < 3)
+    mark = F.when(weak, "").otherwise(stars(F.col("_p"), cfg["alpha"]))
+    made = {"group_i": F.col("g"), "group_j": F.col("c"), "test": F.lit("Dunnett"), "p": F.col("_p"), "p_corrected": F.col("_p"), "stars": mark,
+            "stars_corrected": mark, "note": F.when(weak, F.col("note")).otherwise("vs control"), "self_corrected": F.lit(True), "family": F.lit("dunnett"),
+            **{n: side(n[:-2], n[-1], "j" if n[-1] == "i" else "i") for n in ("n_i", "n_j", "mean_i", "mean_j", "sem_i", "sem_j")},
+            **{n: sign * F.col(n) for n in ("cohens_d", "hedges_g", "cliffs_delta", "rank_biserial")},
+            "cliffs_delta_ci_low": F.when(turned, -F.col("cliffs_delta_ci_high")).otherwise(F.col("cliffs_delta_ci_low")),
+            "cliffs_delta_ci_high": F.when(turned, -F.col("cliffs_delta_ci_low")).otherwise(F.col("cliffs_delta_ci_high"))}
+    empty = ("hedges_g_ci_low", "hedges_g_ci_high", "n_needed_80", "n_needed_90", "tost_p", "tost_equivalent")
+    return met.select(*[made[c].alias(c) if c in made else F.lit(None).cast(pairwise.schema[c].dataType).alias(c) if c in empty else F.col(c)
+                        for c in pairwise.columns])
+
+
 def mixed_anova(values: DataFrame) -> DataFrame:
     """Group (between) × time point (within) ANOVA on complete cells, per metric.
 
@@ -591,8 +638,8 @@ def mixed_anova(values: DataFrame) -> DataFrame:
         row("timepoint", "ss_t", "df_t", "ss_e", "df_e", True),
         row("interaction", "ss_i", "df_i", "ss_e", "df_e", True))))
     return rows.withColumns({
-        "p_unc": dist.f_sf_col(F.col("F"), F.col("df1"), F.col("df2")),
-        "p_GG": dist.f_sf_col(F.col("F"), F.col("df1") * F.col("eps"), F.col("df2") * F.col("eps"))})
+        "p_unc": tails.f_sf(F.col("F"), F.col("df1"), F.col("df2")),
+        "p_GG": tails.f_sf(F.col("F"), F.col("df1") * F.col("eps"), F.col("df2") * F.col("eps"))})
 
 
 def greenhouse_geisser(v: DataFrame) -> DataFrame:

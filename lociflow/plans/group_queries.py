@@ -7,10 +7,11 @@ from lociflow import recipes as V
 from lociflow.operators import circular as C, diffusion as D, group_stats as G, steps as S, summary as M
 from lociflow.operators import tracks as K
 from lociflow.plans.catalog import query, r, rounded, rs
+from lociflow.plans.sql_tails import chi2_sql, f_sql, mann_whitney_sql, normal_sql, range_sql, t_sql, wilcoxon_sql
 from lociflow.session import cut_lineage
 from lociflow.plans.sql_views import DIFFUSION, FIT, PAIRS, STEPS
 from lociflow.plans.track_queries import ANGLES, diffusion
-from lociflow.recipes import FRAME_INTERVAL as DT, PIXEL_SIZE as PX, SQL_ASSIGN, SQL_TRACKS
+from lociflow.recipes import FRAME_INTERVAL as DT, PIXEL_SIZE as PX, SQL_ASSIGN, SQL_LOCS, SQL_TRACKS
 
 
 def scalars(spark, d):
@@ -56,40 +57,51 @@ def group_pairs(spark, d):
     return rounded(G.group_pairs(G.group_moments(scalars(spark, d))))
 
 
-@query("welch_t", f"""WITH {VALUES} SELECT metric, group_i, group_j, n_i, n_j, {r(WELCH_T)} AS t, {r(WELCH_DF)} AS df
-FROM pairs_of""")
+WELCH = f"""
+welch AS (SELECT metric, group_i, group_j, n_i, n_j, mean_i, mean_j, var_i, var_j, sp, {WELCH_T} AS t, {WELCH_DF} AS df FROM pairs_of)"""
+
+
+@query("welch_t", f"""WITH {VALUES}, {WELCH} SELECT metric, group_i, group_j, n_i, n_j, {rs('t', 'df')}, {r(t_sql('t', 'df'))} AS p FROM welch""")
 def welch_t(spark, d):
-    return rounded(G.welch_t(scalars(spark, d)).select("metric", "group_i", "group_j", "n_i", "n_j", "t", "df"))
+    return rounded(G.welch_t(scalars(spark, d)).select("metric", "group_i", "group_j", "n_i", "n_j", "t", "df", "p"))
 
 
-@query("welch_t_pvalues")
+@query("welch_t_pvalues", f"""WITH {VALUES}, {WELCH} SELECT metric, group_i, group_j, n_i, n_j, {rs('mean_i', 'mean_j', 't', 'df')}, {r(t_sql('t', 'df'))} AS p FROM welch""")
 def welch_t_pvalues(spark, d):
     return rounded(G.welch_t(scalars(spark, d)))
 
 
 @query("oneway_anova", f"""WITH {VALUES},
 tot AS (SELECT metric, count(*) AS k, sum(n)::BIGINT AS total, sum(n*mean)/sum(n) AS grand, sum((n-1)*var) AS ssw FROM moments GROUP BY ALL),
-b AS (SELECT t.metric, k, total, ssw, sum(n*(mean-grand)**2) AS ssb FROM tot t JOIN moments USING (metric) GROUP BY ALL)
-SELECT metric, k, total, k - 1 AS df1, total - k AS df2, {r('(ssb/(k-1))/(ssw/(total-k))')} AS F,
-  {r('ssb/(ssb+ssw)')} AS eta_sq FROM b""")
+b AS (SELECT t.metric, k, total, ssw, sum(n*(mean-grand)**2) AS ssb FROM tot t JOIN moments USING (metric) GROUP BY ALL),
+f AS (SELECT metric, k, total, k - 1 AS df1, total - k AS df2, (ssb/(k-1))/(ssw/(total-k)) AS F, ssb/(ssb+ssw) AS eta_sq FROM b)
+SELECT metric, k, total, df1, df2, {rs('F', 'eta_sq')}, {r(f_sql('F', 'df1', 'df2'))} AS p FROM f""")
 def oneway_anova(spark, d):
-    return rounded(G.oneway_anova(scalars(spark, d)).drop("p", "ss_between", "ss_within"))
+    return rounded(G.oneway_anova(scalars(spark, d)).drop("ss_between", "ss_within"))
 
 
 @query("welch_anova", f"""WITH {VALUES},
 w AS (SELECT *, n / var AS w FROM moments), t AS (SELECT metric, count(*) AS k, sum(w) AS W_, sum(w*mean)/sum(w) AS c FROM w GROUP BY ALL),
-s AS (SELECT metric, k, sum(w*(mean-c)**2) AS a, sum((1 - w/W_)**2/(n-1)) AS s FROM w JOIN t USING (metric) GROUP BY ALL)
-SELECT metric, k, k - 1 AS df1, {r('(a/(k-1)) / (1 + 2.0*(k-2)/(k*k-1)*s)')} AS F, {r('(k*k-1)/(3*s)')} AS df2 FROM s""")
+s AS (SELECT metric, k, sum(w*(mean-c)**2) AS a, sum((1 - w/W_)**2/(n-1)) AS s FROM w JOIN t USING (metric) GROUP BY ALL),
+f AS (SELECT metric, k, k - 1 AS df1, (a/(k-1)) / (1 + 2.0*(k-2)/(k*k-1)*s) AS F, (k*k-1)/(3*s) AS df2 FROM s)
+SELECT metric, k, df1, {rs('F', 'df2')}, {r(f_sql('F', 'df1', 'df2'))} AS p FROM f""")
 def welch_anova(spark, d):
-    return rounded(G.welch_anova(scalars(spark, d)).drop("p"))
+    return rounded(G.welch_anova(scalars(spark, d)))
 
 
-@query("mann_whitney", f"""WITH {VALUES} SELECT metric, group_i, group_j, n_i, n_j, U, {r('2*U/(n_i*n_j) - 1')} AS rank_biserial FROM u_of""")
+RANK_TEST = """
+tied AS (SELECT metric, group_i, group_j, sum(t*t*t - t)::double AS ties FROM (SELECT metric, group_i, group_j, value, count(*) AS t FROM both_of GROUP BY ALL) GROUP BY ALL),
+mw AS (SELECT * FROM u_of JOIN tied USING (metric, group_i, group_j))"""
+
+
+@query("mann_whitney", f"""WITH {VALUES}, {RANK_TEST} SELECT metric, group_i, group_j, n_i, n_j, U, {r('2*U/(n_i*n_j) - 1')} AS rank_biserial,
+{r(mann_whitney_sql('U', 'n_i', 'n_j', 'ties'))} AS p FROM mw""")
 def mann_whitney(spark, d):
-    return rounded(G.mann_whitney(scalars(spark, d)).drop("p", "ties", "cliffs_delta"))
+    return rounded(G.mann_whitney(scalars(spark, d)).drop("ties", "cliffs_delta"))
 
 
-@query("mann_whitney_pvalues")
+@query("mann_whitney_pvalues", f"""WITH {VALUES}, {RANK_TEST} SELECT metric, group_i, group_j, n_i, n_j, U, ties, {r(mann_whitney_sql('U', 'n_i', 'n_j', 'ties'))} AS p,
+{r('2*U/(n_i*n_j) - 1')} AS cliffs_delta, {r('2*U/(n_i*n_j) - 1')} AS rank_biserial FROM mw""")
 def mann_whitney_pvalues(spark, d):
     return rounded(G.mann_whitney(scalars(spark, d)))
 
@@ -100,9 +112,9 @@ h AS (SELECT metric, count(*) AS k, total, ties, (12.0/(total*(total+1))*sum(ran
 
 
 @query("kruskal", f"""WITH {VALUES}, {KRUSKAL} SELECT metric, k, total::BIGINT AS total, {rs('H')},
-{r('CASE WHEN H IS NOT NULL THEN least(greatest((H - k + 1)/(total - k), 0), 1) END')} AS epsilon_sq FROM h""")
+{r('CASE WHEN H IS NOT NULL THEN least(greatest((H - k + 1)/(total - k), 0), 1) END')} AS epsilon_sq, {r(chi2_sql('H', '(k - 1)'))} AS p FROM h""")
 def kruskal(spark, d):
-    return rounded(G.kruskal(scalars(spark, d)).drop("p"))
+    return rounded(G.kruskal(scalars(spark, d)))
 
 
 @query("brunner_munzel", f"""WITH {VALUES},
@@ -111,13 +123,29 @@ wi AS (SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY metric, group_i, g
 a AS (SELECT metric, group_i, group_j, g, count(*) AS n, avg(rk) AS mr, var_samp(rk - rw) AS s2 FROM wi GROUP BY ALL),
 p AS (SELECT i.metric, i.group_i, i.group_j, i.n AS n_i, j.n AS n_j, i.mr AS mi, j.mr AS mj, i.n*i.s2 AS vi, j.n*j.s2 AS vj
       FROM a i JOIN a j ON i.metric=j.metric AND i.group_i=j.group_i AND i.group_j=j.group_j AND i.g=i.group_i AND j.g=j.group_j)
-SELECT metric, group_i, group_j, n_i, n_j, {r('n_i*n_j*(mj-mi)/((n_i+n_j)*sqrt(vi+vj))')} AS W,
- {r('(vi+vj)**2/(vi**2/(n_i-1)+vj**2/(n_j-1))')} AS df FROM p""")
+, w AS (SELECT metric, group_i, group_j, n_i, n_j, n_i*n_j*(mj-mi)/((n_i+n_j)*sqrt(vi+vj)) AS W, (vi+vj)**2/(vi**2/(n_i-1)+vj**2/(n_j-1)) AS df FROM p)
+SELECT metric, group_i, group_j, n_i, n_j, {rs('W', 'df')}, {r(t_sql('W', 'df'))} AS p FROM w""")
 def brunner_munzel(spark, d):
-    return rounded(G.brunner_munzel(scalars(spark, d)).drop("p"))
+    return rounded(G.brunner_munzel(scalars(spark, d)))
+
 
+# Draws are numbered by the MD5 of what they belong to, so both engines draw alike.
+INDEXED = """
+idx AS (SELECT *, row_number() OVER (PARTITION BY metric, group_i, group_j, g ORDER BY value) - 1 AS idx FROM both_of)"""
 
-@query("permutation_test")
+
+def hash01(text: str) -> str:
+    return f"(('0x' || substr(md5({text}), 1, 13))::BIGINT / 4503599627370496.0)"
+
+
+@query("permutation_test", f"""WITH {VALUES}, {INDEXED},
+dr AS (SELECT i.*, d, row_number() OVER (PARTITION BY metric, group_i, group_j, d ORDER BY md5('0|' || d || '|' || metric || '|' || g || '|' || idx), value) AS place
+       FROM idx i, (SELECT unnest(range(1, 10000)) AS d)),
+su AS (SELECT metric, group_i, group_j, d, n_i, n_j, sum(value) FILTER (place <= n_i) / n_i - sum(value) FILTER (place > n_i) / n_j AS diff FROM dr GROUP BY metric, group_i, group_j, d, n_i, n_j),
+ob AS (SELECT metric, group_i, group_j, sum(value) FILTER (g = group_i) / n_i - sum(value) FILTER (g = group_j) / n_j AS seen FROM both_of GROUP BY metric, group_i, group_j, n_i, n_j),
+ta AS (SELECT metric, group_i, group_j, count(*) AS draws, count(*) FILTER (diff <= seen + abs(seen)*1e-12) AS lo, count(*) FILTER (diff >= seen - abs(seen)*1e-12) AS hi
+       FROM su JOIN ob USING (metric, group_i, group_j) GROUP BY ALL)
+SELECT metric, group_i, group_j, draws, {r('least(2 * least((lo + 1)/(draws + 1), (hi + 1)/(draws + 1)), 1)')} AS p FROM ta""")
 def permutation_test(spark, d):
     return rounded(G.permutation_test(scalars(spark, d)))
 
@@ -137,7 +165,23 @@ def effect_sizes(spark, d):
     return rounded(G.effect_sizes(scalars(spark, d)))
 
 
-@query("bootstrap_ci")
+def bootstrap_sql(level: float) -> str:
+    """Intervals of Hedges' g and Cliff's δ, δ by all pairs of drawn values."""
+    low, high = (1 - level) / 2, 1 - (1 - level) / 2
+    return INDEXED + f""",
+pk AS (SELECT s.metric, s.group_i, s.group_j, s.g, b, CAST(floor({hash01("'0|' || b || '|' || s.metric || '|' || s.g || '|' || s.idx")} * CASE WHEN s.g = s.group_i THEN s.n_i ELSE s.n_j END) AS BIGINT) AS idx
+       FROM idx s, (SELECT unnest(range(1, 2001)) AS b)),
+dw AS (SELECT p.metric, p.group_i, p.group_j, p.g, p.b, i.value FROM pk p JOIN idx i ON (p.metric, p.group_i, p.group_j, p.g, p.idx) = (i.metric, i.group_i, i.group_j, i.g, i.idx)),
+mo AS (SELECT metric, group_i, group_j, b, count(*) FILTER (g = group_i) AS ni, count(*) FILTER (g = group_j) AS nj, avg(value) FILTER (g = group_i) AS mi, avg(value) FILTER (g = group_j) AS mj,
+         var_samp(value) FILTER (g = group_i) AS vi, var_samp(value) FILTER (g = group_j) AS vj, list(value) FILTER (g = group_i) AS la, list(value) FILTER (g = group_j) AS lb FROM dw GROUP BY ALL),
+ef AS (SELECT metric, group_i, group_j, CASE WHEN (ni-1)*vi + (nj-1)*vj > 0 THEN (mi - mj) / sqrt(((ni-1)*vi + (nj-1)*vj)/(ni+nj-2)) * (1 - 3.0/(4*(ni+nj-2)-1)) END AS g,
+         list_sum(list_transform(la, lambda x: list_sum(list_transform(lb, lambda y: sign(x - y))))) / (ni*nj) AS dl FROM mo),
+ci AS (SELECT metric, group_i, group_j, count(g) AS resamples, quantile_cont(g, {low}) AS g_low, quantile_cont(g, {high}) AS g_high,
+         quantile_cont(dl, {low}) AS d_low, quantile_cont(dl, {high}) AS d_high FROM ef GROUP BY ALL)"""
+
+
+@query("bootstrap_ci", f"""WITH {VALUES}, {bootstrap_sql(0.95)} SELECT metric, group_i, group_j, resamples, {r('g_low')} AS hedges_g_ci_low, {r('g_high')} AS hedges_g_ci_high,
+{r('d_low')} AS cliffs_delta_ci_low, {r('d_high')} AS cliffs_delta_ci_high FROM ci""")
 def bootstrap_ci(spark, d):
     return rounded(G.bootstrap_ci(scalars(spark, d)))
 
@@ -147,29 +191,50 @@ def needed_sample_size(spark, d):
     return rounded(G.needed_sample_size(scalars(spark, d)))
 
 
-@query("tost", f"""WITH {VALUES} SELECT metric, group_i, group_j, {r(WELCH_DF)} AS df,
-{r('(mean_i - mean_j + 0.5*sp)/sqrt(var_i/n_i + var_j/n_j)')} AS t_lower,
-{r('(mean_i - mean_j - 0.5*sp)/sqrt(var_i/n_i + var_j/n_j)')} AS t_upper FROM pairs_of WHERE sp IS NOT NULL""")
+@query("tost", f"""WITH {VALUES}, {WELCH},
+b AS (SELECT *, (mean_i - mean_j + 0.5*sp)/sqrt(var_i/n_i + var_j/n_j) AS t_lower, (mean_i - mean_j - 0.5*sp)/sqrt(var_i/n_i + var_j/n_j) AS t_upper FROM welch WHERE sp IS NOT NULL),
+h AS (SELECT *, {t_sql('t_lower', 'df')} / 2 AS hl, {t_sql('t_upper', 'df')} / 2 AS hu FROM b),
+p AS (SELECT *, greatest(CASE WHEN t_lower >= 0 THEN hl ELSE 1 - hl END, CASE WHEN t_upper <= 0 THEN hu ELSE 1 - hu END) AS p FROM h)
+SELECT metric, group_i, group_j, {rs('df', 't_lower', 't_upper', 'p')}, p < 0.05 AS equivalent FROM p""")
 def tost(spark, d):
-    return rounded(G.tost(scalars(spark, d)).drop("p", "equivalent"))
+    return rounded(G.tost(scalars(spark, d)))
 
 
 @query("posthoc", f"""WITH {VALUES},
 fam AS (SELECT metric, sum(n) - count(*) AS dfw, sum((n-1)*var)/(sum(n)-count(*)) AS msw FROM moments GROUP BY ALL),
 dn AS (SELECT a.metric, a."group" AS group_i, b."group" AS group_j,
         (a.rank_sum/a.n - b.rank_sum/b.n)/nullif(sqrt((total*(total+1)/12.0 - ties/(12.0*(total-1)))*(1.0/a.n + 1.0/b.n)), 0) AS z
-       FROM rank_of a JOIN rank_of b ON a.metric=b.metric AND a."group"<b."group" JOIN tie_of t ON t.metric=a.metric)
-SELECT 'tukey' AS method, metric, group_i, group_j, {r('abs(mean_i-mean_j)/nullif(sqrt(msw/2*(1.0/n_i+1.0/n_j)), 0)')} AS statistic,
-  {r('dfw')} AS df FROM pairs_of JOIN fam USING (metric)
-UNION ALL SELECT 'games_howell', metric, group_i, group_j, {r('abs(mean_i-mean_j)/nullif(sqrt((var_i/n_i+var_j/n_j)/2), 0)')}, {r(WELCH_DF)} FROM pairs_of
-UNION ALL SELECT 'dunn', metric, group_i, group_j, {r('z')}, NULL FROM dn""")
+       FROM rank_of a JOIN rank_of b ON a.metric=b.metric AND a."group"<b."group" JOIN tie_of t ON t.metric=a.metric),
+all_of AS (
+  SELECT 'tukey' AS method, metric, group_i, group_j, abs(mean_i-mean_j)/nullif(sqrt(msw/2*(1.0/n_i+1.0/n_j)), 0) AS statistic, dfw::DOUBLE AS df FROM pairs_of JOIN fam USING (metric)
+  UNION ALL SELECT 'games_howell', metric, group_i, group_j, abs(mean_i-mean_j)/nullif(sqrt((var_i/n_i+var_j/n_j)/2), 0), {WELCH_DF} FROM pairs_of
+  UNION ALL SELECT 'dunn', metric, group_i, group_j, z, NULL FROM dn),
+k_of AS (SELECT metric, count(*) AS k FROM moments GROUP BY ALL)
+SELECT method, metric, group_i, group_j, {rs('statistic', 'df')},
+  {r(f"CASE WHEN method = 'dunn' THEN 2 * {normal_sql('abs(statistic)')} ELSE {range_sql('statistic', 'k', 'df')} END")} AS p FROM all_of JOIN k_of USING (metric)""")
 def posthoc(spark, d):
     v = scalars(spark, d)
-    parts = [G.posthoc(v, m).withColumn("method", F.lit(m)).drop("p") for m in ("tukey", "games_howell", "dunn")]
+    parts = [G.posthoc(v, m).withColumn("method", F.lit(m)) for m in ("tukey", "games_howell", "dunn")]
     return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]))
 
 
-@query("dunnett")
+def gauss_sql(name: str) -> str:
+    text = f"'0|' || d || '|' || metric || '|' || {name}"
+    a, b = (hash01(text + f" || '|{end}'") for end in "ab")
+    return f"(sqrt(-2 * ln(1 - {a})) * cos({b} * 6.283185307179586))"
+
+
+DUNNETT = f"""
+fam AS (SELECT metric, sum(n) - count(*) AS dfw, sum((n-1)*var)/(sum(n)-count(*)) AS msw FROM moments GROUP BY ALL),
+tc AS (SELECT m.metric, m."group", c."group" AS control, m.n, c.n AS n_c, m.mean, c.mean AS mean_c, dfw, (m.mean - c.mean)/nullif(sqrt(msw*(1.0/m.n + 1.0/c.n)), 0) AS t
+       FROM moments m JOIN moments c ON m.metric = c.metric AND c."group" = 0 AND m."group" <> 0 JOIN fam ON fam.metric = m.metric),
+nu AS (SELECT metric, d, max(abs({gauss_sql("'group ' || " + '"group"')}/sqrt(n) - {gauss_sql("'control'")}/sqrt(n_c))
+         / sqrt(greatest(pow(1 - 2/(9*dfw) + {gauss_sql("'scale'")}*sqrt(2/(9*dfw)), 3), 1e-12) * (1.0/n + 1.0/n_c))) AS worst
+       FROM tc, (SELECT unnest(range(1, 20001)) AS d) GROUP BY ALL),
+dp AS (SELECT tc.*, (SELECT avg((worst >= abs(tc.t))::int) FROM nu WHERE nu.metric = tc.metric) AS p FROM tc)"""
+
+
+@query("dunnett", f"""WITH {VALUES}, {DUNNETT} SELECT metric, "group", control, n, n_c, {rs('t', 'p')} FROM dp""")
 def dunnett(spark, d):
     return rounded(G.dunnett(scalars(spark, d), "0"))
 
@@ -191,20 +256,25 @@ def pair_subjects(spark, d):
         dropped.withColumn("complete", F.lit(False)))
 
 
-@query("paired_test", f"""WITH {PAIRED},
+PAIRED_TEST = PAIRED + """,
 rk AS (SELECT metric, "group", diff, rank() OVER (PARTITION BY metric, "group" ORDER BY abs(diff))
          + (count(*) OVER (PARTITION BY metric, "group", abs(diff)) - 1)/2.0 AS rk FROM diffs WHERE diff <> 0),
-w AS (SELECT metric, "group", coalesce(sum(rk) FILTER (diff > 0), 0) AS w_plus FROM rk GROUP BY ALL)
-SELECT d.metric, d."group", count(*) AS n, {r('avg(diff)')} AS mean_diff, {r('avg(diff)/nullif(stddev_samp(diff)/sqrt(count(*)), 0)')} AS t,
- count(*) - 1 AS df, any_value(w_plus)::DOUBLE AS w_plus,
- {r('avg(diff)/nullif(stddev_samp(diff), 0)*(1 - 3.0/(4*(count(*)-1)-1))')} AS paired_hedges_g
-FROM diffs d LEFT JOIN w USING (metric, "group") GROUP BY d.metric, d."group" """)
+w AS (SELECT metric, "group", coalesce(sum(rk) FILTER (diff > 0), 0)::DOUBLE AS w_plus, count(*) AS nz FROM rk GROUP BY ALL),
+tie AS (SELECT metric, "group", sum(t*t*t - t)::DOUBLE AS ties FROM (SELECT metric, "group", abs(diff), count(*) AS t FROM diffs WHERE diff <> 0 GROUP BY ALL) GROUP BY ALL),
+pt AS (SELECT d.metric, d."group", count(*) AS n, avg(diff) AS mean_diff, avg(diff)/nullif(stddev_samp(diff)/sqrt(count(*)), 0) AS t, count(*) - 1 AS df,
+         any_value(w_plus) AS w_plus, avg(diff)/nullif(stddev_samp(diff), 0)*(1 - 3.0/(4*(count(*)-1)-1)) AS paired_hedges_g,
+         any_value(nz) AS nz, any_value(ties) AS ties, count(*) FILTER (diff = 0) AS zeros
+       FROM diffs d LEFT JOIN w USING (metric, "group") LEFT JOIN tie USING (metric, "group") GROUP BY d.metric, d."group")"""
+
+
+@query("paired_test", f"""WITH {PAIRED_TEST} SELECT metric, "group", n, {rs('mean_diff', 't')}, df, w_plus, {rs('paired_hedges_g')} FROM pt""")
 def paired_test(spark, d):
     kept, _ = G.paired_values(scalars(spark, d))
     return rounded(G.paired_test(G.paired_differences(kept, 0, 1)).drop("p_t", "p_wilcoxon"))
 
 
-@query("paired_test_pvalues")
+@query("paired_test_pvalues", f"""WITH {PAIRED_TEST} SELECT metric, "group", n, {rs('mean_diff', 't')}, df, w_plus, {rs('paired_hedges_g')},
+{r(t_sql('t', 'df'))} AS p_t, {r(wilcoxon_sql('w_plus', 'nz', 'ties', 'zeros'))} AS p_wilcoxon FROM pt""")
 def paired_test_pvalues(spark, d):
     kept, _ = G.paired_values(scalars(spark, d))
     return rounded(G.paired_test(G.paired_differences(kept, 0, 1)))
@@ -265,22 +335,27 @@ ss AS (SELECT g.metric, a, b, ns,
 e AS (SELECT *, ss_c-ss_g-ss_t AS ss_i, ss_tot-ss_c-ss_s AS ss_e, a-1 AS dg, b-1 AS dt, ns-a AS ds FROM ss)"""
 
 
-@query("mixed_anova", f"""WITH {MIXED}
-SELECT metric, 'group' AS effect, {r('ss_g', 4)} AS SS, {r('(ss_g/dg)/nullif(ss_s/ds, 0)')} AS F, dg::DOUBLE AS df1, ds::DOUBLE AS df2, {r('ss_g/nullif(ss_g+ss_s, 0)')} AS np2, NULL AS eps FROM e
-UNION ALL SELECT metric, 'timepoint', {r('ss_t', 4)}, {r('(ss_t/dt)/nullif(ss_e/(ds*dt), 0)')}, dt::DOUBLE, (ds*dt)::DOUBLE, {r('ss_t/nullif(ss_t+ss_e, 0)')}, 1.0::DOUBLE FROM e
-UNION ALL SELECT metric, 'interaction', {r('ss_i', 4)}, {r('(ss_i/(dg*dt))/nullif(ss_e/(ds*dt), 0)')}, (dg*dt)::DOUBLE, (ds*dt)::DOUBLE, {r('ss_i/nullif(ss_i+ss_e, 0)')}, 1.0::DOUBLE FROM e""")
+@query("mixed_anova", f"""WITH {MIXED},
+rows_of AS (
+  SELECT metric, 'group' AS effect, ss_g AS SS, (ss_g/dg)/nullif(ss_s/ds, 0) AS F, dg::DOUBLE AS df1, ds::DOUBLE AS df2, ss_g/nullif(ss_g+ss_s, 0) AS np2, NULL::DOUBLE AS eps FROM e
+  UNION ALL SELECT metric, 'timepoint', ss_t, (ss_t/dt)/nullif(ss_e/(ds*dt), 0), dt::DOUBLE, (ds*dt)::DOUBLE, ss_t/nullif(ss_t+ss_e, 0), 1.0::DOUBLE FROM e
+  UNION ALL SELECT metric, 'interaction', ss_i, (ss_i/(dg*dt))/nullif(ss_e/(ds*dt), 0), (dg*dt)::DOUBLE, (ds*dt)::DOUBLE, ss_i/nullif(ss_i+ss_e, 0), 1.0::DOUBLE FROM e),
+p_of AS (SELECT *, {f_sql('F', 'df1', 'df2')} AS p FROM rows_of)
+SELECT metric, effect, {r('SS', 4)} AS SS, {rs('F')}, df1, df2, {rs('np2')}, eps, {r('p')} AS p_unc, {r('CASE WHEN eps IS NOT NULL THEN p END')} AS p_GG FROM p_of""")
 def mixed_anova(spark, d):
-    out = G.mixed_anova(scalars(spark, d)).drop("p_unc", "p_GG")
-    return rounded(rounded(out, "SS", digits=4), "F", "np2", "eps")
+    return rounded(rounded(G.mixed_anova(scalars(spark, d)), "SS", digits=4), "F", "np2", "eps", "p_unc", "p_GG")
 
 
 @query("simple_effects", f"""WITH {PAIRED},
 m AS (SELECT metric, timepoint, "group", count(*) AS n, avg(value) AS mean, var_samp(value) AS var FROM complete GROUP BY ALL),
 p AS (SELECT a.metric, a.timepoint, a."group" AS group_i, b."group" AS group_j, a.n n_i, b.n n_j, a.mean mean_i, b.mean mean_j, a.var var_i, b.var var_j
       FROM m a JOIN m b ON a.metric=b.metric AND a.timepoint=b.timepoint AND a."group"<b."group")
-SELECT metric, timepoint, group_i, group_j, {r(WELCH_T)} AS t, {r(WELCH_DF)} AS df FROM p""")
+, t_of AS (SELECT metric, timepoint, group_i, group_j, {WELCH_T} AS t, {WELCH_DF} AS df FROM p),
+p_of AS (SELECT *, {t_sql('t', 'df')} AS p FROM t_of),
+ranked_p AS (SELECT *, count(p) OVER (PARTITION BY metric) AS m, row_number() OVER (PARTITION BY metric ORDER BY p NULLS LAST, timepoint, group_i, group_j) AS rk FROM p_of)
+SELECT metric, timepoint, group_i, group_j, {rs('t', 'df', 'p')}, {r('CASE WHEN p IS NULL THEN NULL WHEN m = 1 THEN p ELSE least(max((m-rk+1)*p) OVER (PARTITION BY metric ORDER BY rk), 1) END')} AS p_corrected FROM ranked_p""")
 def simple_effects(spark, d):
-    return rounded(G.simple_effects(scalars(spark, d)).drop("p", "p_corrected"))
+    return rounded(G.simple_effects(scalars(spark, d)))
 
 
 @query("compare_metrics_pairwise", f"""WITH {VALUES} SELECT metric, group_i, group_j, n_i, n_j, {rs('mean_i', 'mean_j')},
@@ -291,6 +366,33 @@ def compare_metrics_pairwise(spark, d):
         "metric", "group_i", "group_j", "n_i", "n_j", "mean_i", "mean_j", "sem_i", "sem_j", "cohens_d", "cliffs_delta"))
 
 
+@query("compare_intervals", f"""WITH {VALUES}, {bootstrap_sql(0.9)} SELECT metric, group_i, group_j, 'pairwise' AS family, {r('(mean_i-mean_j)/sp*(1 - 3.0/(4*(n_i+n_j-2)-1))')} AS hedges_g,
+{r('g_low')} AS hedges_g_ci_low, {r('g_high')} AS hedges_g_ci_high, {r('d_low')} AS cliffs_delta_ci_low, {r('d_high')} AS cliffs_delta_ci_high FROM ci JOIN pairs_of USING (metric, group_i, group_j)""")
+def compare_intervals(spark, d):
+    """``ci_level`` 0.9."""
+    out = G.compare_metrics(scalars(spark, d), {"ci_level": 0.9})[1]
+    return rounded(out.select("metric", "group_i", "group_j", "family", "hedges_g", "hedges_g_ci_low", "hedges_g_ci_high", "cliffs_delta_ci_low", "cliffs_delta_ci_high"))
+
+
+@query("compare_equivalence", f"""WITH {VALUES}, {WELCH},
+b AS (SELECT *, (mean_i - mean_j + 0.8*sp)/sqrt(var_i/n_i + var_j/n_j) AS t_lower, (mean_i - mean_j - 0.8*sp)/sqrt(var_i/n_i + var_j/n_j) AS t_upper FROM welch),
+h AS (SELECT *, {t_sql('t_lower', 'df')} / 2 AS hl, {t_sql('t_upper', 'df')} / 2 AS hu FROM b),
+p AS (SELECT *, greatest(CASE WHEN t_lower >= 0 THEN hl ELSE 1 - hl END, CASE WHEN t_upper <= 0 THEN hu ELSE 1 - hu END) AS p FROM h)
+SELECT metric, group_i, group_j, {r('CASE WHEN sp IS NOT NULL THEN p END')} AS tost_p, CASE WHEN sp IS NOT NULL THEN p < 0.1 END AS tost_equivalent FROM p""")
+def compare_equivalence(spark, d):
+    """``equivalence_tost`` with a margin of 0.8 pooled standard deviations at 0.1."""
+    out = G.compare_metrics(scalars(spark, d), {"equivalence_tost": True, "tost_margin": 0.8, "alpha": 0.1})[1]
+    return rounded(out.select("metric", "group_i", "group_j", "tost_p", "tost_equivalent"))
+
+
+@query("compare_dunnett", f"""WITH {VALUES}, {DUNNETT} SELECT metric, "group" AS group_i, control AS group_j, 'Dunnett' AS test, n AS n_i, n_c AS n_j, {r('mean')} AS mean_i, {r('mean_c')} AS mean_j,
+{rs('p')}, {r('p')} AS p_corrected, true AS self_corrected FROM dp""")
+def compare_dunnett(spark, d):
+    """``dunnett`` against ``control_group`` 0."""
+    out = G.compare_metrics(scalars(spark, d), {"dunnett": True, "control_group": "0"})[1].where("family = 'dunnett'")
+    return rounded(out.select("metric", "group_i", "group_j", "test", "n_i", "n_j", "mean_i", "mean_j", "p", "p_corrected", "self_corrected"))
+
+
 @query("compare_metrics_omnibus")
 def compare_metrics_omnibus(spark, d):
     return rounded(G.compare_metrics(scalars(spark, d))[0])
@@ -585,7 +687,7 @@ def pool_runs(spark, d):
     return M.pool_runs(t.where("recording_id % 2 = 0"), t.where("recording_id % 2 = 1").drop("mass"))
 
 
-@query("seeded_sample")
+@query("seeded_sample", f"WITH {SQL_LOCS} SELECT loc_id FROM locs ORDER BY md5(loc_id || '|42'), loc_id LIMIT 1000")
 def seeded_sample(spark, d):
     return M.seeded_sample(V.localisations(spark, d), 1000, "loc_id", 42).select("loc_id")
 

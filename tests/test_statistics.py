@@ -1,8 +1,10 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lociflow.functions import dist as P
+from lociflow.functions import dist as P, tails as T
 from lociflow.operators import circular as C, group_stats as G
 
 
@@ -10,25 +12,44 @@ def close(a, b, tol=1e-4):
     assert abs(a - b) <= tol, (a, b)
 
 
-def test_distribution_functions_against_tables():
-    close(P.norm_sf(1.959964), 0.025, 1e-7)
-    close(P.t_two_sided(2.228139, 10), 0.05, 1e-6)
-    close(P.t_two_sided(12.7062, 1), 0.05, 1e-6)
-    close(P.f_sf(4.102821, 2, 10), 0.05, 1e-6)
-    close(P.chi2_sf(5.991465, 2), 0.05, 1e-7)
-    close(P.chi2_sf(18.307038, 10), 0.05, 1e-7)
-    close(P.range_sf(3.877, 3, 10), 0.05, 2e-4)
-    close(P.range_sf(4.898, 4, 6), 0.05, 3e-4)
-    close(P.t_ppf(0.975, 5), 2.570582, 1e-5)
-    close(P.nct_cdf(2.0, 10, 0.0), 1 - P.t_sf(2.0, 10), 1e-6)
-    assert P.sample_size(0.5, 0.80) == 64 and P.sample_size(0.8, 0.80) == 26 and P.sample_size(0.0, 0.8) == 501
-
-
-def test_exact_rank_tests_against_tables():
-    close(P.mann_whitney_p(0, 3, 3, 0), 0.1, 1e-12)             # 2 / C(6, 3)
-    close(P.mann_whitney_p(2, 4, 5, 0), 0.063492, 1e-6)
-    close(P.wilcoxon_p(0, 6, 0, 0), 2 / 64, 1e-12)
-    close(P.wilcoxon_p(3, 8, 0, 0), 0.0390625, 1e-9)
+@pytest.fixture
+def value(spark):
+    """The number that a column of literals has."""
+    one = spark.range(1)
+    return lambda fn, *args: one.select(fn(*(F.lit(a) for a in args))).first()[0]
+
+
+def test_distribution_functions_against_tables(value):
+    close(value(T.norm_sf, 1.959964), 0.025, 1e-7)
+    close(value(T.t_two_sided, 2.228139, 10), 0.05, 1e-6)
+    close(value(T.t_two_sided, 12.7062, 1), 0.05, 1e-6)
+    close(value(T.f_sf, 4.102821, 2, 10), 0.05, 1e-6)
+    close(value(T.chi2_sf, 5.991465, 2), 0.05, 1e-7)
+    close(value(T.chi2_sf, 18.307038, 10), 0.05, 1e-7)
+    close(value(T.range_sf, 3.877, 3, 10), 0.05, 2e-4)
+    close(value(T.range_sf, 4.898, 4, 6), 0.05, 3e-4)
+    for d, n in ((0.5, 64), (0.8, 26), (0.0, 501)):
+        assert value(lambda x: T.sample_size(x, 0.80), d) == n
+
+
+def test_normal_tail_against_the_library(spark):
+    z = [k / 7 for k in range(-280, 281)]
+    got = spark.createDataFrame([(x,) for x in z], "z double").select(T.norm_sf(F.col("z")).alias("p"), "z").collect()
+    assert all(abs(r.p - math.erfc(r.z / math.sqrt(2)) / 2) <= 1e-14 * max(r.p, 1e-280) + 1e-16 for r in got)
+
+
+def test_exact_rank_tests_against_tables(value):
+    close(value(T.mann_whitney, 0, 3, 3, 0), 0.1, 1e-12)             # 2 / C(6, 3)
+    close(value(T.mann_whitney, 2, 4, 5, 0), 0.063492, 1e-6)
+    close(value(T.wilcoxon, 0, 6, 0, 0), 2 / 64, 1e-12)
+    close(value(T.wilcoxon, 3, 8, 0, 0), 0.0390625, 1e-9)
+
+
+def test_unknown_arguments_give_null(value):
+    for fn, n in ((T.norm_sf, 1), (T.t_two_sided, 2), (T.t_sf, 2), (T.f_sf, 3), (T.chi2_sf, 2), (T.range_sf, 3), (T.mann_whitney, 4), (T.wilcoxon, 4)):
+        for bad in (None, float("nan")):
+            assert value(fn, *([1.0] * (n - 1)), bad) is None, fn
+    assert value(lambda x: T.sample_size(x, 0.8), None) is None and value(T.wilcoxon, 0.0, 0.0, 0.0, 0.0) is None
 
 
 def test_shapiro_against_published_values():
