@@ -269,3 +269,21 @@ def test_one_component_of_a_hundred_thousand_spots():
     swapped = gain[won].sum()
     own = a == b
     assert swapped >= gain[own].sum()
+
+
+@pytest.mark.parametrize("k", [1, 4])
+def test_neighbours_at_every_density(spark, k):
+    """Spots a million times denser than the rest, coincident points, lines and lone groups."""
+    rng = np.random.default_rng(8)
+    xy = np.vstack([rng.uniform(0, 1000, (150, 2)), 500 + rng.normal(0, 1e-3, (400, 2)), 100 + rng.normal(0, 1e-9, (300, 2)),
+                    np.column_stack([np.linspace(0, 1, 50), np.zeros(50)]), np.tile([[7.0, 7.0]], (9, 1))])
+    rows = [(0, i, float(x), float(y)) for i, (x, y) in enumerate(xy)] + [(1, 10_000, 1.0, 1.0), (1, 10_001, 2.0, 1.0)] + [(2, 20_000 + i, 3.0, 3.0) for i in range(6)]
+    df = spark.createDataFrame(rows, "recording_id long, loc_id long, x double, y double")
+    got = {r.loc_id: r.distance for r in P.knn_distance(df, k).collect()}
+    d = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(2))
+    want = {i: float(np.sort(row)[k]) for i, row in enumerate(d)}
+    if k == 1:
+        want.update({10_000: 1.0, 10_001: 1.0})
+    want.update({20_000 + i: 0.0 for i in range(6)})
+    assert set(got) == set(want)
+    assert all(got[i] == pytest.approx(want[i], rel=1e-9, abs=1e-18) for i in want)
