@@ -53,3 +53,26 @@ def test_stages(spark, documents, tmp_path):
     assert left[2] == left[1] - {4001, 4002, 4003}
     assert left[3] == left[2] - {5000} and left[4] == left[3] and None in left[4]
     assert {x.doc_id for x in corpus_pipeline.run(spark, str(tmp_path)).collect()} == left[4]
+
+
+def test_stages_on_empty_tables_without_labels_and_with_odd_names(spark, documents, tmp_path):
+    import warnings
+
+    from pyspark.sql import functions as F
+    rows = [(i, " ".join(f"w{(i * 7 + j * j) % 97}" for j in range(40))) for i in range(12)] + [(None, None), (3, ""), (50, "x" * 30000)]
+    for case, docs, bench in (("empty", [], []), ("unlabelled", rows, [(1, rows[2][1])]), ("no benchmark", rows, [])):
+        root = f"{tmp_path}/{case}"
+        odd = documents(docs).select("*", F.lit(1).alias("a.b"), F.lit(2).alias("__text"), F.lit(3).alias("row_key"), F.lit(4).alias("score"))
+        odd.write.parquet(f"{root}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{root}/labels.parquet")
+        spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{root}/benchmark.parquet")
+        table = spark.read.parquet(f"{root}/documents.parquet")
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                out = stage(spark, table, root)
+            assert out.columns == table.columns, name
+            out.write.parquet(f"{root}/{name}")
+            table = spark.read.parquet(f"{root}/{name}")
+        left = {r.doc_id for r in table.collect()}
+        assert left == set() if not docs else left >= {i for i, _ in rows[:12]} - ({2} if bench else set()) and (2 in left) != bool(bench)
