@@ -62,18 +62,18 @@ def qc_flags(qc: DataFrame) -> DataFrame:
         return F.when(when, F.struct(F.lit(level).alias("level"), msg.alias("msg")))
     checks = [
         flag(F.col("link_ratio") < 0.10, "warn", F.format_string(
-            "Only %.1f%% of localisations were linked into tracks", F.col("link_ratio") * 100)),
+            "linked share low: %.1f%% of the localisations are in a track", F.col("link_ratio") * 100)),
         flag(F.col("avg_locs_per_frame") > 800, "warn", F.format_string(
-            "Very high localisation density (%.0f per frame)", F.col("avg_locs_per_frame"))),
+            "crowded: %.0f localisations a frame", F.col("avg_locs_per_frame"))),
         flag(F.col("median_track_length") < 6, "warn", F.format_string(
-            "Median track length is only %.1f frames", F.col("median_track_length"))),
+            "short tracks: half have %.1f frames or fewer", F.col("median_track_length"))),
         flag(F.col("stuck_fraction") > 0.30, "warn", F.format_string(
-            "%.1f%% of tracks have D below 0.001", F.col("stuck_fraction") * 100)),
+            "still spots: D is under 0.001 in %.1f%% of the tracks", F.col("stuck_fraction") * 100)),
         flag(F.col("gap_fraction") > 0.50, "info", F.format_string(
-            "%.1f%% of tracks contain gaps", F.col("gap_fraction") * 100))]
+            "blinking: gaps in %.1f%% of the tracks", F.col("gap_fraction") * 100))]
     if "drift_total_nm" in qc.columns:
         checks.append(flag(F.col("drift_total_nm") > 500, "info", F.format_string(
-            "%.0f nm of drift was corrected", F.col("drift_total_nm"))))
+            "stage moved: drift of %.0f nm taken out", F.col("drift_total_nm"))))
     return qc.withColumn("flags", F.filter(F.array(*checks), lambda f: f.isNotNull()))
 
 
@@ -99,7 +99,7 @@ def spot_intensity(tracks: DataFrame) -> DataFrame:
 
 def replicate_table(tracks: DataFrame, diffusion: DataFrame, pixel_size: float, frame_interval: float,
                     d_threshold: float = MOBILE_D_THRESHOLD, states: DataFrame | None = None) -> DataFrame:
-    """One row per recording with every scalar the group comparison tests."""
+    """One row per recording with every scalar the group comparison tests; of ``states`` its ``state_…`` columns."""
     dt = float(frame_interval)
     mid = medians(diffusion.withColumn("_dur", F.col("track_duration_s")), [REC], {
         "radius_of_gyration": "radius_of_gyration_um", "net_displacement": "net_displacement_um",
@@ -119,7 +119,7 @@ def replicate_table(tracks: DataFrame, diffusion: DataFrame, pixel_size: float,
     out = counts.withColumn("below_resolution_fraction", F.col("n_below_resolution") / F.col("n_tracks"))
     for part in (D.mobility_summary(diffusion, d_threshold).drop("n_mobile", "n_immobile"), mid, auc, hove, vacf,
                  *([spot_intensity(tracks)] if "mass" in tracks.columns else []),
-                 *([states] if states is not None else [])):
+                 *([states.select(REC, *(c for c in states.columns if c.startswith("state_")))] if states is not None else [])):
         out = out.join(part, REC, "left")
     out = out.withColumn("step_speed", F.col("step_distance") / dt)
     for name, scalar in METRICS.items():

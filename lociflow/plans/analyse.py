@@ -59,20 +59,23 @@ def run(locs: DataFrame, params: Params, rois: DataFrame | None = None) -> dict[
         msd, diffusion = K.keep_tracks(msd, tracks), K.keep_tracks(diffusion, tracks)
     angles, jumps = S.turning_angles(tracks), S.jump_distances(tracks, px)
     dwell = S.dwell_times(tracks, diffusion, dt)
+    qc = M.qc_metrics(tracks, diffusion, locs)
+    if p.drift:
+        qc = qc.join(R.drift_span_nm(out["drift"], px), "recording_id", "left")
     out |= {
         "tracks": tracks, "track_msd": msd, "diffusion": diffusion, "ensemble_msd": D.ensemble_from_tracks(msd, p.max_lag),
         "moment_scaling": D.moment_scaling(tracks, px, dt, gap_policy=p.gap_policy), "turning_angles": angles,
         "circular": C.circular_stats(angles), "jdd": H.jdd_fit(jumps, dt), "van_hove": S.van_hove(tracks, px),
         "vacf": S.velocity_autocorrelation(tracks, px, dt), "dwell": dwell, "dwell_tau": S.dwell_tau(dwell),
         "mobile_fraction": S.mobile_fraction_over_time(tracks, diffusion, dt, d_threshold=p.d_threshold),
-        "summary": M.summary_metrics(tracks, diffusion, locs, dt, p.d_threshold), "qc": M.qc_flags(M.qc_metrics(tracks, diffusion, locs))}
+        "summary": M.summary_metrics(tracks, diffusion, locs, dt, p.d_threshold), "qc": M.qc_flags(qc)}
     if p.states:
-        out["states"] = H.diffusive_states(tracks, px, dt)
+        out["states"] = cut_lineage(H.diffusive_states(tracks, px, dt))
     if p.cluster_eps_um:
         um = locs.select("recording_id", "loc_id", (F.col("x") * px).alias("x"), (F.col("y") * px).alias("y"))
         out["clusters"] = cut_lineage(U.dbscan(um, p.cluster_eps_um, p.cluster_min_samples))
         out["cluster_stats"] = U.cluster_stats(out["clusters"])
-    out["replicates"] = M.replicate_table(tracks, diffusion, px, dt, p.d_threshold)
+    out["replicates"] = M.replicate_table(tracks, diffusion, px, dt, p.d_threshold, out.get("states"))
     return out
 
 

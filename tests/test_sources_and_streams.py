@@ -155,3 +155,21 @@ def test_progress_marks_only_the_recording_at_fault(spark, tmp_path):
     V.run_progress(stream, strict, str(tmp_path / "runs"), str(tmp_path / "ck")).awaitTermination()
     rows = {r.recording_id: r.status for r in spark.read.parquet(str(tmp_path / "runs")).collect()}
     assert rows == {"0": "done", "1": "done", "2": "error", "3": "done"}
+
+
+def test_analysis_carries_states_and_drift_into_its_tables(spark):
+    import numpy as np
+    r = np.random.default_rng(5)
+    rows, k = [], 0
+    for rec in range(2):
+        beads = r.uniform(5, 60, (12, 2))
+        for f in range(400):
+            for b in beads + [0.02 * f, -0.01 * f] + r.normal(0, 0.02, beads.shape):
+                rows.append((str(rec), k, f, float(b[0]), float(b[1]), 3.0))
+                k += 1
+    locs = spark.createDataFrame(rows, "recording_id string, loc_id long, frame int, x double, y double, mass double")
+    out = run(locs, Params(0.16, 0.02, search_range=3.0, memory=0, min_len=8, drift="rcc", states=True))
+    assert out["drift"].where("status = 'applied'").count() > 0
+    assert {f["msg"].split(":")[0] for q in out["qc"].collect() for f in q.flags} >= {"stage moved"}
+    table = out["replicates"].collect()
+    assert len(table) == 2 and all(row.state_best_n is not None and row.state_D_slow is not None for row in table)
