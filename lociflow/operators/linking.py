@@ -158,7 +158,7 @@ MATCH_FRAMES = 64
 
 
 def match_in_blocks(edges: DataFrame, max_gap: int, rule: str, block: int = MATCH_FRAMES) -> DataFrame:
-    """Links ``(i, j)`` chosen frame after frame from ``edges(recording_id, frame, i, j, gap, weight)``.
+    """Links ``(recording_id, i, j)`` chosen frame after frame from ``edges(recording_id, frame, i, j, gap, weight)``.
 
     In each frame the spots still without successor, ``gap`` frames back at most, meet the frame's spots: ``greedy`` takes
     edges by ascending (weight, j, i), ``best`` the assignment of largest total weight. Blocks of ``block`` frames of a
@@ -171,9 +171,7 @@ def match_in_blocks(edges: DataFrame, max_gap: int, rule: str, block: int = MATC
     to = F.col("frame") + F.col("gap")
     laid = edges.select("recording_id", "i", "j", "weight", to.alias("to"), F.floor(to / size).alias("block"),
                         (F.floor(F.col("frame") / size) < F.floor(to / size)).alias("early"))
-    kind = laid.schema["recording_id"].dataType.simpleString()
-    names = {c: laid.schema[c].dataType.simpleString() for c in ("i", "j")}
-    shape = f"recording_id {kind}, block long, i {names['i']}, j {names['j']}, early boolean"
+    shape = laid.select("recording_id", "block", "i", "j", "early").schema
 
     def matched(t: pa.Table) -> pa.Table:
         w, frame = t["weight"].to_numpy(), t["to"].to_numpy()
@@ -196,7 +194,7 @@ def match_in_blocks(edges: DataFrame, max_gap: int, rule: str, block: int = MATC
                     won += part.tolist()
         return t.take(pa.array(won, pa.int64())).select(["recording_id", "block", "i", "j", "early"])
     if max_gap <= 1:
-        return laid.groupBy("recording_id", "block").applyInArrow(matched, shape).select("i", "j")
+        return laid.groupBy("recording_id", "block").applyInArrow(matched, shape).select("recording_id", "i", "j")
     laid = cut_lineage(laid)
     handed = laid.where("early").select("recording_id", "block", "i").distinct()
     key = ["recording_id", "block"]
@@ -208,7 +206,7 @@ def match_in_blocks(edges: DataFrame, max_gap: int, rule: str, block: int = MATC
         other = now if taken is None else now.exceptAll(taken).unionByName(taken.exceptAll(now))
         changed = cut_lineage(other.select(*key).distinct())
         if changed.isEmpty():
-            return links.select("i", "j")
+            return links.select("recording_id", "i", "j")
         again = laid.join(changed, key, "left_semi")
         again = again.where("NOT early").unionByName(again.where("early").join(now, [*key, "i"], "left_anti").select(*again.columns))
         links = cut_lineage(links.join(changed, key, "left_anti").unionByName(again.groupBy(*key).applyInArrow(matched, shape)))
@@ -537,10 +535,16 @@ def config_energy(candidates: DataFrame, links: DataFrame, locs: DataFrame, birt
     return out.select("recording_id", "n_locs", "n_links", (F.col("_cost") + ends * (birth + death)).alias("energy"))
 
 
-def estimate_search_range(locs: DataFrame, memory: int = 1, min_len: int = 4, margin: float = 1.1, steps: int = 12) -> DataFrame:
+MARGINS = {"strict": 1.0, "balanced": 1.1, "lenient": 1.3}
+
+
+def estimate_search_range(locs: DataFrame, memory: int = 1, min_len: int = 4, margin: float | None = None, steps: int = 12,
+                          sensitivity: str = "balanced") -> DataFrame:
     """Search radius per recording: the smallest of a geometric series up to a
     share of the spot spacing at which mean track length reaches 95 % of its
-    maximum, times a margin. ``memory`` 1 links consecutive frames."""
+    maximum, times a margin: ``margin``, or that of ``sensitivity`` (strict, balanced, lenient). Every radius links with
+    tracks waiting up to ``memory`` frames; 1 links consecutive frames."""
+    margin = MARGINS.get(str(sensitivity).lower(), MARGINS["balanced"]) if margin is None else margin
     sub = cut_lineage(locs)
     spacing = quantiles(nearest_spacing(sub), ["recording_id"], "distance", {"spacing": 0.5})
     cap = F.least(F.greatest(0.7 * F.coalesce("spacing", F.lit(20.0 / 0.7)), F.lit(3.0)), F.lit(30.0))
@@ -556,11 +560,12 @@ def estimate_search_range(locs: DataFrame, memory: int = 1, min_len: int = 4, ma
     near = cut_lineage(link_candidates(sub, float(top) + 0.01, max(memory, 1)))
     many = near.join(swept.select("recording_id", "step", "radius"), "recording_id").where(
         F.col("d2") <= F.col("radius") * F.col("radius"))
-    links = greedy_links(many.where("gap = 1").select(F.struct("step", "i").alias("i"), F.struct("step", "j").alias("j"), "d2"))
+    links = cut_lineage(match_in_blocks(many.select(F.struct("recording_id", "step").alias("recording_id"), "frame", "gap", "i", "j",
+                                                    F.col("d2").alias("weight")), max(memory, 1), "greedy"))
+    links = links.select(*(F.struct("recording_id.step", F.col(c).alias("i")).alias(c) for c in "ij"))
     nodes = sub.join(swept.select("recording_id", "step"), "recording_id").select(
         "recording_id", "step", F.struct("step", F.col("loc_id").alias("i")).alias("id"))
-    roots = chain_roots(nodes, links.select(F.col("i").alias("pred"), F.struct(
-        F.col("j.step").alias("step"), F.col("j.j").alias("i")).alias("succ")))
+    roots = chain_roots(nodes, links.select(F.col("i").alias("pred"), F.col("j").alias("succ")))
     lengths = nodes.join(roots, "id").groupBy("recording_id", "step", "root").agg(F.count(F.lit(1)).alias("n"))
     good = lengths.where(F.col("n") >= min_len).groupBy("recording_id", "step").agg(F.avg("n").alias("mean_len"))
     table = swept.join(good, ["recording_id", "step"], "left").na.fill(0.0, ["mean_len"])

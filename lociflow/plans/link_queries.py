@@ -231,7 +231,23 @@ def link_dispatch(spark, d):
     return linked_summary(L.link(V.localisations(spark, d), "lap", 20.0, memory=2, min_len=2, max_len=20))
 
 
-@query("estimate_search_range")
+@query("estimate_search_range", f"""WITH RECURSIVE {SQL_LOCS},
+nn AS (SELECT a.recording_id, a.loc_id, min(sqrt((b.x-a.x)**2 + (b.y-a.y)**2)) AS dist FROM locs a JOIN locs b
+       ON a.recording_id=b.recording_id AND a.frame=b.frame AND a.loc_id<>b.loc_id GROUP BY ALL),
+caps AS (SELECT recording_id, least(greatest(0.7 * coalesce(quantile_cont(dist, 0.5), 20.0/0.7), 3.0), 30.0) AS cap
+         FROM (SELECT DISTINCT recording_id FROM locs) LEFT JOIN nn USING (recording_id) GROUP BY recording_id),
+swept AS (SELECT recording_id, cap, k AS step, round(pow(cap, k/11.0), 2) AS radius FROM caps, (SELECT unnest(range(12)) AS k)),
+e1 AS (SELECT s.step*1000000000 + a.loc_id AS i, s.step*1000000000 + b.loc_id AS j, (b.x-a.x)*(b.x-a.x) + (b.y-a.y)*(b.y-a.y) AS d2
+       FROM locs a JOIN locs b ON a.recording_id = b.recording_id AND b.frame = a.frame + 1 JOIN swept s ON s.recording_id = a.recording_id
+       WHERE (b.x-a.x)*(b.x-a.x) + (b.y-a.y)*(b.y-a.y) <= s.radius*s.radius), {greedy_sql('e1')},
+nodes AS (SELECT recording_id, step, step*1000000000 + loc_id AS id FROM locs JOIN swept USING (recording_id)),
+chain AS (SELECT recording_id, step, id AS root, id FROM nodes WHERE id NOT IN (SELECT j FROM won)
+          UNION ALL SELECT recording_id, step, root, j FROM chain JOIN won ON i = id),
+means AS (SELECT recording_id, step, avg(n) AS mean_len FROM (SELECT recording_id, step, root, count(*) AS n FROM chain GROUP BY ALL HAVING count(*) >= 2) GROUP BY ALL),
+best AS (SELECT recording_id, max(mean_len) AS top FROM means GROUP BY ALL),
+onset AS (SELECT recording_id, min(radius) AS onset FROM means JOIN best USING (recording_id) JOIN swept USING (recording_id, step) WHERE mean_len >= 0.95*top GROUP BY ALL)
+SELECT recording_id, {r('coalesce(least(greatest(onset*1.1, 1.0), cap), 5.0)')} AS search_range, {r('onset')} AS onset_search_range,
+  {r('CASE WHEN onset IS NOT NULL THEN cap END')} AS cap_px FROM caps LEFT JOIN onset USING (recording_id)""")
 def estimate_search_range(spark, d):
     return rounded(L.estimate_search_range(V.localisations(spark, d), min_len=2))
 

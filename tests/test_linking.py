@@ -287,3 +287,15 @@ def test_neighbours_at_every_density(spark, k):
     want.update({20_000 + i: 0.0 for i in range(6)})
     assert set(got) == set(want)
     assert all(got[i] == pytest.approx(want[i], rel=1e-9, abs=1e-18) for i in want)
+
+
+def test_sweep_waits_for_blinking_tracks(spark):
+    """Spots seen in every other frame have no tracks for consecutive frames, and their step as onset with memory 2."""
+    rng = np.random.default_rng(6)
+    rows = [(0, p * 100 + f, f, 60.0 * p + 2.0 * f, 5.0, 1.0) for p in range(4) for f in range(0, 40, 2)]
+    df = spark.createDataFrame(rows, LOC)
+    one, two = (L.estimate_search_range(df, memory=m).first() for m in (1, 2))
+    assert one.onset_search_range is None and one.search_range == 5.0
+    assert 4.0 <= two.onset_search_range < 6.0 and two.search_range == pytest.approx(min(1.1 * two.onset_search_range, two.cap_px))
+    lenient = L.estimate_search_range(df, memory=2, sensitivity="lenient").first()
+    assert lenient.search_range == pytest.approx(min(1.3 * two.onset_search_range, two.cap_px))
