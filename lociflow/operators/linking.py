@@ -171,6 +171,7 @@ def match_in_blocks(edges: DataFrame, max_gap: int, rule: str, block: int = MATC
     to = F.col("frame") + F.col("gap")
     laid = edges.select("recording_id", "i", "j", "weight", to.alias("to"), F.floor(to / size).alias("block"),
                         (F.floor(F.col("frame") / size) < F.floor(to / size)).alias("early"))
+    laid = laid if max_gap <= 1 else cut_lineage(laid)
     shape = laid.select("recording_id", "block", "i", "j", "early").schema
 
     def matched(t: pa.Table) -> pa.Table:
@@ -195,7 +196,6 @@ def match_in_blocks(edges: DataFrame, max_gap: int, rule: str, block: int = MATC
         return t.take(pa.array(won, pa.int64())).select(["recording_id", "block", "i", "j", "early"])
     if max_gap <= 1:
         return laid.groupBy("recording_id", "block").applyInArrow(matched, shape).select("recording_id", "i", "j")
-    laid = cut_lineage(laid)
     handed = laid.where("early").select("recording_id", "block", "i").distinct()
     key = ["recording_id", "block"]
     links = cut_lineage(laid.groupBy(*key).applyInArrow(matched, shape))
@@ -573,8 +573,8 @@ def estimate_search_range(locs: DataFrame, memory: int = 1, min_len: int = 4, ma
     onset = (table.join(best, "recording_id").where((F.col("_top") > 1e-6) & (F.col("mean_len") >= 0.95 * F.col("_top")))
              .groupBy("recording_id").agg(F.min("radius").alias("onset"), F.first("cap").alias("cap")))
     return caps.select("recording_id").join(onset, "recording_id", "left").select(
-        "recording_id", F.coalesce(F.least(F.greatest(F.col("onset") * margin, F.lit(1.0)), F.col("cap")), F.lit(5.0))
-        .alias("search_range"), F.col("onset").alias("onset_search_range"), F.col("cap").alias("cap_px"))
+        "recording_id", F.when(F.col("onset").isNull(), 5.0).otherwise(
+            F.least(F.greatest(F.col("onset") * margin, F.lit(1.0)), F.col("cap"))).alias("search_range"), F.col("onset").alias("onset_search_range"), F.col("cap").alias("cap_px"))
 
 
 LINKERS: dict[str, Callable[..., DataFrame]] = {}

@@ -246,7 +246,7 @@ chain AS (SELECT recording_id, step, id AS root, id FROM nodes WHERE id NOT IN (
 means AS (SELECT recording_id, step, avg(n) AS mean_len FROM (SELECT recording_id, step, root, count(*) AS n FROM chain GROUP BY ALL HAVING count(*) >= 2) GROUP BY ALL),
 best AS (SELECT recording_id, max(mean_len) AS top FROM means GROUP BY ALL),
 onset AS (SELECT recording_id, min(radius) AS onset FROM means JOIN best USING (recording_id) JOIN swept USING (recording_id, step) WHERE mean_len >= 0.95*top GROUP BY ALL)
-SELECT recording_id, {r('coalesce(least(greatest(onset*1.1, 1.0), cap), 5.0)')} AS search_range, {r('onset')} AS onset_search_range,
+SELECT recording_id, {r('CASE WHEN onset IS NULL THEN 5.0 ELSE least(greatest(onset*1.1, 1.0), cap) END')} AS search_range, {r('onset')} AS onset_search_range,
   {r('CASE WHEN onset IS NOT NULL THEN cap END')} AS cap_px FROM caps LEFT JOIN onset USING (recording_id)""")
 def estimate_search_range(spark, d):
     return rounded(L.estimate_search_range(V.localisations(spark, d), min_len=2))
