@@ -5,7 +5,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lociflow.llm import decontaminate, exact_dedup, overlap, packing, toxicity
+from lociflow.llm import decontaminate, exact_dedup, overlap, packing, simhash, toxicity
 from lociflow.llm.queries import BENCHMARK_WINDOW, CAPACITY, table, vocabulary
 from lociflow.session import ensure_checkpoint_dir
 
@@ -20,7 +20,10 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return overlap.drop_near_copies(docs, similarity=0.8, shingle=5)
+    """SimHash first; what differs by more than its three bits and shares four fifths of its word runs goes after it."""
+    root = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    simhash.drop_near_duplicates(docs).write.parquet(root)
+    return overlap.drop_near_copies(spark.read.schema(docs.schema).parquet(root), similarity=0.8, shingle=5)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -76,3 +76,27 @@ def test_stages_on_empty_tables_without_labels_and_with_odd_names(spark, documen
             table = spark.read.parquet(f"{root}/{name}")
         left = {r.doc_id for r in table.collect()}
         assert left == set() if not docs else left >= {i for i, _ in rows[:12]} - ({2} if bench else set()) and (2 in left) != bool(bench)
+
+
+def test_near_dedup_goes_through_simhash(spark, documents, tmp_path):
+    import random
+
+    import numpy as np
+
+    from lociflow.llm.overlap import shingles
+    from lociflow.llm.simhash import fingerprint
+    r = random.Random(5)
+    words = [f"w{r.randrange(10 ** 6)}" for _ in range(3000)]
+    bits, far = fingerprint(" ".join(words)), None
+    for k in range(200):                                   # within three bits, but below four fifths of the runs
+        w = list(words)
+        for at in range(k % 20, len(w), 38):
+            w[at] = f"other{k}"
+        a, b = shingles(" ".join(words)), shingles(" ".join(w))
+        common = len(np.intersect1d(a, b))
+        if common < 0.8 * (len(a) + len(b) - common) and (bits ^ fingerprint(" ".join(w))).bit_count() <= 3:
+            far = w
+            break
+    assert far
+    docs = documents([(1, " ".join(words)), (2, " ".join(far)), (3, "quite another text of a few words")])
+    assert {x.doc_id for x in corpus_pipeline.without_near_copies(spark, docs, str(tmp_path)).collect()} == {1, 3}
