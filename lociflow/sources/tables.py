@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from lociflow.functions.text import part_number, series_key
 from lociflow.operators.tracks import filter_track_length
 from lociflow.schema import ContractError
+from lociflow.session import cut_lineage
 
 # Column names of the tools whose tables are read, most specific
 # first; the frame number their first frame has; and the unit of positions.
@@ -267,7 +268,7 @@ AUX_ENDINGS = ("_summary_metrics.csv", "_diffusion_summary.csv", "_ensemble_msd.
 
 def input_kind(name: Column) -> Column:
     """image, external_loc, or NULL for what is not an input."""
-    low = F.lower(F.element_at(F.split(name, r"[/\\]"), -1))
+    low = F.lower(F.substring_index(F.translate(name, "\\", "/"), "/", -1))      # cheap, for every test below repeats it
     image = low.rlike(rf"\.({'|'.join(IMAGE_EXT)})$") & ~F.contains(low, F.lit("-tracks-z"))
     aux = F.contains(low, F.lit("trcpalmtracer"))
     for e in AUX_ENDINGS:
@@ -289,12 +290,13 @@ def catalogue_inputs(paths: DataFrame, companion_suffix: str = "_green") -> Data
     accompanies; within one image series the CZI wins over TIFF copies; tables
     are never merged with images.
     """
-    f = filter_input_paths(paths)
-    leaf = F.element_at(F.split("path", "/"), -1)
-    f = f.withColumns({"folder": F.regexp_replace("path", r"/?[^/]*$", ""), "leaf": leaf})
+    f = filter_input_paths(paths.repartition("path"))      # a listing packs into one small file, so one task would parse it all
+    f = f.withColumn("leaf", F.substring_index("path", "/", -1))
+    f = f.withColumn("folder", F.expr("left(path, length(path) - length(leaf) - 1)"))
     stem = F.regexp_replace("leaf", r"\.[^.]*$", "")
     f = f.withColumns({"series": F.when(F.col("kind") == "image", series_key(F.col("leaf"))).otherwise(stem),
                        "is_czi": F.endswith(F.lower("leaf"), F.lit(".czi")), "part": part_number(F.col("leaf")), "stem": stem})
+    f = cut_lineage(f)                                      # read three times below
     owner = f.where("kind = 'image'").select("folder", (F.concat(F.lower("stem"), F.lit(companion_suffix.lower()))).alias("_c"))
     f = f.withColumn("_c", F.lower("stem")).join(owner, ["folder", "_c"], "left_anti").drop("_c")
     key = ["folder", "kind", "series"]
