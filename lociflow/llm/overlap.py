@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from lociflow.llm.bytesplit import slices
-from lociflow.llm.scratch import Scratch, keep_rows, row_key
+from lociflow.llm.scratch import Scratch, arrow_rows, keep_rows, row_key
 from lociflow.llm.simhash import ASCII_LOWER
 from lociflow.operators.graph import connected_components
 
@@ -17,6 +17,7 @@ BANDS, ROWS = 24, 5       # a pair of similarity s is proposed with 1 - (1 - s^5
 STEP = 4096               # shingles at once under all the hash functions
 COLUMNS = 4096            # shingles at once when whole sets are compared
 BLOCK_SHINGLES = 1 << 19
+TEXTS = 1024              # documents that a worker has at once
 
 
 def shingles(text: str | None, size: int = 5) -> np.ndarray:
@@ -124,7 +125,9 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_c
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:2], pa.array(fp), pa.array([len(g) for g in found], pa.int64()), pa.ListArray.from_arrays(at, pa.array(keys))],
                 ["doc_id", "row_key", "fp", "size", "bands"])
-    rows = scratch.write(named.mapInArrow(marks, named.drop("text").schema.add("fp", "long").add("size", "long").add("bands", ArrayType(LongType()))), "rows")
+    made = named.mapInArrow(marks, named.drop("text").schema.add("fp", "long").add("size", "long").add("bands", ArrayType(LongType())))
+    with arrow_rows(docs.sparkSession, TEXTS):
+        rows = scratch.write(made, "rows")
     lead = F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "row_key")
     distinct = scratch.write(rows.select("fp", "size", "bands", lead.alias("lead")).groupBy("fp").agg(
         F.min("lead").alias("lead"), F.first("size").alias("size"), F.first("bands").alias("bands")), "distinct")
@@ -142,7 +145,8 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_c
             at = np.concatenate([[0], np.cumsum([len(g) for g in found])]).astype(np.int32)
             grams = np.concatenate(found) if found else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(fp), pa.ListArray.from_arrays(at, pa.array(grams.view(np.int64)))], ["fp", "grams"])
-    sets = scratch.write(keep_rows(docs, some, id_col, text_col).select(text_col).mapInArrow(whole, "fp long, grams array<long>"), "sets")
+    with arrow_rows(docs.sparkSession, TEXTS):
+        sets = scratch.write(keep_rows(docs, some, id_col, text_col).select(text_col).mapInArrow(whole, "fp long, grams array<long>"), "sets")
 
     def linked(tasks: DataFrame, name: str, star: bool) -> DataFrame:
         """Links within each task of ``tasks(task, fp, size, head)``; with ``star`` only those to the head."""

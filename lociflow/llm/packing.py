@@ -8,9 +8,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lociflow.llm.bytesplit import slices
-from lociflow.llm.scratch import Scratch
+from lociflow.llm.scratch import Scratch, arrow_rows
 from lociflow.llm.tokens import Tokeniser, kept_in_worker
 
+TEXTS = 1024              # documents that a worker has at once
+
 
 def _tokeniser(path: str) -> Tokeniser:
     return kept_in_worker(("ids", path), lambda: Tokeniser(path))
@@ -22,7 +24,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, id_col: str = "doc_i
 
     def cut(batches):
         zero = np.zeros(1, np.uint32)
-        for b in slices(batches, 4096):
+        for b in slices(batches, TEXTS):
             row, part, start, length, crc = [], [], [], [], []
             for r, ids in enumerate(_tokeniser(vocabulary).encode(b.column(1))):
                 raw = np.concatenate([ids, zero]).astype("<u4").tobytes()
@@ -107,7 +109,8 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, group_rows: int
     """
     scratch = Scratch(docs.sparkSession)
     made = pieces(docs, vocabulary, capacity, id_col, text_col)
-    made = scratch.write(made.withColumn("row_no", F.monotonically_increasing_id()), "pieces")
+    with arrow_rows(docs.sparkSession, TEXTS):
+        made = scratch.write(made.withColumn("row_no", F.monotonically_increasing_id()), "pieces")
     full = made.where(F.col("length") == capacity).select(
         "*", (-1 - F.col("row_no")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = made.where(F.col("length") < capacity)

@@ -16,7 +16,8 @@ from lociflow.llm.bytesplit import span_hash
 LATIN = 0x250             # code points below are split here; a text with others goes to the library whole
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 SPECIAL = "<|endoftext|>"
-CHUNK = 1 << 20           # code points at once
+CHUNK = 1 << 18           # code points at once; what is made of them takes many times their bytes
+LEARNED = 4096            # pieces that go through the library at once
 LONGEST = 256             # code points of a remembered piece
 MAX_KNOWN = 400_000       # pieces remembered by a worker; beyond, the third met most often stays
 
@@ -142,8 +143,9 @@ class Tokeniser:
         keys, index, inverse, times = np.unique(span_hash(points, start, end), return_index=True, return_inverse=True, return_counts=True)
         keys = keys.tolist()
         missing = [i for i, k in enumerate(keys) if k not in self.slot and length[index[i]] <= LONGEST]
-        if missing:
-            self._learn([keys[i] for i in missing], [text(index[i]) for i in missing])
+        for k in range(0, len(missing), LEARNED):
+            some = missing[k:k + LEARNED]
+            self._learn([keys[i] for i in some], [text(index[i]) for i in some])
         known = np.fromiter(map(self.slot.get, keys, repeat(-1)), np.int64, len(keys))
         self.met[known[known >= 0]] += times[known >= 0]
         slot = known[inverse]

@@ -209,3 +209,28 @@ def test_prefix_is_the_rarest_shingle(spark, documents):
     docs = documents([(k, f"{common} and so on {k}") for k in range(200)] + [(500, f"well {common} {rare} then"), (501, f"{common} {rare[:-6]}")])
     got = {r.doc_id: r.n_hit for r in decontaminate.contamination(docs, bench).where("contaminated").collect()}
     assert got == {500: 11, 501: 10} or got == {500: 11}
+
+
+def test_packing_feeds_python_few_texts_at_once(spark, monkeypatch):
+    """A batch of 10 000 texts lay in each executor and again in its worker, and all its new pieces in the library."""
+    from lociflow.llm import packing, tokens
+    from lociflow.llm.queries import vocabulary
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before, write = spark.conf.get(key), packing.Scratch.write
+
+    def noted(self, df, name):
+        seen.append((name, int(spark.conf.get(key))))
+        return write(self, df, name)
+    monkeypatch.setattr(packing.Scratch, "write", noted)
+    docs = spark.createDataFrame([(i, f"word{i} and more") for i in range(3000)], "doc_id long, text string")
+    assert packing.pack(docs, vocabulary()).count() == 3000
+    assert dict(seen)["pieces"] <= 1024 and spark.conf.get(key) == before
+
+    learned, learn = [], tokens.Tokeniser._learn
+    monkeypatch.setattr(tokens.Tokeniser, "_learn", lambda self, keys, pieces: (learned.append(len(keys)), learn(self, keys, pieces)))
+    import pyarrow as pa
+    texts = [" ".join(f"w{i}x{j}" for j in range(500)) for i in range(40)]
+    own = tokens.Tokeniser(vocabulary())
+    got = [x.tolist() for x in own.encode(pa.array(texts))]
+    assert got == [own.library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert max(learned) <= 4096
