@@ -387,7 +387,7 @@ def linkability_sweep(spark, d):
 @query("pick_threshold")
 def pick_threshold(spark, d):
     locs = V.localisations(spark, d)
-    sweep = T.linkability_sweep(locs, T.threshold_grid(locs, steps=6), 30.0, min_len=2, linker="nn")
+    sweep = T.linkability_sweep(locs, T.threshold_grid(locs), 30.0, min_len=2, linker="nn")
     floors = locs.select("recording_id").distinct().withColumn("noise_floor", F.lit(1000.0))
     return rounded(T.pick_threshold(sweep, floors))
 
